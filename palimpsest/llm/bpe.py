@@ -124,12 +124,12 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
             yield {key: batch["key"], "ids": pa.ListArray.from_arrays(pa.array(ends), values)}
 
     inputs = {"key": F.col(f"`{key}`").cast("long"), "text": F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))}
-    return map_columns(docs, inputs, [field(key, "long"), field("ids", "array<int>")], run)
+    return map_columns(docs, inputs, [field(key, "long"), field("ids", ["int"])], run)
 
 
 def decode(encoded: DataFrame, vocabulary: str, key: str = "doc_id") -> DataFrame:
     """Rows (key, ids, text) of rows (key, ids): the text is the vocabulary's strings put together."""
-    fields = [field(key, "long"), field("ids", "array<int>"), field("text", "string")]
+    fields = [field(key, "long"), field("ids", ["int"]), field("text", "string")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)

@@ -93,8 +93,17 @@ def to_arrow(kind: T.DataType) -> pa.DataType:
     return plain[kind]
 
 
-def field(name: str, kind: str) -> T.StructField:
-    return T.StructField(name, T._parse_datatype_string(kind) if "<" in kind else _KINDS[kind])
+def kind_of(kind) -> T.DataType:
+    """A type by its name; [kind] is an array of it, {name: kind} a struct."""
+    if isinstance(kind, list):
+        return T.ArrayType(kind_of(kind[0]))
+    if isinstance(kind, dict):
+        return T.StructType([field(n, k) for n, k in kind.items()])
+    return _KINDS[kind]
+
+
+def field(name: str, kind) -> T.StructField:
+    return T.StructField(name, kind_of(kind))
 
 
 _KINDS = {

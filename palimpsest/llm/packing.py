@@ -73,7 +73,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: in
 
     fields = [field("doc_id", "long"), field("piece", "int"), field("start", "long"), field("length", "long"), field("ids_crc32", "long")]
     if keep_ids:
-        fields.append(field("ids", "array<bigint>"))
+        fields.append(field("ids", ["long"]))
     inputs = {"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce(F.col("text").cast("string"), F.lit(""))}
     return map_columns(docs, inputs, fields, pieces)
 
