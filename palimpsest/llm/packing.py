@@ -12,6 +12,7 @@ their own. A piece is never split further and never dropped.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -21,8 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
 from .common import BoundedCache, field, map_columns, written
 
+#: Runs of these characters are cut and lower-cased here; the library does all others.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ſ]*")
+#: The vocabulary's pattern, for those characters in lower case.
+_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+
 _encoders: dict[str, BoundedCache] = {}
 
 
@@ -30,7 +37,8 @@ def chunk_encoder(path: str) -> BoundedCache:
     """Maps a run of bytes without white space to its ids (uint32 bytes), by the tokenizers library.
 
     The vocabulary's pattern never joins across white space and its normalizer composes nothing
-    across it, so a text's ids are its runs' ids in order.
+    across it, so a text's ids are its runs' ids in order. A plain run's words go to the library's
+    model one by one, as most of them occur in other runs too.
     """
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,11 +47,23 @@ def chunk_encoder(path: str) -> BoundedCache:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        symbols = byte_symbols()
+        model = tokenizer.model
+        id_bytes = [i.to_bytes(4, "little") for i in range(1 + max(tokenizer.get_vocab().values()))]
+
+        def word_ids(word: str) -> bytes:
+            mapped = word if word.isascii() else "".join(symbols[b] for b in word.encode())
+            return b"".join([id_bytes[t.id] for t in model.tokenize(mapped)])
+
+        words = BoundedCache(word_ids, 500_000)
 
         def encode(chunk: bytes) -> bytes:
-            return np.array(tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            text = chunk.decode()
+            if "<|" not in text and _PLAIN.fullmatch(text):
+                return b"".join(map(words.__getitem__, _CUT.findall(text.lower())))
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-        _encoders[path] = BoundedCache(encode)
+        _encoders[path] = BoundedCache(encode, 500_000)
     return _encoders[path]
 
 
@@ -59,7 +79,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: in
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = b"".join(map(encode, text.split())) + end
+                runs = text.split() if b"<|" in text else text.lower().split()  # the vocabulary's normalizer lower-cases too
+                ids = b"".join(map(encode, runs)) + end
                 for k, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
                     out["doc_id"].append(doc_id)
