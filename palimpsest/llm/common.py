@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,21 @@ def map_columns(
     return df.select(*[c.alias(n) for n, c in inputs.items()]).mapInArrow(run, schema)
 
 
+def with_scores(docs: DataFrame, score: Callable[[bytes], float], names: list[str], text: str = "text") -> DataFrame:
+    """docs with double columns of what score tells of the text (a number, or one for each name); all other columns pass through."""
+
+    kind = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+    @F.pandas_udf(kind)
+    def of(texts: pd.Series) -> pd.DataFrame:
+        found = [score((t or "").encode()) for t in texts]
+        return pd.DataFrame(found, columns=names, dtype="float64")
+
+    out = docs.withColumn(taken := f"_scores_{uuid.uuid4().hex}", of(F.col(f"`{text}`").cast("string")))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return out.select(*kept, *[F.col(f"`{taken}`.`{n}`").alias(n) for n in names])
+
+
 def to_arrow(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(to_arrow(kind.elementType))

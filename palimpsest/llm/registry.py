@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, packing
+from . import bpe, chat, licenses, packing, quality, toxicity
 from .common import table
 
 
@@ -22,10 +22,37 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def held_out(doc_id: F.Column) -> F.Column:
+    """Every fifth id by its checksum; no model learns from these rows."""
+    return F.crc32(doc_id.cast("string")) % 5 == 0
+
+
+def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.fit(docs, labels.filter(~held_out(F.col("doc_id"))))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, spark, sf_dir))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).withColumn("n_spans", F.size("spans").cast("long")).withColumn("spans", F.to_json("spans"))
 
 
+def quality_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> quality.Model:
+    labels = table(spark, sf_dir, "labels")
+    return quality.fit(docs, labels.filter(~held_out(F.col("doc_id"))))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    graded = quality.score(docs.select("doc_id", "text"), quality_model(docs, spark, sf_dir))
+    return graded.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "tail_probability", quality.kept().alias("kept"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -51,7 +78,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op3_license_scan": op3_license_scan,
+        "op4_quality": op4_quality,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_bpe": op7_bpe,
         "op9_chat_format": op9_chat_format,

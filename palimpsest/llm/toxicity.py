@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, map_columns, written
+from .common import field, map_columns, with_scores, written
 
 #: Texts are scored in blocks of about so many characters, so memory doesn't follow the longest text.
 BLOCK = 1_000_000
@@ -235,15 +235,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 25
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of docs(doc_id, text)."""
-    return docs.sparkSession and _scored(docs, model, {"doc_id": F.col("doc_id").cast("long")}, [field("doc_id", "long")])
+    return scored(docs.select("doc_id", "text"), model).select(F.col("doc_id").cast("long").alias("doc_id"), "score")
 
 
-def _scored(docs: DataFrame, model: Model, keep: dict[str, F.Column], fields: list) -> DataFrame:
+def scored(docs: DataFrame, model, name: str = "score") -> DataFrame:
+    """docs with a column of model.score(text)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            yield {n: batch[n] for n in keep} | {"score": [sent.value.score(t) for t in batch["text"]]}
-
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return map_columns(docs, keep | {"text": text}, [*fields, field("score", "double")], run)
+    return with_scores(docs, lambda text: sent.value.score(text), [name])
