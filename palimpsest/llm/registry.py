@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, packing, quality, toxicity
+from . import bpe, chat, licenses, packing, quality, secrets, toxicity
 from .common import table
 
 
@@ -68,6 +68,15 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+
+    def count(rank: int) -> F.Column:
+        return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long").alias(f"n_{secrets.KINDS[rank]}")
+
+    return found.select("doc_id", count(0), count(1), count(2), F.sha2(secrets.written_out(F.col("base")), 256).alias("base_sha256"), secrets.written_out(F.col("spans")).alias("spans"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -83,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": op4_quality,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_bpe": op7_bpe,
+        "op8_secrets": op8_secrets,
         "op9_chat_format": op9_chat_format,
     }
 
