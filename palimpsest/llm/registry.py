@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, packing, quality, secrets, toxicity
+from . import bpe, chat, licenses, near_dup, packing, quality, secrets, toxicity
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).withColumn("n_spans", F.size("spans").cast("long")).withColumn("spans", F.to_json("spans"))
 
@@ -88,6 +92,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_near_duplicates": op2_near_duplicates,
         "op3_license_scan": op3_license_scan,
         "op4_quality": op4_quality,
         "op5_best_fit_packing": op5_best_fit_packing,
