@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, near_dup, packing, quality, secrets, toxicity
+from . import bm25, bpe, chat, licenses, near_dup, packing, quality, secrets, toxicity
 from .common import table
 
 
@@ -61,6 +61,26 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item whose id is divisible by 20, against all documents."""
+    index = bm25.build_index(table(spark, sf_dir, "documents"))
+    asked = table(spark, sf_dir, "benchmark").filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+    return bm25.search(index, asked, 10).withColumn("score", F.round("score", 4))
+
+
+OP6_SQL = """
+with d as (select row_number() over () as row_id, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as words from documents),
+s as (select count(*) as n, sum(len(words)) / count(*) as mean from d),
+tf as (select row_id, doc_id, len_, term, count(*) as tf from (select row_id, doc_id, len(words) as len_, unnest(words) as term from d) group by all),
+q as (select distinct item_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) as term from benchmark where item_id % 20 = 0),
+df as (select term, count(*) as df from tf group by term),
+scored as (select item_id, row_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len_ / mean))) as score
+  from q join tf using (term) join df using (term), s group by all),
+ranked as (select *, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) as r from scored)
+select item_id as query_id, r::int as rank, doc_id, round(score, 4) as score from ranked where r <= 10
+"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json")
     decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -96,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_scan": op3_license_scan,
         "op4_quality": op4_quality,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_topk_search": op6_topk_search,
         "op7_bpe": op7_bpe,
         "op8_secrets": op8_secrets,
         "op9_chat_format": op9_chat_format,
@@ -103,4 +124,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk_search": OP6_SQL}
