@@ -40,22 +40,26 @@ REJECTED = 22.46
 BINS = 240  # of Fisher's sum, in steps of a quarter; the last one takes all beyond
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once for each row however often body names it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start,end,found>> of the leftmost non-overlapping matches.
 
     What stands between matches and the matches themselves, in turn, give the places.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["between"])
-        end = start + F.length(pair["found"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["found"].alias("found")))).alias("out"))
+        return let(F.struct(start.alias("start"), (start + F.length(pair["found"])).alias("end")), lambda p: F.struct(
+            p["end"].alias("at"), F.concat(state["out"], F.array(F.struct(p["start"].alias("start"), p["end"].alias("end"), pair["found"].alias("found")))).alias("out")))
 
     none = F.array().cast("array<struct<start:int,end:int,found:string>>")
-    pairs = F.zip_with(between, found, lambda b, f: F.struct(b.alias("between"), f.alias("found")))
-    places = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+    # the last gap has no match after it
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda b, f: F.struct(b.alias("between"), f.alias("found")))
+    places = F.aggregate(F.filter(pairs, lambda p: p["found"].isNotNull()), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
     return F.when(text.rlike(pattern), places).otherwise(none)
 
 
@@ -85,29 +89,39 @@ def normal_tail(z: Column) -> Column:
 def fisher_sum(token: Column, alphabet: str) -> Column:
     """-2 times the sum of the logs of the three tests' p-values; small for a random token."""
     k = len(alphabet)
-    n = F.length(token).cast("double")
-    letters = F.array(*map(F.lit, alphabet))
-    squares = F.aggregate(letters, F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
-    chi = squares * k / n - n
     df = float(k - 1)
-    p_uniform = normal_tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
+    letters = F.array(*map(F.lit, alphabet))
+    zero = F.lit(0.0)
+
+    def walk(s: Column, c: Column) -> Column:
+        return let(F.instr(F.lit(alphabet), c).cast("double"), lambda x: F.struct(x.alias("last"), (s["sum"] + x).alias("sum"), (s["squares"] + x * x).alias("squares"), (s["lagged"] + s["last"] * x).alias("lagged")))
 
+    start = F.struct(zero.alias("last"), zero.alias("sum"), zero.alias("squares"), zero.alias("lagged"))
     halves = F.translate(token, alphabet, "0" * (k // 2) + "1" * (k - k // 2))
-    ones = n - F.length(F.replace(halves, F.lit("1"), F.lit("")))
-    zeros = n - ones
-    runs = F.length(F.regexp_replace(halves, "0+|1+", "x")).cast("double")
-    both = 2 * ones * zeros
-    spread = F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1)), F.lit(1e-9)))
-    p_runs = F.when(both == 0, F.lit(1e-12)).otherwise(F.least(2 * normal_tail(F.abs(runs - both / n - 1) / spread), F.lit(1.0)))
-
-    places = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
-    places = F.filter(places, lambda x: x > 0)
-    mean = F.aggregate(places, F.lit(0.0), lambda a, x: a + x) / n
-    off = F.transform(places, lambda x: x - mean)
-    power = F.aggregate(off, F.lit(0.0), lambda a, x: a + x * x)
-    lagged = F.aggregate(F.zip_with(F.slice(off, 1, F.size(off) - 1), F.slice(off, 2, F.size(off) - 1), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    p_serial = F.when(power <= 0, F.lit(1e-12)).otherwise(F.least(2 * normal_tail(F.abs((lagged / power + 1 / n) * F.sqrt(n))), F.lit(1.0)))
-    return -2 * (F.log(p_uniform) + F.log(p_runs) + F.log(p_serial))
+    counts = F.aggregate(letters, zero, lambda a, c: a + F.pow(F.length(token) - F.length(F.replace(token, c, F.lit(""))), F.lit(2.0)))
+    facts = F.struct(
+        F.length(token).cast("double").alias("n"), counts.alias("squares"),
+        F.length(F.replace(halves, F.lit("0"), F.lit(""))).cast("double").alias("ones"),
+        F.length(F.regexp_replace(halves, "0+|1+", "x")).cast("double").alias("runs"),
+        F.aggregate(F.filter(F.split(token, ""), lambda c: c != ""), start, walk).alias("places"),
+        F.instr(F.lit(alphabet), F.substring(token, 1, 1)).cast("double").alias("first"),
+    )
+
+    def joined(f: Column) -> Column:
+        n = f["n"]
+        chi = f["squares"] * k / n - n
+        p_uniform = normal_tail((F.pow(F.greatest(chi, zero) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
+        both = 2 * f["ones"] * (n - f["ones"])
+        spread = F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1)), F.lit(1e-9)))
+        p_runs = F.when(both == 0, F.lit(1e-12)).otherwise(F.least(2 * normal_tail(F.abs(f["runs"] - both / n - 1) / spread), F.lit(1.0)))
+        p = f["places"]
+        mean = p["sum"] / n
+        power = p["squares"] - n * mean * mean
+        lagged = p["lagged"] - mean * (2 * p["sum"] - f["first"] - p["last"]) + (n - 1) * mean * mean
+        p_serial = F.when(power <= 1e-9, F.lit(1e-12)).otherwise(F.least(2 * normal_tail(F.abs((lagged / power + 1 / n) * F.sqrt(n))), F.lit(1.0)))
+        return -2 * (F.log(p_uniform) + F.log(p_runs) + F.log(p_serial))
+
+    return let(facts, joined)
 
 
 def encoding_of(token: Column) -> Column:
@@ -145,8 +159,10 @@ def scored(token: Column, encoding: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """array<struct<start,end,encoding,word>> of what may be encoded."""
-    with_encoding = F.transform(matches(text, TOKEN), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), encoding_of(m["found"]).alias("encoding"), spelled(m["found"], encoding_of(m["found"])).alias("word")))
-    return F.filter(with_encoding, lambda t: t["encoding"].isNotNull())
+    def encoded(m: Column) -> Column:
+        return let(encoding_of(m["found"]), lambda e: F.struct(m["start"].alias("start"), m["end"].alias("end"), e.alias("encoding"), spelled(m["found"], e).alias("word")))
+
+    return F.filter(F.transform(matches(text, TOKEN), encoded), lambda t: t["encoding"].isNotNull())
 
 
 def histogram(docs: DataFrame) -> DataFrame:
