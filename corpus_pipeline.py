@@ -1,8 +1,68 @@
-"""Placeholder until the stages are there."""
+"""The corpus pipeline: five stages over ``documents``, each one reading all that the one before kept.
 
+quality     rejects documents whose grade is likely below the wanted one
+toxicity    rejects toxic documents
+near_dedup  keeps one document of each group of near-duplicates
+secrets     replaces secrets in the texts and brings n_chars up to date
+packing     packs what is left into sequences of 2048 tokens: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. Classifiers learn from the labelled rows among the stage's own input. Null and empty
+texts pass the quality stage only if the model keeps them; a null doc_id is kept by every stage
+that its text passes, repeated rows are packed one by one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm import near_dup, packing, quality, registry, secrets, toxicity
+from palimpsest.llm.common import table, written
+
+#: SQL cannot express the stages (trained models, sketches, a tokenizer): tests hold them against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    graded = quality.score(docs, registry.quality_model(docs, spark, sf_dir), ("_stage_grade", "_stage_tail"))
+    return graded.filter(quality.kept("_stage_tail")).select(*docs.columns)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = toxicity.scored(docs, registry.toxicity_model(docs, spark, sf_dir), "_stage_score")
+    return scored.filter(F.col("_stage_score") < 0.5).select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = near_dup.near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    return docs.join(groups.filter("not kept"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cleaned = secrets.redact(docs)
+    kind = docs.schema["n_chars"].dataType
+    return cleaned.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(docs, registry.vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near_dedup", near_dedup_stage),
+    ("secrets", secrets_stage),
+    ("packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES applied to documents; each stage's result is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage-{name}")
+    return docs

@@ -159,12 +159,12 @@ def fit(docs: DataFrame, ratings: DataFrame, rating: str = "quality", wanted: in
     return train(x, found["grade"].to_numpy()[order], bits, wanted)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with expected_grade and tail_probability; other columns pass through."""
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("expected_grade", "tail_probability")) -> DataFrame:
+    """docs with the expected grade and the tail probability under these names; other columns pass through."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return with_scores(docs, lambda text: sent.value.score(text), ["expected_grade", "tail_probability"])
+    return with_scores(docs, lambda text: sent.value.score(text), list(names))
 
 
-def kept(least: float = 0.35) -> F.Column:
+def kept(tail: str = "tail_probability", least: float = 0.35) -> F.Column:
     """Whether a scored document stays: only those go that are likelier below the wanted grade by a margin."""
-    return F.col("tail_probability") >= least
+    return F.col(tail) >= least

@@ -1,0 +1,46 @@
+import re
+from collections import defaultdict
+
+import corpus_pipeline
+from palimpsest.llm.common import written
+from tests.llm.test_near_dup import brute
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    columns, before = docs.dtypes, {r.doc_id: r for r in docs.collect()}
+    given = before
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), "test")
+        assert docs.dtypes == columns
+        after = {r.doc_id: r for r in docs.collect()}
+        assert set(after) <= set(before)
+        gone = set(before) - set(after)
+        good = [d for d in before if d in labels and labels[d].quality and not labels[d].toxic]
+        if name in ("quality", "toxicity"):
+            assert gone and sum(d in gone for d in good) <= 0.03 * len(good)
+        if name == "near_dedup":
+            want = brute([(d, r.text) for d, r in before.items()])
+            assert set(after) == {d for d, (_, c) in want.items() if d == c}
+        if name == "secrets":
+            changed = [d for d in after if after[d].text != before[d].text]
+            assert changed and not gone
+            assert all("[secret]" in after[d].text and after[d].n_chars == len(after[d].text) for d in changed)
+            assert not any(re.search(r"AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}", r.text) for r in after.values())
+        before = after
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r.doc_id for r in rows} == set(before)
+    fill = defaultdict(int)
+    for r in rows:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 2048
+    assert len(fill) <= 1.05 * -(-sum(fill.values()) // 2048) + 1
+    assert len(given) > len(before)
+
+
+def test_run_is_the_stages(spark):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_dedup", "secrets", "packing"]
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
