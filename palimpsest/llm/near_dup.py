@@ -9,11 +9,16 @@ the share of equal registers, less chance collisions, estimates the similarity o
 remains is checked on the full sets.
 
 Sets that are equal form classes first, and only a class's smallest id goes on. In a band's bucket
-the members are paired with one of them, so a bucket of m documents makes m pairs. Links found so
-join documents into components; a bucket that holds several components then has the pairs between
-its components checked as well, so no candidate link between components is left out, and none inside
-one is needed. Buckets are joined and grouped by keys alone: no bucket, class or component is ever
-collected in one place.
+the members are paired with the smallest set among them, the hub, so a bucket of m documents makes
+m - 1 pairs. That loses no component. Let y and z be linked members and r the hub, c = 15/185, so
+that x and y are linked if their symmetric difference is at most c (|x| + |y|). If y and z share
+nothing that r lacks, the parts of y and z outside r are disjoint, and as r is no larger than z, the
+part of z outside r is no smaller than what y and z both miss of r; so y differs from r by no more
+than it differs from z, and is linked with r, and so is z. What remains are pairs that share a
+shingle which the hub lacks: where a hub's members are still in several components, those that share
+such a shingle form a bucket of the next round, without the hub. Rounds go on until no bucket holds
+several components. Buckets are joined and grouped by keys alone: no bucket, class or component is
+ever collected in one place, and none is expanded into its pairs.
 
 Null and empty texts have no shingles and link with nothing; a null id is its own component or that
 of an equal text. Rows are taken one by one: repeated rows share a class.
@@ -216,11 +221,22 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_columns(both, {c: F.col(c) for c in both.columns}, [field("a", "long"), field("b", "long")], run)
 
 
-def links_of(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """pairs after estimate and full check, written."""
-    pairs = written(likely(pairs, reps), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps.select("node", "h1", "h2"), "node")
-    return written(checked(pairs, written(full_sets(docs, nodes), "sets"), percent), "links")
+def unshared(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, node, n, label): for each of members(hub, node, n, label), a row for each shingle of node that hub lacks."""
+    side = {c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"set_{c}")) for c in ("node", "hub")}
+    both = members.join(side["node"], "node").join(side["hub"], "hub")
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            keys = []
+            for hub, x, y in zip(batch["hub"], batch["set_hub"], batch["set_node"]):
+                more = np.setdiff1d(np.frombuffer(y, "uint64"), np.frombuffer(x, "uint64"), assume_unique=True)
+                keys.append(mixed(more ^ mixed(np.array([hub], "int64").view("uint64"))).view("int64"))
+            sizes = [len(k) for k in keys]
+            yield {"key": np.concatenate([np.zeros(0, "int64"), *keys])} | {c: np.repeat(np.array(batch[c], "int64"), sizes) for c in ("node", "n", "label")}
+
+    fields = [field(c, "long") for c in ("key", "node", "n", "label")]
+    return map_columns(both, {c: F.col(c) for c in both.columns}, fields, run)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -248,23 +264,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     bands = band_rows(reps)
     buckets = bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     shared = written(bands.join(buckets, "key"), "buckets")
-    alike = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent  # else the sizes alone rule a link out
-
-    hubs = shared.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), F.col("node").alias("hub"), F.col("n").alias("n2"))).alias("hub")).select("key", "hub.hub", "hub.n2")
-    star = shared.join(hubs, "key").filter((F.col("node") != F.col("hub")) & alike)
-    first = written(star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "star")
-    links = links_of(first, docs, reps, percent)
-
-    labelled = shared.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    labelled = written(labelled, "labelled")
-    open_buckets = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    left = written(labelled.join(open_buckets, "key"), "open")
-    right = left.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-    across = left.join(right, "key").filter((F.col("label") < F.col("label2")) & alike)
-    across = across.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = links_of(across, docs, reps, percent)
-
-    labels = components(links.unionByName(more))
+
+    links, labels, sets = None, None, None
+    while True:
+        hubs = shared.groupBy("key").agg(F.min(F.struct("n", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_hub"))
+        star = written(shared.join(hubs, "key").filter("node <> hub").select("hub", "n_hub", "node", "n").distinct(), "star")
+        if sets is None:
+            nodes = star.select(F.explode(F.array("hub", "node")).alias("node")).distinct().join(reps.select("node", "h1", "h2"), "node")
+            sets = written(full_sets(docs, nodes), "sets")
+        alike = F.col("n_hub") * 100 >= F.col("n") * percent  # else the sizes alone rule a link out
+        pairs = star.filter(alike).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        found = written(checked(likely(pairs, reps), sets, percent), "links")
+        links = found if links is None else links.unionByName(found).distinct()
+        labels = components(links)
+
+        members = star.select("hub", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        members = written(members, "members")
+        several = members.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("hub")
+        rows = unshared(written(members.join(several, "hub"), "open"), sets)
+        several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+        shared = written(rows.join(several, "key").select("key", "node", "n"), "buckets")
+        if not shared.limit(1).count():
+            break
+
     of_class = written(classes.join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("component")), "components")
     rows = sketched.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -105,3 +105,26 @@ def test_blocks_hash_alike():
         assert (near_dup.word_hashes(text) == want).all()
     finally:
         near_dup.BLOCK = size
+
+
+def test_large_group_of_near_copies_makes_few_pairs(spark):
+    """Copies of one text, each with its own edits or one of a few shared ones: components as by brute force."""
+    rnd = random.Random(9)
+    base = [f"b{i}" for i in range(160)]
+    variants = []
+    for _ in range(4):
+        v = list(base)
+        for k in rnd.sample(range(160), 3):
+            v[k] = f"s{rnd.randrange(10**6)}"
+        variants.append(v)
+    rows = []
+    for i in range(260):
+        t = list(rnd.choice([base, *variants]))
+        for k in rnd.sample(range(len(t)), rnd.choice([0, 1, 2, 2, 3, 4])):
+            t[k] = f"e{rnd.randrange(10**6)}"
+        if rnd.random() < 0.2:
+            del t[rnd.randrange(len(t))]
+        rows.append((i, " ".join(t)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert 1 < len({c for _, c in got.values()}) < 260
