@@ -106,7 +106,7 @@ def project_memories(memories: DataFrame, types: list[str] | None = None, least:
 
 def search(memories: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """queries(query_id, project_id, query): memories whose content holds the query in any case; % and _ in it are wild."""
-    found = memories.join(F.broadcast(queries), "project_id").filter((F.col("query") == "") | F.ilike("content", F.concat(F.lit("%"), "query", F.lit("%"))))
+    found = memories.join(queries, "project_id").filter((F.col("query") == "") | F.ilike("content", F.concat(F.lit("%"), "query", F.lit("%"))))
     best = Window.partitionBy("query_id").orderBy(F.desc("importance_score"), F.desc("updated_at"), "id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
 
