@@ -138,10 +138,73 @@ class Features:
 MEDIA = [field("media_id", "binary"), field("payload_bytes", "long"), field("payload_sha256", "string"), field("tail_crc32", "long"), field("media_bytes", "long"), field("media_sha256", "string"), field("feature", "string")]
 
 
-def reconstruct(lists: DataFrame, store: DataFrame) -> DataFrame:
-    """The rows MEDIA of lists(media_id, payload_bytes, chunks), read back from store; raises if a digest differs."""
-    places = lists.select("media_id", "payload_bytes", F.size("chunks").alias("n_chunks"), F.posexplode("chunks").alias("seq", "digest"))
-    rows = places.join(store, "digest").select("media_id", "payload_bytes", "n_chunks", "seq", "digest", "data")
+CHUNKS = [field("media_id", "binary"), field("payload_bytes", "long"), field("n_chunks", "long"), field("seq", "long"), field("digest", "binary"), field("data", "binary")]
+FILTER_BITS = 25
+
+
+def shared_filter(lists: DataFrame) -> np.ndarray:
+    """A bitmap of 2 ** FILTER_BITS places (4 MB) with those of all digests that different media share.
+
+    Digests are uniform, so their first bits are their place. More data than it is made for only
+    makes it call more chunks shared, which moves more bytes and changes no result.
+    """
+    media = lists.select("media_id", "chunks").dropDuplicates(["media_id"])
+    each = media.select("media_id", F.explode(F.array_distinct("chunks")).alias("digest"))
+    shared = each.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
+    place = F.shiftright(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), 32 - FILTER_BITS)
+    words = shared.select(place.alias("p")).groupBy(F.shiftright("p", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits"))
+    found = words.toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 5), "uint32")
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().astype("uint32")
+    return out
+
+
+def any_shared(bitmap: np.ndarray, digests: list[bytes]) -> bool:
+    return any(int(bitmap[(p := int.from_bytes(d[:4], "big") >> (32 - FILTER_BITS)) >> 5]) >> (p & 31) & 1 for d in digests)
+
+
+def chunk_rows(docs: DataFrame, bitmap, shared: bool, level: int = 6) -> DataFrame:
+    """The rows CHUNKS of the media that the bitmap says share chunks with others, or of those that share none; a task emits a medium once."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=level, write_content_size=True, write_checksum=False).compress
+        seen: dict[bytes, None] = {}
+        for batch in batches:
+            out = {f.name: [] for f in CHUNKS}
+            for text in batch["text"]:
+                payload = payload_of(text)
+                media_id = hashlib.sha256(wav_header(len(payload)) + payload).digest()
+                if media_id in seen:
+                    continue
+                if len(seen) >= 200_000:
+                    seen.clear()
+                seen[media_id] = None
+                found = chunks_of(payload)
+                digests = [hashlib.sha256(c).digest() for c in found]
+                if any_shared(bitmap.value, digests) != shared:
+                    continue
+                n = len(found)
+                out["media_id"] += [media_id] * n
+                out["payload_bytes"] += [len(payload)] * n
+                out["n_chunks"] += [n] * n
+                out["seq"] += range(n)
+                out["digest"] += digests
+                out["data"] += map(pack, found)
+            yield out
+
+    return map_columns(docs, {"text": _inputs()["text"]}, CHUNKS, run)
+
+
+def listed_chunks(lists: DataFrame, store: DataFrame) -> DataFrame:
+    """The rows CHUNKS of lists(media_id, payload_bytes, chunks), their data from store(digest, data)."""
+    places = lists.select("media_id", "payload_bytes", F.size("chunks").cast("long").alias("n_chunks"), F.posexplode("chunks").alias("seq", "digest"))
+    return places.join(store, "digest").select("media_id", "payload_bytes", "n_chunks", F.col("seq").cast("long").alias("seq"), "digest", "data")
+
+
+def reconstruct(rows: DataFrame) -> DataFrame:
+    """The rows MEDIA of media put together from the rows CHUNKS, which may repeat; raises if a chunk is missing or a digest differs."""
     dealt = rows.repartition("media_id").sortWithinPartitions("media_id", "seq")
     arrow = pa.schema([pa.field(f.name, to_arrow(f.dataType)) for f in MEDIA])
 
@@ -157,6 +220,8 @@ def reconstruct(lists: DataFrame, store: DataFrame) -> DataFrame:
                     if state:
                         done.append(finished(now, state))
                     now, state = media_id, {"payload": hashlib.sha256(), "media": hashlib.sha256(wav_header(size)), "tail": b"", "features": Features(), "seen": 0, "n": n_chunks, "size": size}
+                if seq == state["seen"] - 1:
+                    continue  # the same chunk from another task
                 chunk = unpack(data)
                 if seq != state["seen"] or hashlib.sha256(chunk).digest() != digest:
                     raise ValueError("a chunk is missing or differs from its digest")
@@ -179,8 +244,21 @@ def reconstruct(lists: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """For each row of docs(doc_id, text): sizes, digests and features of its medium as read back from the chunk store."""
+    """For each row of docs(doc_id, text): sizes, digests and features of its medium as read back from the stored chunks.
+
+    Chunks that different media share are stored once and joined to the lists of those media; media
+    that share none go straight to where they are put together, so most bytes move once.
+    """
     kept = written(manifests(docs), "manifests")
+    bitmap = docs.sparkSession.sparkContext.broadcast(shared_filter(kept))
+
+    def flagged(batches: Iterator[dict]) -> Iterator[dict]:
+        for batch in batches:
+            at = [k for k, chunks in enumerate(batch["chunks"]) if any_shared(bitmap.value, chunks)]
+            yield {n: [batch[n][k] for k in at] for n in batch}
+
     lists = kept.select("media_id", "payload_bytes", "chunks").dropDuplicates(["media_id"])
-    rebuilt = reconstruct(lists, chunk_store(docs))
+    lists = map_columns(lists, {n: F.col(n) for n in lists.columns}, [field("media_id", "binary"), field("payload_bytes", "long"), field("chunks", ["binary"])], flagged)
+    store = chunk_rows(docs, bitmap, True).select("digest", "data").dropDuplicates(["digest"])
+    rebuilt = reconstruct(listed_chunks(lists, store).unionByName(chunk_rows(docs, bitmap, False)))
     return kept.select("doc_id", "n_bytes", "media_id").join(rebuilt, "media_id").drop("media_id")
