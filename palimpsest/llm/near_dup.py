@@ -9,16 +9,18 @@ the share of equal registers, less chance collisions, estimates the similarity o
 remains is checked on the full sets.
 
 Sets that are equal form classes first, and only a class's smallest id goes on. In a band's bucket
-the members are paired with the smallest set among them, the hub, so a bucket of m documents makes
-m - 1 pairs. That loses no component. Let y and z be linked members and r the hub, c = 15/185, so
-that x and y are linked if their symmetric difference is at most c (|x| + |y|). If y and z share
-nothing that r lacks, the parts of y and z outside r are disjoint, and as r is no larger than z, the
-part of z outside r is no smaller than what y and z both miss of r; so y differs from r by no more
-than it differs from z, and is linked with r, and so is z. What remains are pairs that share a
-shingle which the hub lacks: where a hub's members are still in several components, those that share
-such a shingle form a bucket of the next round, without the hub. Rounds go on until no bucket holds
-several components. Buckets are joined and grouped by keys alone: no bucket, class or component is
-ever collected in one place, and none is expanded into its pairs.
+the members are paired with one of them, the hub (the set with most equal copies), so a bucket of m
+documents makes m - 1 pairs, and the links among these join documents into components.
+
+A hub whose members are still in several components may hide links between members. Such a pair
+y, z has symmetric differences Dy, Dz from the hub, and |Dy| + |Dz| - 2 |Dy and Dz's common part| is
+its own difference, which a link bounds by c (|y| + |z|), c = 15/185. So linked members have a large
+common part of their differences, and by the prefix principle share one of the first entries of
+both, in one order for all (what the hub lacks first, as edits seldom agree). Members that share
+such an entry and lie in different components are the pairs left to check; a member that is linked
+with the hub needs fewer entries than one that is not, since a partner must lie in another component.
+Buckets are joined and grouped by keys alone: no bucket, class or component is ever collected in one
+place, and none is expanded into its pairs.
 
 Null and empty texts have no shingles and link with nothing; a null id is its own component or that
 of an equal text. Rows are taken one by one: repeated rows share a class.
@@ -164,15 +166,15 @@ def _inputs() -> dict:
 
 
 def band_rows(reps: DataFrame) -> DataFrame:
-    """(key, node, n): a row for each band of each representative."""
+    """(key, node, n, copies): a row for each band of each representative."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            yield {"node": batch["node"], "n": batch["n"], "keys": [band_keys(np.frombuffer(s, "uint16")).tolist() for s in batch["sketch"]]}
+            yield {"node": batch["node"], "n": batch["n"], "copies": batch["copies"], "keys": [band_keys(np.frombuffer(s, "uint16")).tolist() for s in batch["sketch"]]}
 
-    fields = [field("node", "long"), field("n", "long"), field("keys", ["long"])]
-    found = map_columns(reps, {c: F.col(c) for c in ("node", "n", "sketch")}, fields, run)
-    return found.select(F.explode("keys").alias("key"), "node", "n")
+    fields = [field("node", "long"), field("n", "long"), field("copies", "long"), field("keys", ["long"])]
+    found = map_columns(reps, {c: F.col(c) for c in ("node", "n", "copies", "sketch")}, fields, run)
+    return found.select(F.explode("keys").alias("key"), "node", "n", "copies")
 
 
 def likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -221,22 +223,42 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_columns(both, {c: F.col(c) for c in both.columns}, [field("a", "long"), field("b", "long")], run)
 
 
-def unshared(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, node, n, label): for each of members(hub, node, n, label), a row for each shingle of node that hub lacks."""
+def prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, label, role) for members(hub, node, n, label, n_low, n_high): the first entries of each one's difference from the hub.
+
+    n_low and n_high bound the sizes of the hub's members. role 0: an unlinked member for others like
+    it; 2: an unlinked one for linked ones; 1: a linked one.
+    """
     side = {c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"set_{c}")) for c in ("node", "hub")}
     both = members.join(side["node"], "node").join(side["hub"], "hub")
+    c = (100 - percent) / (100 + percent)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            keys = []
-            for hub, x, y in zip(batch["hub"], batch["set_hub"], batch["set_node"]):
-                more = np.setdiff1d(np.frombuffer(y, "uint64"), np.frombuffer(x, "uint64"), assume_unique=True)
-                keys.append(mixed(more ^ mixed(np.array([hub], "int64").view("uint64"))).view("int64"))
-            sizes = [len(k) for k in keys]
-            yield {"key": np.concatenate([np.zeros(0, "int64"), *keys])} | {c: np.repeat(np.array(batch[c], "int64"), sizes) for c in ("node", "n", "label")}
-
-    fields = [field(c, "long") for c in ("key", "node", "n", "label")]
-    return map_columns(both, {c: F.col(c) for c in both.columns}, fields, run)
+            keys, rest = [], {k: [] for k in ("node", "n", "label", "role")}
+            for hub, node, n, label, x, y, low, high in zip(*[batch[k] for k in ("hub", "node", "n", "label", "set_hub", "set_node", "n_low", "n_high")]):
+                x, y = np.frombuffer(x, "uint64"), np.frombuffer(y, "uint64")
+                extra, missing = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+                apart = len(extra) + len(missing)
+                high = min(high, 100 * len(y) / percent)  # a partner's largest size
+                allowed = c * (len(y) + high)
+                order = np.concatenate([extra, missing ^ _P])
+                far = c * (len(x) + max(low, percent * len(y) / 100))  # what an unlinked partner differs from the hub by, at least
+                linked = apart <= c * (len(y) + len(x)) + 1e-9
+                near = max(0.0, apart - allowed)  # what any partner does
+                # unlinked members meet each other under one set of keys, and linked ones under another
+                for role, other in ((1, far),) if linked else ((0, far), (2, near)):
+                    t = max(1, int(np.ceil((apart + other - allowed) / 2 - 1e-6)))
+                    salt = mixed(np.array([hub], "int64").view("uint64") * _Q + np.uint64(role > 0))
+                    own = mixed(order[: max(0, apart - t + 1)] ^ salt).view("int64")
+                    keys.append(own)
+                    for name, value in zip(("node", "n", "label", "role"), (node, n, label, role)):
+                        rest[name].append(np.full(len(own), value, "int64"))
+            none = [np.zeros(0, "int64")]
+            yield {"key": np.concatenate(none + keys)} | {k: np.concatenate(none + v) for k, v in rest.items()}
+
+    fields = [field(name, "long") for name in ("key", "node", "n", "label", "role")]
+    return map_columns(both, {name: F.col(name) for name in both.columns}, fields, run)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -257,36 +279,37 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
     sketched = written(sketches(docs), "sketches")
-    classes = written(sketched.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
-    reps = sketched.withColumnRenamed("doc_id", "node").join(classes, ["h1", "h2", "node"], "left_semi")
-    reps = written(reps.select("node", F.col("n_shingles").alias("n"), "h1", "h2", "sketch"), "reps")
+    classes = written(sketched.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")), "classes")
+    reps = sketched.withColumnRenamed("doc_id", "node").join(classes, ["h1", "h2", "node"])
+    reps = written(reps.select("node", F.col("n_shingles").alias("n"), "copies", "h1", "h2", "sketch"), "reps")
 
     bands = band_rows(reps)
     buckets = bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     shared = written(bands.join(buckets, "key"), "buckets")
-
-    links, labels, sets = None, None, None
-    while True:
-        hubs = shared.groupBy("key").agg(F.min(F.struct("n", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("n_hub"))
-        star = written(shared.join(hubs, "key").filter("node <> hub").select("hub", "n_hub", "node", "n").distinct(), "star")
-        if sets is None:
-            nodes = star.select(F.explode(F.array("hub", "node")).alias("node")).distinct().join(reps.select("node", "h1", "h2"), "node")
-            sets = written(full_sets(docs, nodes), "sets")
-        alike = F.col("n_hub") * 100 >= F.col("n") * percent  # else the sizes alone rule a link out
-        pairs = star.filter(alike).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        found = written(checked(likely(pairs, reps), sets, percent), "links")
-        links = found if links is None else links.unionByName(found).distinct()
-        labels = components(links)
-
-        members = star.select("hub", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        members = written(members, "members")
-        several = members.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("hub")
-        rows = unshared(written(members.join(several, "hub"), "open"), sets)
-        several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-        shared = written(rows.join(several, "key").select("key", "node", "n"), "buckets")
-        if not shared.limit(1).count():
-            break
-
+    alike = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent  # else the sizes alone rule a link out
+
+    hub = F.min(F.struct((-F.col("copies")).alias("c"), F.xxhash64("node").alias("h"), F.col("node").alias("hub"), F.col("n").alias("n2"))).alias("hub")
+    hubs = shared.groupBy("key").agg(hub).select("key", "hub.hub", "hub.n2")
+    star = written(shared.join(hubs, "key").filter("node <> hub").select("hub", "n2", "node", "n").distinct(), "star")
+    nodes = star.select(F.col("hub").alias("node")).unionByName(star.select("node")).distinct().join(reps.select("node", "h1", "h2"), "node")
+    sets = written(full_sets(docs, nodes), "sets")
+    first = star.filter(alike).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    links = written(checked(likely(first, reps), sets, percent), "links")
+
+    labels = components(links)
+    members = star.select("hub", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = written(members, "members")
+    several = members.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("n_low"), F.max("n").alias("n_high")).filter("low < high").drop("low", "high")
+    entries = written(prefixes(members.join(several, "hub"), sets, percent), "entries")
+    several = entries.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    left = entries.join(several, "key")
+    right = left.filter("role < 2").select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"), F.col("role").alias("role2"))
+    meet = ((F.col("role") == 0) & (F.col("label") < F.col("label2"))) | ((F.col("role") == 2) & (F.col("role2") == 1) & (F.col("label") != F.col("label2")))
+    across = left.filter("role <> 1").join(right, "key").filter(meet & alike)
+    across = written(across.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "across")
+    more = written(checked(likely(across, reps), sets, percent), "links")
+
+    labels = components(links.unionByName(more))
     of_class = written(classes.join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("component")), "components")
     rows = sketched.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
