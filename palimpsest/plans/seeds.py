@@ -51,7 +51,7 @@ SEEDS = {
     # a task for every second conversation
     "tasks": """select 't' || cast(conv_id as string) as task_id, 'p' || cast(case when conv_id % 4 = 0 then conv_id % 10 else 0 end as string) as project_id,
   case cast(floor(conv_id / 2) as int) % 8 when 0 then 'fix the import bug in the loader' when 1 then 'Why was the second cache rejected?' when 2 then 'explain the architecture of the queue and workers'
-  when 3 then 'implement the report export of each Shape' when 4 then 'review the old scheduler, which must be simple' when 5 then 'broken login page on small screens' when 6 then 'budget of two machines' else 'what is the complex decision about reports' end as task
+  when 3 then 'implement the report export of each part' when 4 then 'review the old scheduler, which must be simple' when 5 then 'broken login page on small screens' when 6 then 'budget of two machines' else 'what is the complex decision about reports' end as task
   from {conversations} where turn = 0 and conv_id % 2 = 0""",
     "files": """select 'p' || cast(doc_id % 3 as string) as project_id,
   source || case doc_id % 9 when 0 then '/node_modules/' when 1 then '/.hidden/' else '/' end || 'doc_' || cast(doc_id as string) || case doc_id % 6 when 0 then '.py' when 1 then '.ts' when 2 then '.json' when 3 then '.md' when 4 then '.exe' else '.go' end as path,
