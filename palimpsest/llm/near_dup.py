@@ -20,7 +20,8 @@ both, in one order for all (what the hub lacks first, as edits seldom agree). Me
 such an entry and lie in different components are the pairs left to check; a member that is linked
 with the hub needs fewer entries than one that is not, since a partner must lie in another component.
 Buckets are joined and grouped by keys alone: no bucket, class or component is ever collected in one
-place, and none is expanded into its pairs.
+place, and none is expanded into its pairs: parity bits of the two sets, of which no more can differ than
+shingles do, are compared in the join, and few pairs that are no link come out of it.
 
 Null and empty texts have no shingles and link with nothing; a null id is its own component or that
 of an equal text. Rows are taken one by one: repeated rows share a class.
@@ -223,6 +224,18 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_columns(both, {c: F.col(c) for c in both.columns}, [field("a", "long"), field("b", "long")], run)
 
 
+WORDS = 8
+
+
+def odd_bits(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 * WORDS places, whether an odd number of hashes falls there, as WORDS numbers.
+
+    A hash that only one of two sets has changes one place, so no more places differ than hashes do.
+    """
+    counts = np.bincount((hashes >> np.uint64(64 - 9)).astype("int64"), minlength=64 * WORDS)
+    return np.packbits((counts & 1).astype("uint8")).view("int64")
+
+
 def prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(key, node, n, label, role) for members(hub, node, n, label, n_low, n_high): the first entries of each one's difference from the hub.
 
@@ -235,7 +248,7 @@ def prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            keys, rest = [], {k: [] for k in ("node", "n", "label", "role")}
+            keys, rest = [], {k: [] for k in ("node", "n", "label", "role", *[f"odd{i}" for i in range(WORDS)])}
             for hub, node, n, label, x, y, low, high in zip(*[batch[k] for k in ("hub", "node", "n", "label", "set_hub", "set_node", "n_low", "n_high")]):
                 x, y = np.frombuffer(x, "uint64"), np.frombuffer(y, "uint64")
                 extra, missing = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
@@ -243,6 +256,7 @@ def prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 high = min(high, 100 * len(y) / percent)  # a partner's largest size
                 allowed = c * (len(y) + high)
                 order = np.concatenate([extra, missing ^ _P])
+                odd = odd_bits(y)
                 far = c * (len(x) + max(low, percent * len(y) / 100))  # what an unlinked partner differs from the hub by, at least
                 linked = apart <= c * (len(y) + len(x)) + 1e-9
                 near = max(0.0, apart - allowed)  # what any partner does
@@ -252,12 +266,12 @@ def prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     salt = mixed(np.array([hub], "int64").view("uint64") * _Q + np.uint64(role > 0))
                     own = mixed(order[: max(0, apart - t + 1)] ^ salt).view("int64")
                     keys.append(own)
-                    for name, value in zip(("node", "n", "label", "role"), (node, n, label, role)):
+                    for name, value in zip(rest, (node, n, label, role, *odd)):
                         rest[name].append(np.full(len(own), value, "int64"))
             none = [np.zeros(0, "int64")]
             yield {"key": np.concatenate(none + keys)} | {k: np.concatenate(none + v) for k, v in rest.items()}
 
-    fields = [field(name, "long") for name in ("key", "node", "n", "label", "role")]
+    fields = [field(name, "long") for name in ("key", "node", "n", "label", "role", *[f"odd{i}" for i in range(WORDS)])]
     return map_columns(both, {name: F.col(name) for name in both.columns}, fields, run)
 
 
@@ -303,9 +317,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     entries = written(prefixes(members.join(several, "hub"), sets, percent), "entries")
     several = entries.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     left = entries.join(several, "key")
-    right = left.filter("role < 2").select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"), F.col("role").alias("role2"))
+    right = left.filter("role < 2").select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"), F.col("role").alias("role2"), *[F.col(f"odd{i}").alias(f"other{i}") for i in range(WORDS)])
+    differ = sum((F.bit_count(F.col(f"odd{i}").bitwiseXOR(F.col(f"other{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("odd0").bitwiseXOR(F.col("other0"))))
+    near = differ * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)  # else they differ by more than a link allows
     meet = ((F.col("role") == 0) & (F.col("label") < F.col("label2"))) | ((F.col("role") == 2) & (F.col("role2") == 1) & (F.col("label") != F.col("label2")))
-    across = left.filter("role <> 1").join(right, "key").filter(meet & alike)
+    across = left.filter("role <> 1").join(right, "key").filter(meet & alike & near)
     across = written(across.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "across")
     more = written(checked(likely(across, reps), sets, percent), "links")
 
