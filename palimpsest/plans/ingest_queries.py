@@ -10,7 +10,10 @@ from ..functions.patterns import CATEGORIES, CHATTER, HINTS, REJECTED
 from ..operators import ingest, store
 from .seeds import ctes, seed
 
-NOW = F.lit("2025-06-15 00:00:00").cast("timestamp")
+def now():
+    return F.lit("2025-06-15 00:00:00").cast("timestamp")
+
+
 NOW_SQL = "timestamp '2025-06-15 00:00:00'"
 
 
@@ -150,7 +153,7 @@ def _batch(spark, d):
 
 def memory_upsert(spark, d):
     existing = _memories(spark, d).withColumn("id", T.memory_id(F.col("project_id"), F.col("content"))).dropDuplicates(["id"])
-    return store.upsert(existing, _batch(spark, d).unionByName(existing.filter("importance_score >= 0.7").select("project_id", "content", F.lit("task").alias("memory_type"), F.lit(0.33).alias("importance_score"), F.lit("a").alias("write_seq"), F.lit(None).cast("string").alias("metadata"))), NOW).select("id", "project_id", "memory_type", "importance_score", "updated_at", "source_hash")
+    return store.upsert(existing, _batch(spark, d).unionByName(existing.filter("importance_score >= 0.7").select("project_id", "content", F.lit("task").alias("memory_type"), F.lit(0.33).alias("importance_score"), F.lit("a").alias("write_seq"), F.lit(None).cast("string").alias("metadata"))), now()).select("id", "project_id", "memory_type", "importance_score", "updated_at", "source_hash")
 
 
 def _changes(spark, d):
@@ -163,7 +166,7 @@ CHANGES_SQL = ", changes as (select id, case when odd % 2 = 0 then 'new ' || id
 
 
 def memory_update(spark, d):
-    return store.update(_memories(spark, d), _changes(spark, d), NOW).select("id", "content", "importance_score", "updated_at", "source_hash")
+    return store.update(_memories(spark, d), _changes(spark, d), now()).select("id", "content", "importance_score", "updated_at", "source_hash")
 
 
 def memory_delete(spark, d):
@@ -172,12 +175,12 @@ def memory_delete(spark, d):
 
 def mark_resolved(spark, d):
     issues = _memories(spark, d).filter("memory_type = 'task'").select("project_id", F.col("id").alias("issue"), F.col("id").alias("write_seq"))
-    return store.new_memories(store.resolution_rows(issues, NOW), NOW).select("id", "project_id", "content", "memory_type", "importance_score", F.get_json_object("metadata", "$.issue").alias("issue"), F.get_json_object("metadata", "$.resolution_date").alias("resolved"))
+    return store.new_memories(store.resolution_rows(issues, now()), now()).select("id", "project_id", "content", "memory_type", "importance_score", F.get_json_object("metadata", "$.issue").alias("issue"), F.get_json_object("metadata", "$.resolution_date").alias("resolved"))
 
 
 def mark_stale(spark, d):
     marks = _memories(spark, d).filter("memory_type = 'stale'").select("id", F.lit("superseded").alias("reason"))
-    out = store.mark_stale(_memories(spark, d), marks, NOW)
+    out = store.mark_stale(_memories(spark, d), marks, now())
     return out.select("id", "importance_score", "memory_type", "updated_at", *[F.get_json_object("metadata", f"$.{k}").alias(k) for k in ("stale", "stale_reason", "stale_date", "status")])
 
 
@@ -206,11 +209,11 @@ def memory_lookup(spark, d):
 
 
 def stale_cleanup(spark, d):
-    return store.without_stale(_memories(spark, d), 30, NOW).select("id", "memory_type", "updated_at")
+    return store.without_stale(_memories(spark, d), 30, now()).select("id", "memory_type", "updated_at")
 
 
 def stale_cleanup_count(spark, d):
-    return _memories(spark, d).groupBy("project_id").agg(F.count_if(store.is_stale(30, NOW)).alias("removed"), F.count("*").alias("n"))
+    return _memories(spark, d).groupBy("project_id").agg(F.count_if(store.is_stale(30, now())).alias("removed"), F.count("*").alias("n"))
 
 
 def oversize_routing(spark, d):

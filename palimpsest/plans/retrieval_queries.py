@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import COMMON_WORDS, EASY, GAPS, HARD, INTENT_BOOSTS, NEEDED_KNOWLEDGE, STOP_WORDS, TASK_TYPES
 from ..operators import context, relevance, tasks
-from .ingest_queries import NOW, NOW_SQL, STRIP, TOKENS, _memories, quoted
+from .ingest_queries import NOW_SQL, STRIP, TOKENS, _memories, now, quoted
 from .seeds import ctes, seed
 
 
@@ -19,7 +19,7 @@ def _asked(spark, d):
 
 
 def _ranked(spark, d, limit=10, demote=False):
-    return relevance.ranked(_memories(spark, d), _asked(spark, d), relevance.layered_score(NOW, demote), limit)
+    return relevance.ranked(_memories(spark, d), _asked(spark, d), relevance.layered_score(now(), demote), limit)
 
 
 def query_keywords(spark, d):
@@ -50,7 +50,7 @@ def context_gaps(spark, d):
 
 def second_pass(spark, d):
     terms = tasks.second_terms(_tasks(spark, d))
-    hits = relevance.ranked(_memories(spark, d), terms.select("query_id", "project_id", "query"), relevance.layered_score(NOW), 3)
+    hits = relevance.ranked(_memories(spark, d), terms.select("query_id", "project_id", "query"), relevance.layered_score(now()), 3)
     found = hits.select("query_id", "rank", "id").join(terms.select("query_id", "task_id", "term"), "query_id")
     known = _ranked(spark, d, 3).select(F.col("query_id").alias("task_id"), "id")
     return tasks.second_pass(found, known)
@@ -70,12 +70,12 @@ def current_state(spark, d):
 
 
 def context_package(spark, d):
-    packed = context.packages(_tasks(spark, d), _memories(spark, d), relevance.layered_score(NOW), as_of="2025-06-15T00:00:00")
+    packed = context.packages(_tasks(spark, d), _memories(spark, d), relevance.layered_score(now()), as_of="2025-06-15T00:00:00")
     return packed.select("task_id", "project_id", "n_knowledge", F.array_join("constraints", "|").alias("constraints"), F.sha2("context_text", 256).alias("text_sha256"), "estimated_tokens")
 
 
 def context_run_summary(spark, d):
-    return context.run_summary(_tasks(spark, d), _memories(spark, d), relevance.layered_score(NOW), as_of="2025-06-15T00:00:00")
+    return context.run_summary(_tasks(spark, d), _memories(spark, d), relevance.layered_score(now()), as_of="2025-06-15T00:00:00")
 
 
 QUERIES = {f.__name__: f for f in (query_keywords, intent_boosts, ranked_search, task_analysis, top_keywords, context_gaps, second_pass, knowledge_projection, context_decisions, current_state, context_package, context_run_summary)}
