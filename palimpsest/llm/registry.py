@@ -81,6 +81,26 @@ select item_id as query_id, r::int as rank, doc_id, round(score, 4) as score fro
 """
 
 
+def op6_topk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 20, against all documents. Rows of one id are one query."""
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.filter("doc_id % 20 = 0").groupBy(F.col("doc_id").alias("query_id")).agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    return bm25.search(bm25.build_index(docs), asked, 10, block=2000, skip=False).withColumn("score", F.round("score", 4))
+
+
+OP6_DOCUMENTS_SQL = """
+with d as (select row_number() over () as row_id, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as words from documents),
+s as (select count(*) as n, sum(len(words)) / count(*) as mean from d),
+tf as (select row_id, doc_id, len_, term, count(*) as tf from (select row_id, doc_id, len(words) as len_, unnest(words) as term from d) group by all),
+q as (select distinct doc_id as query_id, term from tf where doc_id % 20 = 0),
+df as (select term, count(*) as df from tf group by term),
+scored as (select query_id, row_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len_ / mean))) as score
+  from q join tf using (term) join df using (term), s group by all),
+ranked as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as r from scored)
+select query_id, r::int as rank, doc_id, round(score, 4) as score from ranked where r <= 10
+"""
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("byte_bpe_50k.json")
     decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -121,6 +141,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": op4_quality,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_topk_search": op6_topk_search,
+        "op6_topk_documents": op6_topk_documents,
         "op7_bpe": op7_bpe,
         "op8_secrets": op8_secrets,
         "op9_chat_format": op9_chat_format,
@@ -129,4 +150,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk_search": OP6_SQL}
+    return {"op6_topk_search": OP6_SQL, "op6_topk_documents": OP6_DOCUMENTS_SQL}

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from palimpsest.llm import bm25
+from palimpsest.llm import bm25, registry
 
 
 def brute(docs, queries, k):
@@ -68,3 +68,34 @@ def test_wand_equals_full_scoring(seed, n_lists, k):
             total[d] += s
     want = sorted(((s, d) for d, s in total.items()), key=lambda x: (-x[0], x[1]))[:k]
     assert bm25.block_max_wand(lists, k) == want
+
+
+def test_documents_as_queries(spark, tmp_path):
+    rnd = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(300)]
+    weights = [1 / (i + 1) for i in range(300)]
+    docs = [(i, " ".join(rnd.choices(vocabulary, weights, k=rnd.choice([1, 5, 40, 400])))) for i in range(400)]
+    docs += [(1000, None), (1020, ""), (1040, docs[20][1]), (1060, "absent"), (1060, "w7 w8"), (None, docs[40][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for r in registry.op6_topk_documents(spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], -r.score, r.doc_id if r.doc_id is not None else 10**9))
+    asked = [d for d in docs if d[0] is not None and d[0] % 20 == 0 and d[0] != 1060] + [(1060, "absent w7 w8")]
+    assert len(asked) == 24
+    for q, want in brute(docs, asked, 10).items():
+        rows = sorted(got.get(q, []))
+        assert [r[2] for r in rows] == [d for _, d in want]
+        assert [r[1] for r in rows] == pytest.approx([s for s, _ in want], abs=1e-4)
+    index = bm25.build_index(df.repartition(3), shard_words=3000)
+    given = df.filter("doc_id % 20 = 0 and doc_id < 1000").withColumnRenamed("doc_id", "query_id")
+    assert sorted(bm25.search(index, given, 10, block=7).collect()) == sorted(bm25.search(index, given, 10, block=7, skip=False).collect())
+
+
+def test_documents_as_queries_equal_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.sql("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    want = con.sql(registry.oracle_sql()["op6_topk_documents"]).fetchall()
+    got = [tuple(r) for r in registry.op6_topk_documents(spark, "/root/testdata/sf0.01").collect()]
+    assert len(want) == 500 and sorted(got) == sorted(want)
