@@ -5,8 +5,8 @@ characters pass for random. A token's encoding is inferred from its characters (
 base64); within that alphabet it takes a chi-squared test of uniform use, a runs test about the
 alphabet's middle and a lag-one serial correlation test, and Fisher's sum joins their p-values.
 
-How small that sum is by chance is told by decoys: from every document one window of its own
-letters, spelled in one of the alphabets at one of the token lengths. Among the tokens of one
+How small that sum is by chance is told by decoys: every document's own letters in windows that don't
+overlap, at every token length and spelled in every alphabet. Among the tokens of one
 encoding and length class a token's p-value is the share of decoys that look as random as it does,
 and Benjamini-Hochberg over the whole table holds the share of false discoveries below ``rate`` in
 each class, so short tokens face the stricter test that their length calls for. A token whose
@@ -86,10 +86,26 @@ def normal_tail(z: Column) -> Column:
     return F.greatest(1 / (1 + F.exp(1.5976 * x + 0.070565992 * x * x * x)), F.lit(1e-12))
 
 
+def joined(f: Column, k: Column) -> Column:
+    """Fisher's sum from a token's facts under an alphabet of k characters."""
+    df, zero = k - 1, F.lit(0.0)
+    n = f["n"]
+    chi = f["squares"] * k / n - n
+    p_uniform = normal_tail((F.pow(F.greatest(chi, zero) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
+    both = 2 * f["ones"] * (n - f["ones"])
+    spread = F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1)), F.lit(1e-9)))
+    p_runs = F.when(both == 0, F.lit(1e-12)).otherwise(F.least(2 * normal_tail(F.abs(f["runs"] - both / n - 1) / spread), F.lit(1.0)))
+    p = f["places"]
+    mean = p["sum"] / n
+    power = p["squares"] - n * mean * mean
+    lagged = p["lagged"] - mean * (2 * p["sum"] - f["first"] - p["last"]) + (n - 1) * mean * mean
+    p_serial = F.when(power <= 1e-9, F.lit(1e-12)).otherwise(F.least(2 * normal_tail(F.abs((lagged / power + 1 / n) * F.sqrt(n))), F.lit(1.0)))
+    return -2 * (F.log(p_uniform) + F.log(p_runs) + F.log(p_serial))
+
+
 def fisher_sum(token: Column, alphabet: str) -> Column:
     """-2 times the sum of the logs of the three tests' p-values; small for a random token."""
     k = len(alphabet)
-    df = float(k - 1)
     letters = F.array(*map(F.lit, alphabet))
     zero = F.lit(0.0)
 
@@ -107,21 +123,7 @@ def fisher_sum(token: Column, alphabet: str) -> Column:
         F.instr(F.lit(alphabet), F.substring(token, 1, 1)).cast("double").alias("first"),
     )
 
-    def joined(f: Column) -> Column:
-        n = f["n"]
-        chi = f["squares"] * k / n - n
-        p_uniform = normal_tail((F.pow(F.greatest(chi, zero) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
-        both = 2 * f["ones"] * (n - f["ones"])
-        spread = F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1)), F.lit(1e-9)))
-        p_runs = F.when(both == 0, F.lit(1e-12)).otherwise(F.least(2 * normal_tail(F.abs(f["runs"] - both / n - 1) / spread), F.lit(1.0)))
-        p = f["places"]
-        mean = p["sum"] / n
-        power = p["squares"] - n * mean * mean
-        lagged = p["lagged"] - mean * (2 * p["sum"] - f["first"] - p["last"]) + (n - 1) * mean * mean
-        p_serial = F.when(power <= 1e-9, F.lit(1e-12)).otherwise(F.least(2 * normal_tail(F.abs((lagged / power + 1 / n) * F.sqrt(n))), F.lit(1.0)))
-        return -2 * (F.log(p_uniform) + F.log(p_runs) + F.log(p_serial))
-
-    return let(facts, joined)
+    return let(facts, lambda f: joined(f, F.lit(float(k))))
 
 
 def encoding_of(token: Column) -> Column:
@@ -154,6 +156,10 @@ def scored(token: Column, encoding: Column) -> Column:
     total = F.lit(None).cast("double")
     for k, alphabet in enumerate(ALPHABETS.values()):
         total = F.when(encoding == k, fisher_sum(token, alphabet)).otherwise(total)
+    return binned(total)
+
+
+def binned(total: Column) -> Column:
     return F.least(F.floor(total * 4), F.lit(BINS - 1)).cast("int")
 
 
@@ -169,21 +175,72 @@ def histogram(docs: DataFrame) -> DataFrame:
     """(encoding, length_class, bin, n_tokens, n_decoys) over the whole table: some thousand rows at most."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select(text.alias("text")).filter(F.col("text").rlike(TOKEN)).select(F.explode(tokens(F.col("text"))).alias("t"))
-    of_tokens = found.select(F.col("t.encoding").alias("encoding"), F.col("t.word").alias("word"), F.lit(1).alias("is_token"))
-
-    drawn = F.xxhash64("text")
-    letters = docs.select(text.alias("text")).select(drawn.alias("h"), F.lower(F.regexp_replace("text", "[^A-Za-z]+", "")).alias("letters"))
-    kind, size = F.pmod("h", F.lit(4)).cast("int"), F.element_at(F.array(*map(F.lit, LENGTHS)), F.pmod(F.shiftright("h", 8), F.lit(5)).cast("int") + 1)
-    window = letters.select(kind.alias("encoding"), size.alias("size"), "h", "letters").filter(F.length("letters") >= F.col("size"))
-    start = F.pmod(F.shiftright("h", 16), (F.length("letters") - F.col("size") + 1).cast("long")).cast("int") + 1
-    cut = window.select("encoding", F.substring("letters", start, F.col("size")).alias("letters"))
-    word = F.lit(None).cast("string")
+    of_tokens = found.select(F.col("t.encoding").alias("encoding"), F.col("t.word").alias("word"))
+    rows = of_tokens.select("encoding", length_class(F.length("word")).alias("length_class"), scored(F.col("word"), F.col("encoding")).alias("bin"))
+    counted = rows.groupBy("encoding", "length_class", "bin").agg(F.count("*").alias("n_tokens")).withColumn("n_decoys", F.lit(0).cast("long"))
+    return counted.unionByName(decoys(docs)).groupBy("encoding", "length_class", "bin").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_decoys").alias("n_decoys"))
+
+
+def decoys(docs: DataFrame) -> DataFrame:
+    """(encoding, length_class, bin, n_tokens 0, n_decoys) of every window of the texts' letters, for all encodings and lengths."""
+    letters = F.lower(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), "[^A-Za-z]+", ""))
     plain = "abcdefghijklmnopqrstuvwxyz"
-    for k, alphabet in enumerate(ALPHABETS.values()):
-        word = F.when(F.col("encoding") == k, F.translate("letters", plain, "".join(alphabet[i % len(alphabet)] for i in range(26)))).otherwise(word)
-    of_decoys = cut.select("encoding", word.alias("word"), F.lit(0).alias("is_token"))
-    rows = of_tokens.unionByName(of_decoys).select("encoding", length_class(F.length("word")).alias("length_class"), scored(F.col("word"), F.col("encoding")).alias("bin"), "is_token")
-    return rows.groupBy("encoding", "length_class", "bin").agg(F.sum("is_token").alias("n_tokens"), F.sum(1 - F.col("is_token")).alias("n_decoys"))
+    bits = docs.select(*[F.translate(letters, plain, "".join(str(i >> b & 1) for i in range(26))).alias(f"bits{b}") for b in range(5)])
+
+    def windows(n: int) -> Column:
+        cut = F.arrays_zip(*[F.regexp_extract_all(f"bits{b}", F.lit(f"[01]{{{n}}}"), F.lit(0)).alias(f"b{b}") for b in range(5)])
+        return F.transform(cut, lambda w: F.struct(F.lit(n).alias("n"), *[w[f"b{b}"].alias(f"b{b}") for b in range(5)]))
+
+    cut = bits.select(F.explode(F.concat(*map(windows, LENGTHS))).alias("w"))
+    planes = cut.select(F.col("w.n").alias("n"), *[F.conv(f"w.b{b}", 2, -10).cast("long").alias(f"b{b}") for b in range(5)])
+    return decoy_bins(planes).groupBy("encoding", "length_class", "bin").agg(F.lit(0).cast("long").alias("n_tokens"), F.count("*").alias("n_decoys"))
+
+
+def decoy_bins(planes: DataFrame) -> DataFrame:
+    """(encoding, length_class, bin) of windows (n, b0..b4) whose letters' numbers, 0 to 25, lie in bits: bk has bit k of each letter.
+
+    The bins are scored()'s for the window spelled in hex as the number modulo 16, in base32 by capitals,
+    and in base62 and base64 by small letters. A shift of all places leaves the serial correlation as it is.
+    """
+    n, b = F.col("n"), [F.col(f"b{k}") for k in range(5)]
+    full = F.when(n >= 64, F.lit(-1).cast("long")).otherwise(F.expr("shiftleft(1L, n) - 1"))
+    out = [F.bitwise_not(x).bitwiseAND(F.col("full")) for x in b]
+
+    def held(letter: int) -> Column:
+        found = b[0] if letter & 1 else out[0]
+        for k in range(1, 5):
+            found = found.bitwiseAND(b[k] if letter >> k & 1 else out[k])
+        return F.bit_count(found).cast("double")
+
+    counted = planes.withColumn("full", full).select("*", *[held(i).alias(f"c{i}") for i in range(26)])
+    c = [F.col(f"c{i}") for i in range(26)]
+    lagged = lambda most: sum((F.bit_count(b[i].bitwiseAND(F.shiftrightunsigned(b[j], 1))) * (1 << i + j) for i in range(most) for j in range(most)), F.lit(0)).cast("double")
+    beyond = b[4].bitwiseOR(b[3])
+    halves = [b[3], b[4], beyond.bitwiseOR(b[2].bitwiseAND(b[1].bitwiseOR(b[0]))), beyond.bitwiseOR(b[2].bitwiseAND(b[1]))]
+
+    def end(top: bool, most: int) -> Column:
+        """The number, in most bits, of the first letter (the top bit) or the last one."""
+        at = [F.expr(f"shiftrightunsigned(b{k}, {'n - 1' if top else '0'})").bitwiseAND(F.lit(1)) for k in range(most)]
+        return sum((x * (1 << k) for k, x in enumerate(at)), F.lit(0)).cast("double")
+
+    def facts(encoding: int) -> Column:
+        most = 4 if encoding == 0 else 5
+        counts = [c[i] + c[i + 16] if i < 10 else c[i] for i in range(16)] if encoding == 0 else c
+        half = halves[encoding]
+        turns = F.bit_count(half.bitwiseXOR(F.shiftrightunsigned(half, 1)).bitwiseAND(F.shiftrightunsigned("full", 1)))
+        zero = F.lit(0.0)
+        places = F.struct(
+            end(False, most).alias("last"), sum((x * i for i, x in enumerate(counts)), zero).alias("sum"),
+            sum((x * (i * i) for i, x in enumerate(counts)), zero).alias("squares"), lagged(most).alias("lagged"),
+        )
+        return F.struct(
+            n.cast("double").alias("n"), sum((x * x for x in counts), zero).alias("squares"), F.bit_count(half).cast("double").alias("ones"),
+            (turns + 1).cast("double").alias("runs"), places.alias("places"), end(True, most).alias("first"),
+        )
+
+    each = F.array(*[F.struct(F.lit(e).alias("encoding"), F.lit(float(len(a))).alias("k"), facts(e).alias("facts")) for e, a in enumerate(ALPHABETS.values())])
+    rows = counted.select(length_class(n).alias("length_class"), F.explode(each).alias("d"))
+    return rows.select("d.encoding", "length_class", binned(joined(F.col("d.facts"), F.col("d.k"))).alias("bin"))
 
 
 def limits(counts: DataFrame, rate: float = 0.05) -> dict[tuple[int, int], int]:

@@ -55,3 +55,32 @@ def test_random_tokens_found_words_left(spark):
     assert sum(any(s.rank == 3 for s in got[i].spans) for i in range(60, 120)) <= 6
     for i in range(60):
         assert all(rows[i][1][s.start : s.end] == keys[i] for s in got[i].spans if s.rank == 3)
+
+
+def test_decoys_are_all_windows(spark):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=700)), " ".join(["The Quick brown fox, 12 jumps"] * 30), "z" * 64, "zzzz", "", None, "Aa" * 40]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = "abcdefghijklmnopqrstuvwxyz"
+    to = ["".join(a[i % 16] if e == 0 else a[i] if e == 1 else a[26 + i] for i in range(26)) for e, a in enumerate(secrets.ALPHABETS.values())]
+    words = []
+    for t in texts:
+        letters = re.sub("[^a-z]", "", (t or "").lower())
+        words += [(e, letters[i : i + n].translate(str.maketrans(plain, to[e]))) for n in secrets.LENGTHS for i in range(0, len(letters) - n + 1, n) for e in range(4)]
+    rows = spark.createDataFrame(words, "encoding int, word string")
+    want = rows.select("encoding", secrets.length_class(secrets.F.length("word")).alias("length_class"), secrets.scored(secrets.F.col("word"), secrets.F.col("encoding")).alias("bin"))
+    want = {(r[0], r[1], r[2]): r[3] for r in want.groupBy("encoding", "length_class", "bin").count().collect()}
+    assert {(r["encoding"], r["length_class"], r["bin"]): r["n_decoys"] for r in secrets.decoys(docs).collect()} == want
+    assert secrets.decoys(docs.limit(0)).count() == 0
+
+
+def test_one_random_token_among_thousands(spark):
+    rnd = random.Random(4)
+    words = "thing other inner ratio order never under after being state total again".split()
+    prose = [" ".join(rnd.choices(words, k=700)) for _ in range(500)]
+    names = ["".join(w.capitalize() for w in rnd.choices(words, k=7)) + str(i % 10) for i in range(2000)]
+    key = "".join(rnd.choices(secrets.ALPHABETS["base62"], k=40))
+    rows = [(i, f"{p} {' '.join(names[4 * i : 4 * i + 4])} {key if i == 77 else ''}") for i, p in enumerate(prose)]
+    found = [(r.doc_id, rows[r.doc_id][1][s.start : s.end]) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r.spans if s.rank == 3]
+    assert (77, key) in found
+    assert len(found) <= 2
