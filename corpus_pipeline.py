@@ -2,14 +2,14 @@
 
 quality     rejects documents whose grade is likely below the wanted one
 toxicity    rejects toxic documents
-near_dedup  keeps one document of each group of near-duplicates
+near_dedup  keeps one row of each group of near-duplicates, the one of the least doc_id (null ids last)
 secrets     replaces secrets in the texts and brings n_chars up to date
 packing     packs what is left into sequences of 2048 tokens: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents. Classifiers learn from the labelled rows among the stage's own input. Null and empty
-texts pass the quality stage only if the model keeps them; a null doc_id is kept by every stage
-that its text passes, repeated rows are packed one by one.
+texts pass the quality stage only if the model keeps them; a null doc_id is a row like any other.
+Of repeated rows near_dedup keeps one; texts without shingles have no copies and all stay.
 """
 
 from __future__ import annotations
@@ -35,8 +35,14 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = near_dup.near_duplicates(docs).filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    return docs.join(groups.filter("not kept"), "doc_id", "left_anti").select(*docs.columns)
+    # rows of one id, or without one, are told apart by a written number
+    docs_ = written(docs.withColumn("_stage_row", F.monotonically_increasing_id()), "numbered")
+    found = near_dup.near_duplicates(docs_.select(F.col("_stage_row").alias("doc_id"), "text"))
+    rows = docs_.select("_stage_row", "doc_id").join(found.select(F.col("doc_id").alias("_stage_row"), "component_id"), "_stage_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_stage_row"))
+    groups = rows.groupBy("component_id").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1")
+    gone = rows.join(groups, "component_id").filter(F.col("_stage_row") != F.col("first._stage_row")).select("_stage_row")
+    return docs_.join(gone, "_stage_row", "left_anti").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,13 @@ def test_stages(spark):
 def test_run_is_the_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "near_dedup", "secrets", "packing"]
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_near_dedup_of_repeated_rows(spark):
+    def text(k):
+        return " ".join(f"w{(k * 37 + i * i) % 211}x{k}" for i in range(40))
+
+    rows = [(1, text(1)), (1, text(1)), (None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (8, text(4)), (9, text(5)), (6, text(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()]
+    assert sorted(kept, key=str) == sorted([(1, text(1)), (None, text(2)), (7, text(3)), (6, text(4)), (9, text(5))], key=str)
