@@ -82,6 +82,19 @@ def searcher():
     return automaton, patterns
 
 
+def all_matches(pattern: regex.Pattern, words: str, low: int, high: int, least: int) -> list[regex.Match]:
+    """The matches between low and high. finditer jumps to the best match of the rest, so what lies left of each is searched again."""
+    out, left = [], [(low, high)]
+    while left:
+        at, end = left.pop()
+        for m in pattern.finditer(words, at, end):
+            out.append(m)
+            if m.start() - at >= least:
+                left.append((at, m.start()))
+            at = m.end()
+    return out
+
+
 def fuzzy_matches(words: str) -> list[tuple[int, int, str, int, float]]:
     """(start, end, label, edits, score) of notices in space-joined words, by start."""
     automaton, patterns = searcher()
@@ -101,7 +114,7 @@ def fuzzy_matches(words: str) -> list[tuple[int, int, str, int, float]]:
     for n, spans in windows.items():
         pattern, notice, errors = patterns[n]
         for low, high in spans:
-            for m in pattern.finditer(words, low, high):
+            for m in all_matches(pattern, words, low, high, len(notice) - errors):
                 edits = sum(m.fuzzy_counts)
                 out.add((m.start(), m.end(), NOTICES[notice], edits, 1 - edits / (len(notice) + 1)))
     return sorted(out)

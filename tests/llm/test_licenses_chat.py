@@ -91,3 +91,8 @@ def test_parts_become_placeholders(spark):
     assert got[0].segment == "<|turn:user|>\nsee <\\|image:0|\\> <|image:0|><|audio:1|><|end|>\n"
     assert [(a.kind, a.ref, a.tokens) for r in got for a in r.attachments] == [("image", "s3/a.png", 4), ("audio", "b.wav", 25), ("document", "c.pdf", 1536)]
     assert got[1].segment[got[1].loss_start : got[1].loss_end] == "<|document:2|>done"
+
+
+def test_every_notice_of_a_run_is_found():
+    text = "gnu generl public license and gnu general public license and gnu genral public license"
+    assert {(0, 25), (30, 56), (61, 86)} <= {m[:2] for m in licenses.fuzzy_matches(text)}
