@@ -6,8 +6,11 @@ P(grade <= k) = sigmoid(threshold_k - weights . features) shares the weights amo
 keeps the thresholds in order; it gives the expected grade and the probability of a grade from a
 wanted one on, by which documents are chosen.
 
-Training sees at most a stated number of rated rows of each grade. Null and empty texts have no
-features: the thresholds alone grade them.
+Training sees a bounded sample of rated rows of each grade (see common.labelled_sample). Null and empty
+texts have no features: the thresholds alone grade them. Repeated rows are graded alike, one by one. Texts
+are read in blocks of about half a million bytes, cut at white space, so memory doesn't follow the longest
+one. Of an empty table nothing is learned, and every text is of the wanted grade. Other columns pass
+through; those that have the scores' names give way to them. More than 64 grades are an error.
 """
 
 from __future__ import annotations
@@ -19,9 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, map_columns, with_scores
-
-BLOCK = 1_000_000
+from .common import field, labelled_sample, map_columns, text_blocks, with_scores
 
 #: Character shapes: letters by case, digits; anything else is itself. Beyond ASCII, case decides at training and scoring alike.
 _SHAPE = np.arange(0x250, dtype="uint32")
@@ -35,10 +36,10 @@ def features(text: bytes, bits: int) -> np.ndarray:
     The first number is the share of words that repeat the word before.
     """
     size, half = 1 << bits, 1 << (bits - 1)
-    counts, words = np.zeros(size), 0
-    codes = np.frombuffer(text.decode().encode("utf-32-le"), "<u4")
-    for at in range(0, len(codes), BLOCK):
-        part = codes[at : at + BLOCK]
+    counts, words, letters = np.zeros(size), 0, 0
+    for block in text_blocks(text):
+        part = np.frombuffer(block.decode().encode("utf-32-le"), "<u4")
+        letters += len(part)
         shape = np.where(part < 0x250, _SHAPE[np.minimum(part, 0x24F)], np.uint32(97))
         h = shape * np.uint32(2654435761)
         for n in range(1, 5):
@@ -58,7 +59,7 @@ def features(text: bytes, bits: int) -> np.ndarray:
             counts[0] += 4 * len(part) * np.mean(word[1:] == word[:-1]) if len(word) > 1 else 0
             counts[half:] += np.bincount((word >> np.uint64(65 - bits)).astype("int64"), minlength=half)
             words += int(kept.sum())
-    counts[:half] /= max(1, 4 * len(codes))
+    counts[:half] /= max(1, 4 * letters)
     counts[half:] /= max(1, words)
     return counts
 
@@ -131,32 +132,26 @@ def train(x: np.ndarray, grades: np.ndarray, bits: int, wanted: int, steps: int
     return Model(share * w, centre, spread, theta, known, bits, wanted)
 
 
-def fit(docs: DataFrame, ratings: DataFrame, rating: str = "quality", wanted: int | None = None, most: int = 1500, bits: int = 12) -> Model:
-    """A model from docs(doc_id, text) and ratings(doc_id, rating): at most `most` rated rows of each grade.
+def fit(docs: DataFrame, ratings: DataFrame, rating: str = "quality", wanted: int | None = None, most: int = 1500, most_bytes: int = 16 << 20, bits: int = 12) -> Model:
+    """A model from docs(doc_id, text) and ratings(doc_id, rating): of each grade at most `most` rated rows and most_bytes of text.
 
     The driver gets 2 ** bits numbers for each of them. wanted: the lowest grade worth keeping, the
     second lowest grade there is if not given.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{rating}`").cast("int").alias("grade")).dropna()
-    known = [r["grade"] for r in rows.groupBy("grade").count().orderBy("grade").limit(64).collect()]
-    parts = [rows.filter(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for g in known]
-    if not parts:
-        return train(np.zeros((0, 1 << bits)), np.zeros(0, int), bits, wanted or 0)
-    chosen = parts[0]
-    for part in parts[1:]:
-        chosen = chosen.unionByName(part)
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = labelled_sample(docs, ratings, rating, most, most_bytes)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            yield {"doc_id": batch["doc_id"], "grade": batch["grade"], "x": [features(t, bits).astype("float32") for t in batch["text"]]}
+            yield {"doc_id": batch["doc_id"], "grade": batch["label"], "x": [features(t, bits).astype("float32") for t in batch["text"]]}
 
-    found = map_columns(sample, {c: F.col(c) for c in ("doc_id", "grade", "text")}, [field("doc_id", "long"), field("grade", "int"), field("x", ["float"])], run).toArrow()
+    found = map_columns(sample, {c: F.col(c) for c in ("doc_id", "label", "text")}, [field("doc_id", "long"), field("grade", "int"), field("x", ["float"])], run).toArrow()
     order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
     x = found["x"].combine_chunks().flatten().to_numpy().reshape(-1, 1 << bits)[order]
-    wanted = wanted if wanted is not None else known[min(1, len(known) - 1)]
-    return train(x, found["grade"].to_numpy()[order], bits, wanted)
+    grades = found["grade"].to_numpy()[order]
+    if wanted is None:
+        known = sorted(set(grades.tolist()))
+        wanted = known[min(1, len(known) - 1)] if known else 0
+    return train(x, grades, bits, wanted)
 
 
 def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("expected_grade", "tail_probability")) -> DataFrame:

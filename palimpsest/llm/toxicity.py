@@ -1,18 +1,21 @@
 """Toxicity scores: subword-bag embeddings, averaged, into a linear softmax.
 
-A word's subwords are its character n-grams with marks for its start and end, hashed into rows of
-one embedding table. A bag is `span` neighbouring words: the mean of their subword vectors goes
-into a softmax of two classes, and a text's score is that of its most toxic bag (a few toxic words
-are lost in the mean of a long text). Table and softmax are trained together in numpy; a misspelled
-or inflected word that training never saw shares most n-grams with one that it did see.
-
-Training sees a bounded sample of labelled rows. Its table starts from the log odds of each subword
-in the two classes; then the texts' strongest bags under that start, a fixed number for each text,
-train table and softmax by gradient steps through the strongest of them.
-
-Scoring needs, of each subword, only its vector's product with the softmax weights: 2 ** bits
-floats, sent to the executors (a fixed size, 0.5 MB by default). Null and empty texts get the score
-of an empty bag.
+A word's subwords are its character n-grams with marks for its start and end, hashed into rows of one
+embedding table; a word's vector is the mean of its subwords'. A text is one bag: the weighted average
+of all its words' vectors, and that average goes into a softmax of two classes. A word's weight in it is
+exp of the mean of its subwords' pulls, a further number in each row of the table, so a few words that
+matter are not lost among thousands that don't. Table, pulls and softmax start from nothing but small
+random numbers and are trained together in numpy; a misspelled or inflected word that training never
+saw shares most n-grams with one that it did see.
+
+Training sees a bounded sample of labelled rows (see common.labelled_sample). Scoring needs of each subword its vector's product with the softmax, and its pull:
+2 * 2 ** bits floats, sent to the executors (a fixed size, 1 MB by default).
+
+Null and empty texts, and texts without letters or digits, get the score of an empty bag. Repeated
+rows get equal scores, one for each row. Texts are scored in blocks of about half a million bytes, so memory
+doesn't follow the longest one; a word of more than a million bytes counts as several. Of empty tables
+nothing is learned, and no text is toxic. Other columns pass through; one that has the score's name gives
+way to it.
 """
 
 from __future__ import annotations
@@ -26,15 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, map_columns, with_scores, written
+from .common import field, labelled_sample, map_columns, text_blocks, with_scores
 
-#: Texts are scored in blocks of about so many characters, so memory doesn't follow the longest text.
-BLOCK = 1_000_000
 
-
-def word_codes(text: bytes) -> np.ndarray:
-    """Code points of the lower-cased text; what is no letter or digit in ASCII is one space, at both ends too."""
-    codes = np.frombuffer(f" {text.decode().lower()} ".encode("utf-32-le", "replace"), "<u4")
+def word_codes(block: bytes) -> np.ndarray:
+    """Code points of the lower-cased block; what is no letter or digit in ASCII is one space, at both ends too."""
+    codes = np.frombuffer(f" {block.decode().lower()} ".encode("utf-32-le", "replace"), "<u4")
     low = codes < 128
     codes = np.where(low & ~_WORD_CODE[np.minimum(codes, 127)], np.uint32(32), codes)
     blank = codes == 32
@@ -44,17 +44,6 @@ def word_codes(text: bytes) -> np.ndarray:
 _WORD_CODE = np.array([chr(c).isalnum() for c in range(128)])
 
 
-def blocks(codes: np.ndarray, size: int = BLOCK) -> Iterator[np.ndarray]:
-    """codes cut at spaces; a block starts and ends with one."""
-    at = 0
-    while len(codes) - at > 2 * size:
-        after = np.flatnonzero(codes[at + size :] == 32)[0] + at + size
-        yield codes[at : after + 1]
-        at = after
-    if len(codes) - at > 1:
-        yield codes[at:]
-
-
 def subword_rows(codes: np.ndarray, bits: int, shortest: int = 3, longest: int = 6) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each length of n-gram: the table row of the one at each place, and whether it lies in one word."""
     spaces = np.cumsum(codes == 32, dtype=np.int32)
@@ -69,168 +58,138 @@ def subword_rows(codes: np.ndarray, bits: int, shortest: int = 3, longest: int =
     return out
 
 
-def word_sums(codes: np.ndarray, weights: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each word, the sum of its subwords' weights and their number."""
+def word_means(codes: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
+    """For each word, the means of its subwords' rows of the table(2, 2 ** bits)."""
     word = np.cumsum(codes == 32, dtype=np.int32) - 1
-    total = np.zeros(len(codes), "float32")
-    count = np.zeros(len(codes), "float32")
+    n = int(word[-1])
+    total, count = np.zeros((len(table), len(codes)), "float32"), np.zeros(len(codes), "float32")
     for rows, inside in subword_rows(codes, bits):
-        total[: len(rows)] += weights[rows] * inside
+        for k, values in enumerate(table):
+            total[k, : len(rows)] += values[rows] * inside
         count[: len(rows)] += inside
-    n = int(word[-1])
-    return np.bincount(word, total, n + 1)[:n], np.bincount(word, count, n + 1)[:n]
-
-
-def bag_means(sums: np.ndarray, counts: np.ndarray, span: int) -> np.ndarray:
-    """The mean weight of each run of span words, or of all words if there are fewer."""
-    span = min(span, len(sums))
-    a, b = (np.concatenate([[0.0], np.cumsum(x)]) for x in (sums, counts))
-    return (a[span:] - a[:-span]) / np.maximum(b[span:] - b[:-span], 1)
+    many = np.maximum(np.bincount(word, count, n + 1)[:n], 1)
+    return np.stack([np.bincount(word, t, n + 1)[:n] / many for t in total])
 
 
 @dataclass
 class Model:
-    """A bag's score is sigmoid(mean of its subwords' weights + bias)."""
+    """A text's score is sigmoid(average of its words' logits, weighted by exp of their pulls, + bias); table: logits and pulls of subwords."""
 
-    weights: np.ndarray
+    table: np.ndarray
     bias: float
     bits: int
-    span: int
 
     def score(self, text: bytes) -> float:
-        best, last = None, (np.zeros(0), np.zeros(0))
-        for codes in blocks(word_codes(text)):
-            now = [np.concatenate([a[len(a) - min(len(a), self.span - 1) :], b]) for a, b in zip(last, word_sums(codes, self.weights, self.bits))]
-            most = bag_means(*now, self.span).max()
-            best, last = most if best is None else max(best, most), now
-        return sigmoid((0.0 if best is None else float(best)) + self.bias)
-
-
-def sigmoid(x: float) -> float:
-    return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
+        top = weight = 0.0
+        for block in text_blocks(text):
+            codes = word_codes(block)
+            if len(codes) > 1:
+                logits, pulls = word_means(codes, self.table, self.bits)
+                each = np.exp(np.clip(pulls, -_MOST, _MOST))
+                top, weight = top + float(each @ logits), weight + float(each.sum())
+        return sigmoid((top / weight if weight else 0.0) + self.bias)
 
 
-def present_rows(text: bytes, bits: int) -> np.ndarray:
-    """The distinct subword rows of a text."""
-    found = [np.unique(rows[inside]) for codes in blocks(word_codes(text)) for rows, inside in subword_rows(codes, bits)]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, "int64")
+_MOST = 20.0  # of a pull
 
 
-def strongest_bags(text: bytes, weights: np.ndarray, bits: int, span: int, most: int) -> list[list[int]]:
-    """The subword rows of the text's bags of highest mean weight; bags that overlap a stronger one are left out."""
-    found = []
-    for codes in blocks(word_codes(text)):
-        means = bag_means(*word_sums(codes, weights, bits), span)
-        starts = np.flatnonzero(codes == 32)
-        taken: list[int] = []
-        for k in np.argsort(-means, kind="stable")[: most * 2 * span]:
-            if len(taken) < most and all(abs(int(k) - t) >= span for t in taken):
-                taken.append(int(k))
-                part = codes[starts[k] : starts[min(k + span, len(starts) - 1)] + 1]
-                found.append((-float(means[k]), np.concatenate([rows[inside] for rows, inside in subword_rows(part, bits)] or [np.zeros(0, "int64")]).tolist()))
-    return [rows for _, rows in sorted(found, key=lambda f: f[0])[:most]]
-
-
-def log_odds(rows: np.ndarray, labels: np.ndarray, counts: np.ndarray, texts: tuple[int, int], bits: int) -> np.ndarray:
-    """Of each subword: how much likelier a toxic text holds it."""
-    by = np.zeros((2, 1 << bits))
-    np.add.at(by, (labels, rows), counts)
-    share = [(by[c] + 0.5) / (texts[c] + 1) for c in (0, 1)]
-    return np.log(share[1] / share[0])
+def sigmoid(x: float) -> float:
+    return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
 
 
-def train(bags: list[list[list[int]]], toxic: np.ndarray, start: np.ndarray, bits: int, span: int, dim: int = 8, steps: int = 80, rate: float = 0.05, seed: int = 7) -> Model:
-    """Adam on the cross entropy of each text's strongest bag, both classes weighted alike."""
+def subwords_of(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, table row) of all subwords of these words, by word; a row that a word has twice is there twice."""
+    numbers, rows, at = [], [], 0
+    while at < len(words):
+        part = words[at : at + 20_000]
+        codes = word_codes(" ".join(part).encode())
+        word = np.cumsum(codes == 32) - 1 + at
+        for found, inside in subword_rows(codes, bits):
+            numbers.append(word[: len(found)][inside])
+            rows.append(found[inside].astype("int64"))
+        at += len(part)
+    numbers, rows = (np.concatenate(x) if x else np.zeros(0, "int64") for x in (numbers, rows))
+    order = np.argsort(numbers, kind="stable")
+    return numbers[order], rows[order]
+
+
+def train(texts: np.ndarray, words: np.ndarray, counts: np.ndarray, spelled: list[str], toxic: np.ndarray, bits: int,
+          dim: int = 8, steps: int = 60, rate: float = 0.1, least: int = 3, clean: float = 8.0, seed: int = 7) -> Model:
+    """Adam on the cross entropy of all texts; all clean ones together weigh `clean` times all toxic ones, so doubt counts for a text.
+
+    Entry k says that text texts[k] (in order) holds word words[k], spelled[words[k]], counts[k] times. Subwords of
+    fewer than `least` (text, word) entries stay as they start.
+    """
+    n_texts, n_words = len(toxic), len(spelled)
+    number, row = subwords_of(spelled, bits)
+    many = np.maximum(np.bincount(number, minlength=n_words), 1)
+    frequent = np.bincount(row, np.bincount(words, minlength=n_words)[number], 1 << bits) >= least
+    kept = frequent[row]
+    used, row = np.unique(row[kept], return_inverse=True)
+    number = number[kept]
+    share = (1 / many)[number]
     rng = np.random.default_rng(seed)
-    owner = np.array([d for d, own in enumerate(bags) for _ in own])
-    flat = np.concatenate([np.array(b, "int64") for own in bags for b in own])
-    sizes = np.array([len(b) for own in bags for b in own])
-    bag_of = np.repeat(np.arange(len(sizes)), sizes)
-    share = (1 / np.maximum(sizes, 1))[bag_of]
-    used, place = np.unique(flat, return_inverse=True)
-    table = rng.normal(0, 0.01, (1 << bits, dim))
-    table[:, 0] = start
-    soft = rng.normal(0, 0.01, (dim, 2))
-    soft[0] = -2, 2
-    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    score0 = np.maximum.reduceat(np.bincount(bag_of, share * start[flat], len(sizes)), first)
-    y = toxic[owner[first]]
-    middle = (np.quantile(score0[y == 1], 0.02) + np.quantile(score0[y == 0], 0.98)) / 2
-    bias = np.array([2 * middle, -2 * middle])
-    params = [table[used], soft, bias]
+    params = [rng.normal(0, 0.01, (len(used), dim)), np.zeros(len(used)), rng.normal(0, 0.3, (dim, 2)), np.zeros(2)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    weight = np.where(toxic == 1, 1 / max(1, (toxic == 1).sum()), clean / max(1, (toxic == 0).sum())) / (1 + clean)
     for step in range(1, steps + 1):
-        table_, soft, bias = params
-        logit = np.bincount(bag_of, share * (table_ @ (soft[:, 1] - soft[:, 0]))[place], len(sizes)) + bias[1] - bias[0]
-        top = np.maximum.reduceat(logit, first)
-        chosen = np.zeros(len(sizes), bool)
-        for_bag = np.repeat(top, np.diff([*first, len(sizes)]))
-        hit = np.flatnonzero(logit == for_bag)
-        chosen[hit[np.unique(owner[hit], return_index=True)[1]]] = True
-        g = (1 / (1 + np.exp(-np.clip(top, -60, 60))) - y) * weight
-        at_bag = np.zeros(len(sizes))
-        at_bag[chosen] = g
-        pull = np.bincount(place, share * at_bag[bag_of], len(used))
-        mean_pull = table_.T @ pull
-        grads = [np.outer(pull, soft[:, 1] - soft[:, 0]), np.stack([-mean_pull, mean_pull], 1), np.array([-g.sum(), g.sum()])]
+        table, pull, soft, bias = params
+        apart = soft[:, 1] - soft[:, 0]
+        logits = np.bincount(number, share * (table @ apart)[row], n_words)
+        each = counts * np.exp(np.clip(np.bincount(number, share * pull[row], n_words), -_MOST, _MOST))[words]
+        each /= np.maximum(np.bincount(texts, each, n_texts), 1e-300)[texts]
+        mean = np.bincount(texts, each * logits[words], n_texts)
+        p = 1 / (1 + np.exp(-np.clip(mean + bias[1] - bias[0], -60, 60)))
+        g = (p - toxic) * weight
+        of_entry = g[texts] * each
+        of_row = np.bincount(row, share * np.bincount(words, of_entry, n_words)[number], len(used))
+        of_pull = np.bincount(row, share * np.bincount(words, of_entry * (logits[words] - mean[texts]), n_words)[number], len(used))
+        of_soft = table.T @ of_row
+        grads = [np.outer(of_row, apart), of_pull, np.stack([-of_soft, of_soft], 1), np.array([-g.sum(), g.sum()])]
         for k, grad in enumerate(grads):
             m, v = moments[k]
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
-            params[k] = params[k] - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6) * (0.2 if k == 0 else 1)
-    table[used], soft, bias = params
-    return Model((table @ (soft[:, 1] - soft[:, 0])).astype("float32"), float(bias[1] - bias[0]), bits, span)
-
+            params[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + (1e-5 if k < 2 else 1e-6))
+    table, pull, soft, bias = params
+    out = np.zeros((2, 1 << bits), "float32")
+    out[0, used], out[1, used] = table @ (soft[:, 1] - soft[:, 0]), pull
+    return Model(out, float(bias[1] - bias[0]), bits)
 
-def sampled_ids(labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, label) of at most `most` rows of each class 0 and 1, chosen by a hash of the id."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("label")).filter("doc_id is not null")
-    parts = [rows.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for c in (0, 1)]
-    return parts[0].unionByName(parts[1])
 
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 2500, most_bytes: int = 16 << 20, bits: int = 17) -> Model:
+    """A model from docs(doc_id, text) and labels(doc_id, label): of each class at most `most` labelled rows and most_bytes of text.
 
-def labelled_sample(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, label, text), written once: ids is bounded and broadcast."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(ids), "doc_id")
-    return written(rows.select("doc_id", "label", "text"), "sample")
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 2500, bits: int = 17, span: int = 3, bags: int = 12) -> Model:
-    """A model from docs(doc_id, text) and labels(doc_id, label): at most `most` labelled rows of each class.
-
-    The driver gets counts of 2 ** bits subwords for each class, then `bags` bags of `span` words for
-    each text of the sample. Without rows of both classes no text is called toxic.
+    The driver gets the sample's distinct words and how often each text has them. Without rows of both classes no
+    text is called toxic.
     """
-    sample = labelled_sample(docs, sampled_ids(labels, label, most))
-    texts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(texts) < 2:
-        return Model(np.zeros(1 << bits, "float32"), -2.0, bits, span)
+    sample = labelled_sample(docs, labels.filter(F.col(f"`{label}`").isin(0, 1)), label, most, most_bytes)
 
-    def presence(batches: Iterator[dict]) -> Iterator[dict]:
-        seen = np.zeros((2, 1 << bits), "int64")
+    def bags(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            for one, text in zip(batch["label"], batch["text"]):
-                seen[one, present_rows(text, bits)] += 1
-        which, rows = np.nonzero(seen)
-        yield {"label": pa.array(which.astype("int32")), "row": pa.array(rows), "n": pa.array(seen[which, rows])}
-
-    inputs = {c: F.col(c) for c in ("doc_id", "label", "text")}
-    found = map_columns(sample, inputs, [field("label", "int"), field("row", "long"), field("n", "long")], presence)
-    counts: pa.Table = found.groupBy("label", "row").agg(F.sum("n").alias("n")).toArrow()
-    start = log_odds(counts["row"].to_numpy(), counts["label"].to_numpy(), counts["n"].to_numpy(), (texts[0], texts[1]), bits)
-    sent = docs.sparkSession.sparkContext.broadcast(start.astype("float32"))
-
-    def strongest(batches: Iterator[dict]) -> Iterator[dict]:
-        for batch in batches:
-            rows = [strongest_bags(t, sent.value, bits, span, bags) for t in batch["text"]]
-            yield {"doc_id": batch["doc_id"], "label": batch["label"], "bags": rows}
-
-    got = map_columns(sample, inputs, [field("doc_id", "long"), field("label", "int"), field("bags", [["int"]])], strongest).toArrow()
-    sent.unpersist()
-    rows = sorted((r for r in got.to_pylist() if r["bags"]), key=lambda r: (r["doc_id"], r["label"], r["bags"]))
-    return train([r["bags"] for r in rows], np.array([r["label"] for r in rows]), start, bits, span)
+            found = [word_counts(t) for t in batch["text"]]
+            yield {"doc_id": batch["doc_id"], "label": batch["label"], "words": [list(f) for f in found], "counts": [list(f.values()) for f in found]}
+
+    fields = [field("doc_id", "long"), field("label", "int"), field("words", ["string"]), field("counts", ["int"])]
+    rows: pa.Table = map_columns(sample, {c: F.col(c) for c in ("doc_id", "label", "text")}, fields, bags).toArrow().sort_by("doc_id")
+    toxic = rows["label"].to_numpy().astype("int64")
+    if len(set(toxic.tolist())) < 2:
+        return Model(np.zeros((2, 1 << bits), "float32"), -2.0, bits)
+    words = rows["words"].combine_chunks()
+    texts = np.repeat(np.arange(len(toxic)), words.value_lengths().to_numpy())
+    coded = words.flatten().dictionary_encode()
+    counts = rows["counts"].combine_chunks().flatten().to_numpy().astype("float64")
+    return train(texts, coded.indices.to_numpy().astype("int64"), counts, coded.dictionary.to_pylist(), toxic, bits)
+
+
+def word_counts(text: bytes) -> dict[str, int]:
+    """How often a text holds each of its words."""
+    found: dict[str, int] = {}
+    for block in text_blocks(text):
+        for word in word_codes(block).tobytes().decode("utf-32-le").split(" "):
+            if word:
+                found[word] = found.get(word, 0) + 1
+    return found
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

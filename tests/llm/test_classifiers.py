@@ -1,7 +1,9 @@
+import re
+
 import numpy as np
 import pytest
 
-from palimpsest.llm import quality, registry, toxicity
+from palimpsest.llm import common, quality, registry, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -23,29 +25,93 @@ def test_toxicity_misspelled_and_edge_cases(spark):
     labels = spark.createDataFrame([(d, int(d >= 100)) for d, _ in rows], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
     assert model.score(b"so stupidd a thing") > 0.5 > model.score(b"the cold and grey weather")
-    probe = spark.createDataFrame([(1, None, 9.0), (None, "", 9.0), (2, "stupid " * 60000, 9.0), (2, "stupid " * 60000, 9.0), (3, "fine " * 60000 + "worthless", 9.0)], "doc_id long, text string, score double")
+    probe = spark.createDataFrame([(1, None, 9.0), (None, "", 9.0), (2, "stupid " * 60000, 9.0), (2, "stupid " * 60000, 9.0), (3, "qwxz " * 20 + "worthless", 9.0)], "doc_id long, text string, score double")
     got = toxicity.score(probe, model).collect()
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append(r.score)
-    assert len(got) == 5 and by[1] == by[None] and by[1][0] < 0.5 and by[2][0] == by[2][1] > 0.5 and by[3][0] > 0.5
+    assert len(got) == 5 and by[1] == by[None] and by[1][0] < 0.5 and by[2][0] == by[2][1] > 0.5 and by[3][0] > model.score(b"qwxz " * 20)
     assert toxicity.score(probe.limit(0), model).count() == 0
     none = toxicity.fit(docs.limit(0), labels)
     assert none.score(b"stupid") < 0.5
 
 
-def test_blocks_do_not_change_scores():
+def brute_toxicity(text, table, bias, bits):
+    """The score by plain loops: every word's subwords, their means, the weighted average."""
+    def row(gram):
+        h = (ord(gram[0]) * 16777619 + ord(gram[1])) % 2**32
+        for c in gram[2:]:
+            h = (h * 16777619 + ord(c)) % 2**32
+        return (h ^ h >> 15) * 2654435761 % 2**32 >> (32 - bits)
+
+    top = weight = 0.0
+    for word in re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.lower()):
+        marked = f" {word} "
+        rows = [row(marked[k : k + n]) for n in range(3, 7) for k in range(len(marked) - n + 1)]
+        logit, pull = (float(np.mean(table[k, rows])) if rows else 0.0 for k in (0, 1))
+        top, weight = top + np.exp(pull) * logit, weight + np.exp(pull)
+    return 1 / (1 + np.exp(-(top / weight if weight else 0) - bias))
+
+
+def test_score_equals_brute_force_in_any_blocks(monkeypatch):
     rng = np.random.default_rng(1)
-    weights = rng.normal(0, 1, 1 << 12).astype("float32")
-    text = " ".join("".join(rng.choice(list("abcdeé"), rng.integers(1, 9))) for _ in range(3000)).encode()
-    whole = toxicity.Model(weights, 0.0, 12, 3).score(text)
-    size, toxicity.BLOCK = toxicity.BLOCK, 500
-    try:
-        old = toxicity.blocks.__defaults__
-        toxicity.blocks.__defaults__ = (500,)
-        assert toxicity.Model(weights, 0.0, 12, 3).score(text) == pytest.approx(whole, abs=1e-4)
-    finally:
-        toxicity.BLOCK, toxicity.blocks.__defaults__ = size, old
+    table = rng.normal(0, 1, (2, 1 << 12)).astype("float32")
+    model = toxicity.Model(table, 0.3, 12)
+    text = " ".join("".join(rng.choice(list("abcdeé-"), rng.integers(1, 9))) for _ in range(3000))
+    want = brute_toxicity(text, table, 0.3, 12)
+    assert model.score(text.encode()) == pytest.approx(want, abs=1e-4)
+    monkeypatch.setattr(toxicity, "text_blocks", lambda t: common.text_blocks(t, 500))
+    assert model.score(text.encode()) == pytest.approx(want, abs=1e-4)
+    assert model.score(b"") == pytest.approx(brute_toxicity("", table, 0.3, 12)) and model.score(b"!") == model.score(b"")
+
+
+def test_few_toxic_words_in_a_long_text_count():
+    rng = np.random.default_rng(2)
+    plain = ["".join(rng.choice(list("aeioulnrst"), 5)) for _ in range(400)]
+    texts, toxic = [], []
+    for i in range(120):
+        words = list(rng.choice(plain, 200))
+        if i % 2:
+            words[int(rng.integers(200))] = ("stupid", "worthless")[i // 2 % 2]
+        texts.append(" ".join(words))
+        toxic.append(i % 2)
+    bags = [toxicity.word_counts(t.encode()) for t in texts]
+    spelled = sorted(set().union(*bags))
+    number = {w: k for k, w in enumerate(spelled)}
+    of_text, words, counts = zip(*[(d, number[w], n) for d, bag in enumerate(bags) for w, n in bag.items()])
+    model = toxicity.train(np.array(of_text), np.array(words), np.array(counts, float), spelled, np.array(toxic), 14)
+    rest = " ".join(rng.choice(plain, 600))
+    assert model.score(f"{rest} stupid {rest}".encode()) > 0.5 > model.score(rest.encode())
+
+
+def test_samples_are_bounded_when_an_id_repeats(spark):
+    once = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    again = spark.range(100_000).selectExpr("7L as doc_id", "concat('other ', id % 50) as text")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    sample = common.labelled_sample(once.unionByName(again), labels.unionByName(labels), "toxic", 20, 1 << 20).collect()
+    assert len(sample) == 40 and len({r.doc_id for r in sample}) == 40
+    few = common.labelled_sample(once, labels, "toxic", 20, 30).collect()
+    assert 0 < len(few) <= 10 and sum(len(r.text) for r in few) <= 60
+    assert common.labelled_sample(once.limit(0), labels, "toxic", 20, 30).count() == 0
+    many = spark.range(70).selectExpr("id as doc_id", "cast(id as int) as toxic")
+    with pytest.raises(ValueError):
+        common.labelled_sample(once, many, "toxic", 20, 30)
+
+
+def test_grade_equals_the_formula():
+    """P(grade > k) = 1 / (1 + exp(threshold_k - score)), written out over a plain count of the features."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["Good", "bad!", "12", "é-x"], rng.integers(1, 30))) for _ in range(60)]
+    x = np.stack([quality.features(t.encode(), 10) for t in texts])
+    grades = np.array([1 + min(2, t.count("bad!")) for t in texts])
+    model = quality.train(x, grades, 10, 2)
+    for text, row in zip(texts, x):
+        score = sum(w * max(-3.0, min(3.0, (v - c) / s)) for w, v, c, s in zip(model.weights, row, model.centre, model.spread))
+        above = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        assert model.score(text.encode()) == pytest.approx((1 + sum(above), above[0]), abs=1e-6)
+        assert row[512:].sum() == pytest.approx(1) and row[1:512].sum() <= 1
+    at_cut = ("word " * 300_000).encode()
+    assert quality.features(at_cut, 10)[512:].max() == 1.0  # no word is cut in two
 
 
 def test_ordinal_thresholds_and_grades():
