@@ -2,19 +2,25 @@
 
 ``token_pieces`` turns documents into pieces of at most ``length`` tokens, ``pack`` places pieces
 into sequences, ``assemble`` makes the token rows of the sequences. Packing runs in groups of
-bounded size, dealt out by a hash of the piece, so no task holds more than its group; a group
-wastes less than one sequence more than a single packing of all pieces would.
-
-Null and empty texts are one piece that holds the end token alone. Repeated rows are documents of
-their own. A piece is never split further and never dropped.
+about the same size, dealt out by a hash of the row's number in the written table, whatever the rows
+hold, so no task holds more than its group; a group may waste a sequence more than a single packing of
+all pieces would.
+
+Null and empty texts are one piece that holds the end token alone; a null doc_id is an id like any other.
+Repeated rows are documents of their own, and pieces of equal length are placed by (doc_id, piece, crc). Texts
+are read in blocks cut at white space, so memory follows the longest run without white space, not the text. A piece
+is never split further and never dropped. An empty table gives no sequences. Columns besides doc_id and text are
+neither read nor returned.
 """
 
 from __future__ import annotations
 
+import heapq
 import os
 import re
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols
-from .common import BoundedCache, field, map_columns, written
+from .common import BoundedCache, field, map_columns, text_blocks, written
 
 #: Runs of these characters are cut and lower-cased here; the library does all others.
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-įı-ſ]*")
@@ -55,7 +61,7 @@ def chunk_encoder(path: str) -> BoundedCache:
             mapped = word if word.isascii() else "".join(symbols[b] for b in word.encode())
             return b"".join([id_bytes[t.id] for t in model.tokenize(mapped)])
 
-        words = BoundedCache(word_ids, 500_000)
+        words = BoundedCache(word_ids, 40 << 20)
 
         def encode(chunk: bytes) -> bytes:
             text = chunk.decode()
@@ -63,10 +69,31 @@ def chunk_encoder(path: str) -> BoundedCache:
                 return b"".join(map(words.__getitem__, _CUT.findall(text.lower())))
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-        _encoders[path] = BoundedCache(encode, 500_000)
+        _encoders[path] = BoundedCache(encode, 40 << 20)
     return _encoders[path]
 
 
+def block_ids(text: bytes, encode, end: bytes) -> Iterator[bytes]:
+    """The ids of text as uint32 bytes, a block of it at a time, and the end token's."""
+    for block in text_blocks(text, anywhere=False):
+        runs = block.split() if b"<|" in block else block.lower().split()  # the vocabulary's normalizer lower-cases too
+        yield b"".join(map(encode, runs))
+    yield end
+
+
+def cut(parts: Iterator[bytes], size: int) -> Iterator[bytes]:
+    """The parts' bytes in pieces of size; the last one may be shorter."""
+    held = b""
+    for part in parts:
+        held = held + part if held else part
+        whole = len(held) - len(held) % size
+        for at in range(0, whole, size):
+            yield held[at : at + size]
+        held = held[whole:]
+    if held:
+        yield held
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32[, ids]) of docs(doc_id, text).
 
@@ -79,13 +106,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: in
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                runs = text.split() if b"<|" in text else text.lower().split()  # the vocabulary's normalizer lower-cases too
-                ids = b"".join(map(encode, runs)) + end
-                for k, at in enumerate(range(0, len(ids), 4 * length)):
-                    part = ids[at : at + 4 * length]
+                for k, part in enumerate(cut(block_ids(text, encode, end), 4 * length)):
                     out["doc_id"].append(doc_id)
                     out["piece"].append(k)
-                    out["start"].append(at // 4)
+                    out["start"].append(k * length)
                     out["length"].append(len(part) // 4)
                     out["ids_crc32"].append(zlib.crc32(part))
                     if keep_ids:
@@ -126,85 +150,137 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+class Shelf:
+    """The underfull bins by what they can take: by room, by the lengths in them, and by the sums of two lengths in them.
+
+    ends[1][l] is the largest l + room of the bins that hold an item of length l, ends[2][s] the same of two items of
+    lengths that sum to s: what can come in for them. A search is one pass over an array of capacity + 1 numbers.
+    """
+
+    def __init__(self, capacity: int):
+        self.by_room: dict[int, set[int]] = {}
+        self.rooms = np.zeros(capacity + 1, bool)
+        self.holders: dict[int, dict[int, dict[int, set[int]]]] = {1: {}, 2: {}}
+        self.ends = {n: np.full(capacity + 1, -1) for n in (1, 2)}
+
+    def change(self, b: int, room: int, held: list[int], put: bool) -> None:
+        """Puts bin b with these lengths on the shelf, or takes it off."""
+        counts = Counter(held)
+        own = sorted(counts)
+        pairs = {x + y for k, x in enumerate(own) for y in own[k:] if x != y or counts[x] > 1}
+        self.rooms[room] = _keep(self.by_room, room, b, put)
+        for n, keys in ((1, own), (2, pairs)):
+            for key in keys:
+                rooms = self.holders[n].setdefault(key, {})
+                _keep(rooms, room, b, put)
+                self.ends[n][key] = key + max(rooms) if rooms else -1
+
+    def taker(self, need: int) -> int | None:
+        """A bin with room for need, and none to spare that a fuller one lacks."""
+        at = int(self.rooms[need:].argmax()) + need
+        return next(iter(self.by_room[at])) if self.rooms[at] else None
+
+    def exchange(self, need: int, n: int) -> tuple[int, int] | None:
+        """(bin, length): a bin that takes need for n items of that length together, the shortest such length; the fullest of such bins."""
+        fits = self.ends[n][:need] >= need
+        length = int(fits.argmax()) if need else 0
+        if not need or not fits[length]:
+            return None
+        rooms = self.holders[n][length]
+        return next(iter(rooms[min(r for r in rooms if length + r >= need)])), length
+
+
+def _keep(sets: dict[int, set[int]], key: int, b: int, put: bool) -> bool:
+    """Puts b into the set of key, or takes it out; whether there is still such a set."""
+    if put:
+        sets.setdefault(key, set()).add(b)
+        return True
+    sets[key].discard(b)
+    if not sets[key]:
+        del sets[key]
+    return key in sets
+
+
 def swap_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Moves and exchanges (one for one, two for one, one for two) from the emptiest bin into fuller ones.
+    """Moves and exchanges (one for one, one for two, two for one) from the emptiest bin into fuller ones.
 
     Each step makes a fuller bin fuller at the emptiest one's cost, so the sum of squared fills grows and the search
     ends. A bin whose documents can go no further is left; the search stops at the lower bound of bins.
     """
+    bins = [list(b) for b in bins if b]
     fill = [sum(lengths[i] for i in b) for b in bins]
-    live = {b for b in range(len(bins)) if 0 < fill[b] < capacity}
-    full = sum(1 for f in fill if f >= capacity)
-    bound = -(-sum(fill) // capacity)
-    stuck: set[int] = set()
-    while live - stuck and full + len(live) > bound:
-        donor = min(live - stuck, key=lambda b: (fill[b], b))
-        targets = sorted((b for b in live if b != donor and fill[b] >= fill[donor]), key=lambda b: (fill[b], b), reverse=True)
-        if sum(capacity - fill[b] for b in targets) < 1:
-            break
-        moved = False
-        for item in sorted(bins[donor], key=lambda i: (-lengths[i], i)):
-            step = _step(item, donor, targets, bins, fill, lengths, capacity)
-            if step is None:
-                continue
+    shelf, left, bound = Shelf(capacity), len(bins), -(-sum(fill) // capacity)
+
+    def change(b: int, put: bool) -> None:
+        if fill[b] < capacity:
+            shelf.change(b, capacity - fill[b], [lengths[i] for i in bins[b]], put)
+
+    for b in range(len(bins)):
+        change(b, True)
+    queue = [(f, b) for b, f in enumerate(fill) if f < capacity]
+    heapq.heapify(queue)
+    while queue and left > bound:
+        known, donor = heapq.heappop(queue)
+        if known != fill[donor]:
+            continue  # fuller by now, and in the queue as such
+        change(donor, False)
+        while bins[donor] and (step := _step(bins[donor], lengths, shelf)):
             target, give, take = step
-            for i in give:
-                bins[donor].remove(i)
-                bins[target].append(i)
-            for i in take:
-                bins[target].remove(i)
-                bins[donor].append(i)
-            gain = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
-            fill[donor] -= gain
-            fill[target] += gain
-            if fill[target] == capacity:
-                live.discard(target)
-                full += 1
-            moved = True
-            break
-        if not fill[donor]:
-            live.discard(donor)
-        elif not moved:
-            stuck.add(donor)
+            change(target, False)
+            back = _matching(bins[target], lengths, *take)
+            out = [_matching(bins[donor], lengths, 1, n)[0] for n in give[:1]]
+            out += [next(i for i in bins[donor] if lengths[i] == n and i not in out) for n in give[1:]]
+            bins[donor] = [i for i in bins[donor] if i not in out] + back
+            bins[target] = [i for i in bins[target] if i not in back] + out
+            for b in (donor, target):
+                fill[b] = sum(lengths[i] for i in bins[b])
+            change(target, True)
+            if fill[target] < capacity:
+                heapq.heappush(queue, (fill[target], target))
+        left -= not bins[donor]
     return [b for b in bins if b]
 
 
-def _step(item, donor, targets, bins, fill, lengths, capacity):
-    """The target bin, what the donor gives and what it takes back, if item can be used; moves come first."""
-    need = lengths[item]
-    for b in targets:  # fullest first: the tightest fit
-        if capacity - fill[b] >= need:
-            return b, [item], []
-    for b in targets:
-        room = capacity - fill[b]
-        one = [i for i in bins[b] if 0 < need - lengths[i] <= room]
-        if one:
-            return b, [item], [min(one, key=lambda i: (lengths[i], i))]
-    for b in targets:
-        room = capacity - fill[b]
-        for i in bins[b]:  # one for two
-            for j in bins[b]:
-                if i < j and 0 < need - lengths[i] - lengths[j] <= room:
-                    return b, [item], [i, j]
-        for other in bins[donor]:  # two for one
-            if other != item:
-                both = need + lengths[other]
-                for i in bins[b]:
-                    if 0 < both - lengths[i] <= room:
-                        return b, [item, other], [i]
+def _matching(items: list[int], lengths: list[int], n: int, total: int) -> list[int]:
+    """n (0 to 2) of the items whose lengths sum to total."""
+    by: dict[int, int] = {}
+    for i in items:
+        if n == 1 and lengths[i] == total:
+            return [i]
+        if n == 2 and (j := by.get(total - lengths[i])) is not None:
+            return [j, i]
+        by[lengths[i]] = i
+    return []
+
+
+def _step(items: list[int], lengths: list[int], shelf: Shelf) -> tuple[int, list[int], tuple[int, int]] | None:
+    """The target bin, the lengths that the donor gives, and how many of which total length it takes back; moves come first."""
+    counts = Counter(lengths[i] for i in items)
+    own = sorted(counts, reverse=True)
+    for need in own:
+        if (b := shelf.taker(need)) is not None:
+            return b, [need], (0, 0)
+    for n in (1, 2):
+        for need in own:
+            if found := shelf.exchange(need, n):
+                return found[0], [need], (n, found[1])
+    for k, need in enumerate(own):
+        for other in own[k:]:
+            if (need != other or counts[need] > 1) and (found := shelf.exchange(need + other, 1)):
+                return found[0], [need, other], (1, found[1])
     return None
 
 
 def pack(pieces: DataFrame, length: int = 2048, group_rows: int = 20_000) -> DataFrame:
     """pieces(doc_id, piece, start, length, ...) with sequence_id and offset.
 
-    pieces is read more than once: give a written table. Full pieces are a sequence each and stay
-    out of the groups.
+    pieces is read more than once: give a written table, whose rows then have the same numbers whenever a task
+    runs again. Full pieces are a sequence each and stay out of the groups.
     """
     short = pieces.filter(F.col("length") < length)
     groups = max(1, -(-short.count() // group_rows))
     columns = pieces.columns
-    dealt = short.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+    dealt = short.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
 
     def packed(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.select(columns).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
@@ -220,7 +296,6 @@ def pack(pieces: DataFrame, length: int = 2048, group_rows: int = 20_000) -> Dat
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     placed = dealt.groupBy("grp").applyInArrow(packed, schema)
-    # the written table makes these numbers the same whenever a task runs again
     whole = pieces.filter(F.col("length") >= length)
     whole = whole.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.unionByName(whole)

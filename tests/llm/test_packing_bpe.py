@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from palimpsest.llm import bpe, packing
+from palimpsest.llm import bpe, common, packing
 from palimpsest.llm.registry import vocabulary
 
 TEXTS = [None, "", "  \n", "Hello   World's don't <|endoftext|> x", "a" * 9000, "tie tie", "tie tie", "é́ \x1cq\x1d İ Σας ΟΔΟΣ 12½ 　​", "the end\t\t\nof " * 900, "\U0001f600 ok̀"]
@@ -103,3 +103,68 @@ def test_swap_search_empties_bins():
     # first-come bins that exchanges can bring to the bound of two
     lengths = [60, 30, 50, 40, 10, 10]
     assert len(packing.swap_search([[0, 1], [2, 5], [3, 4]], lengths, 100)) == 2
+
+
+def least_bins(lengths, capacity):
+    """The least number of bins, by trying all ways."""
+    best = [len(lengths)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(rooms)
+            return
+        for r in set(rooms):
+            if r >= lengths[k]:
+                i = rooms.index(r)
+                place(k + 1, [*rooms[:i], r - lengths[k], *rooms[i + 1 :]])
+        place(k + 1, [*rooms, capacity - lengths[k]])
+
+    place(0, [])
+    return best[0]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=7))
+def test_packing_is_near_the_least_number_of_bins(lengths):
+    bins = packing.swap_search(packing.best_fit(lengths, 50), lengths, 50)
+    assert len(bins) <= least_bins(sorted(lengths, reverse=True), 50) + (len(lengths) > 5)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=40))
+def test_steps_raise_the_squared_fill(lengths):
+    start = [[i] for i in range(len(lengths))]
+    bins = packing.swap_search(start, lengths, 40)
+    squared = lambda bs: sum(sum(lengths[i] for i in b) ** 2 for b in bs)
+    assert squared(bins) >= squared(start)
+
+
+def test_equal_pieces_take_no_quadratic_time():
+    import time
+
+    start = time.perf_counter()
+    lengths = [1025] * 20_000
+    assert len(packing.swap_search(packing.best_fit(lengths, 2048), lengths, 2048)) == 20_000
+    assert time.perf_counter() - start < 20
+
+
+def test_groups_are_bounded_for_repeated_rows(spark):
+    pieces = packing.written(spark.range(60_000).selectExpr("1L as doc_id", "0 as piece", "0L as start", "100L as length", "9L as ids_crc32").repartition(7), "test")
+    rows = packing.pack(pieces, 2048)
+    sizes = [r.n for r in rows.groupBy(packing.F.shiftright("sequence_id", 32).alias("g")).agg(packing.F.count("*").alias("n")).collect()]
+    assert len(sizes) == 3 and max(sizes) < 21_000 and sum(sizes) == 60_000
+    assert rows.groupBy("sequence_id").agg(packing.F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
+def test_blocks_give_the_same_pieces(monkeypatch):
+    path = vocabulary("word_bpe_49k.json")
+    encode = packing.chunk_encoder(path).__getitem__
+    text = ("Some words, don't é " * 400 + "a" * 3000 + " end").encode()
+    end = bytes(4)
+    whole = b"".join(packing.cut(packing.block_ids(text, encode, end), 64))
+    monkeypatch.setattr(packing, "text_blocks", lambda t, anywhere: common.text_blocks(t, 100, anywhere))
+    pieces = list(packing.cut(packing.block_ids(text, encode, end), 64))
+    assert b"".join(pieces) == whole and all(len(p) == 64 for p in pieces[:-1])
+    assert np.frombuffer(whole, "<u4").tolist()[:-1] == Tokenizer.from_file(path).encode(text.decode(), add_special_tokens=False).ids
