@@ -4,47 +4,58 @@ A text is brought to lower-case words with one space between. Exact phrases give
 For the fuzzy search each notice is split into one part more than the errors it may hold: by the
 pigeonhole principle one part is then intact. One automaton finds all parts of all notices, the
 regex library checks the place for the notice with at most its errors, and the match is reported
-as a span of the given text in code points.
-
-Null and empty texts have no words, null places, empty label lists and score 0.
+as a span of the given text in code points. The words that tell a licence from others are set in
+capitals in the table: a match must hold each of them, without an error in up to five letters and with
+one at most in longer ones. Matches start and end with words.
+
+Null and empty texts have no words, null places, empty label lists and score 0. Repeated rows are
+scanned one by one and give equal rows. Where matches of a notice overlap, the one with the fewest edits
+stays, the first of those. Every place is checked by itself, so the work follows the text's length also where
+notices repeat; memory is a few copies of the text. An empty table gives an empty one. Columns besides
+doc_id and text are neither read nor returned.
 """
 
 from __future__ import annotations
 
 import functools
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, map_columns
+from .common import field, map_columns, text_blocks
 
 #: The phrases of the base and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Short notices, in words, and the label each one gives.
+#: Short notices, in words, and the label each one gives; capitals mark the words that tell licences apart.
 NOTICES = {
-    "licensed under the mit license": "mit",
-    "released under the mit license": "mit",
+    "licensed under the MIT license": "mit",
+    "released under the MIT license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
-    "licensed under the apache license version 2": "apache-2",
-    "licensed under apache license version 2": "apache-2",
+    "licensed under the APACHE license version 2": "apache-2",
+    "licensed under APACHE license version 2": "apache-2",
     "redistribution and use in source and binary forms with or without modification": "bsd",
-    "gnu general public license": "gpl",
-    "gnu lesser general public license": "lgpl",
-    "gnu affero general public license": "agpl",
-    "mozilla public license": "mpl",
-    "eclipse public license": "epl",
-    "boost software license": "bsl",
-    "isc license permission to use copy modify": "isc",
-    "this is free and unencumbered software released into the public domain": "unlicense",
-    "creative commons attribution noncommercial": "cc-by-nc",
-    "licensed under cc by nc": "cc-by-nc",
-    "creative commons attribution sharealike": "cc-by-sa",
-    "creative commons attribution noderivatives": "cc-by-nd",
-    "creative commons zero public domain dedication": "cc0",
-    "all rights reserved no part of this": "all-rights-reserved",
+    "licensed under the BSD license": "bsd",
+    "released under the BSD license": "bsd",
+    "GNU GENERAL public license": "gpl",
+    "GNU LESSER general public license": "lgpl",
+    "GNU AFFERO general public license": "agpl",
+    "MOZILLA public license": "mpl",
+    "ECLIPSE public license": "epl",
+    "BOOST SOFTWARE license": "bsl",
+    "ISC license permission to use copy modify": "isc",
+    "licensed under the ISC license": "isc",
+    "this is free and UNENCUMBERED software released into the public domain": "unlicense",
+    "CREATIVE commons attribution NONCOMMERCIAL": "cc-by-nc",
+    "licensed under CC BY NC": "cc-by-nc",
+    "CREATIVE commons attribution SHAREALIKE": "cc-by-sa",
+    "CREATIVE commons attribution NODERIVATIVES": "cc-by-nd",
+    "CREATIVE commons ZERO public domain dedication": "cc0",
+    "all RIGHTS RESERVED no part of this": "all-rights-reserved",
 }
 
 _TO_SPACE = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -63,92 +74,104 @@ def parts(notice: str, errors: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+@dataclass
+class Notice:
+    """A notice as it is searched: its letters, label, errors, pattern, words that must be intact, and those that may have one error."""
+
+    text: str
+    label: str
+    errors: int
+    pattern: regex.Pattern
+    intact: list[str]
+    near: list[regex.Pattern]
+
+
+def notice_of(marked: str, label: str) -> Notice:
+    text, keys = marked.lower(), [w.lower() for w in marked.split() if w.isupper()] + [w for w in marked.split() if w.isdigit()]
+    errors = errors_allowed(text)
+    pattern = regex.compile(rf"(?b)(?<= )(?:{regex.escape(text, literal_spaces=True)}){{e<={errors}}}(?= )")
+    return Notice(text, label, errors, pattern, [f" {k} " for k in keys if len(k) <= 5], [regex.compile(rf"(?<= )(?:{k}){{e<=1}}(?= )") for k in keys if len(k) > 5])
+
+
 @functools.cache
 def searcher():
-    """The automaton of all parts, and each notice's pattern."""
+    """The automaton of all notices' parts, and the notices."""
     import ahocorasick
 
     found: dict[str, list[tuple[int, int]]] = {}
-    patterns = []
-    for n, notice in enumerate(NOTICES):
-        errors = errors_allowed(notice)
-        patterns.append((regex.compile(rf"(?b)(?<!\S)(?:{regex.escape(notice, literal_spaces=True)}){{e<={errors}}}(?!\S)"), notice, errors))
-        for at, part in parts(notice, errors):
+    notices = [notice_of(marked, label) for marked, label in NOTICES.items()]
+    for n, notice in enumerate(notices):
+        for at, part in parts(notice.text, notice.errors):
             found.setdefault(part, []).append((n, at))
     automaton = ahocorasick.Automaton()
     for part, places in found.items():
         automaton.add_word(part, (len(part), places))
     automaton.make_automaton()
-    return automaton, patterns
-
-
-def all_matches(pattern: regex.Pattern, words: str, low: int, high: int, least: int) -> list[regex.Match]:
-    """The matches between low and high. finditer jumps to the best match of the rest, so what lies left of each is searched again."""
-    out, left = [], [(low, high)]
-    while left:
-        at, end = left.pop()
-        for m in pattern.finditer(words, at, end):
-            out.append(m)
-            if m.start() - at >= least:
-                left.append((at, m.start()))
-            at = m.end()
-    return out
+    return automaton, notices
 
 
-def fuzzy_matches(words: str) -> list[tuple[int, int, str, int, float]]:
-    """(start, end, label, edits, score) of notices in space-joined words, by start."""
-    automaton, patterns = searcher()
-    windows: dict[int, list[list[int]]] = {}
-    for end, (length, places) in automaton.iter(words):
+def fuzzy_matches(padded: str) -> list[tuple[int, int, str, int, float]]:
+    """(start, end, label, edits, score) of notices in words with a space before and after each, by start."""
+    automaton, notices = searcher()
+    windows: set[tuple[int, int]] = set()
+    best: dict[int, list[tuple[int, int, int]]] = {}
+    for end, (length, places) in automaton.iter(padded):
         for n, at in places:
-            _, notice, errors = patterns[n]
-            start = end + 1 - length - at
-            low, high = max(0, start - errors), min(len(words), start + len(notice) + errors)
-            spans = windows.setdefault(n, [])
-            if spans and low <= spans[-1][1]:
-                spans[-1][1] = max(high, spans[-1][1])
-                spans[-1][0] = min(low, spans[-1][0])
-            else:
-                spans.append([low, high])
-    out = set()
-    for n, spans in windows.items():
-        pattern, notice, errors = patterns[n]
-        for low, high in spans:
-            for m in all_matches(pattern, words, low, high, len(notice) - errors):
-                edits = sum(m.fuzzy_counts)
-                out.add((m.start(), m.end(), NOTICES[notice], edits, 1 - edits / (len(notice) + 1)))
+            start = end + 1 - length - at  # where the notice would start
+            if (n, start) in windows:
+                continue
+            windows.add((n, start))
+            notice = notices[n]
+            low, high = max(1, start - notice.errors), min(len(padded), start + len(notice.text) + notice.errors + 1)
+            if all(padded.find(k, low - 1, high) >= 0 for k in notice.intact) and (m := notice.pattern.search(padded, low, high)):
+                words = padded[m.start() - 1 : m.end() + 1]
+                if all(k in words for k in notice.intact) and all(k.search(words) for k in notice.near):
+                    best.setdefault(n, []).append((sum(m.fuzzy_counts), m.start(), m.end()))
+        if len(windows) > 10_000:  # places come by their ends, so those far behind are not met again
+            windows = {(n, s) for n, s in windows if s > end - 200}
+    out = []
+    for n, found in best.items():
+        kept: list[tuple[int, int]] = []
+        for edits, start, end in sorted(set(found)):
+            k = bisect_left(kept, (start, end))
+            if not (k < len(kept) and kept[k][0] < end or k and kept[k - 1][1] > start):
+                kept.insert(k, (start, end))
+                out.append((start, end, notices[n].label, edits, 1 - edits / (len(notices[n].text) + 1)))
     return sorted(out)
 
 
-def word_places(words: bytes, phrase: bytes) -> list[int]:
-    """Word numbers at which phrase's words stand in the space-joined words."""
-    padded, needle, out = b" " + words + b" ", b" " + phrase + b" ", []
+def word_places(padded: bytes, phrase: bytes) -> list[int]:
+    """Word numbers at which phrase's words stand in words with a space before and after each."""
+    needle, out, word, last = b" " + phrase + b" ", [], 0, 0
     at = padded.find(needle)
     while at >= 0:
-        out.append(padded.count(b" ", 0, at + 1) - 1)
-        at = padded.find(needle, at + 1)
+        word += padded.count(b" ", last, at)
+        out.append(word)
+        last, at = at, padded.find(needle, at + 1)
     return out
 
 
 def scan_text(text: bytes) -> dict:
     """All that is found in one text."""
-    split = text.lower().translate(_TO_SPACE).split()
-    words = b" ".join(split)
-    base = {label: places for phrase, label in BASE.items() if (places := word_places(words, phrase.encode()))}
-    joined = words.decode()
-    fuzzy = fuzzy_matches(joined)
+    split = [b" ".join(words) for block in text_blocks(text, anywhere=False) if (words := block.lower().translate(_TO_SPACE).split())]
+    padded = b"".join([b" ", *(s + b" " for s in split)])
+    base = {label: places for phrase, label in BASE.items() if (places := word_places(padded, phrase.encode()))}
+    letters = padded.decode()
+    found = []  # first word, last word, label, edits, score
+    word = last = 0
+    for start, end, label, edits, score in fuzzy_matches(letters):
+        word, last = word + letters.count(" ", last, start - 1), start - 1
+        found.append((word, word + letters.count(" ", start, end), label, edits, score))
+    for phrase, label in BASE.items():
+        found += [(w, w + phrase.count(" "), label, 0, 1.0) for w in base.get(label, [])]
     spans = []
-    if fuzzy or base:
-        at = [m.span() for m in _WORD.finditer(text.decode().translate(_LOWER))]
-        for start, end, label, edits, score in fuzzy:
-            first, last = joined.count(" ", 0, start), joined.count(" ", 0, end)
-            spans.append({"label": label, "start": at[first][0], "end": at[last][1], "edits": edits, "score": score})
-        for phrase, label in BASE.items():
-            n = phrase.count(" ")
-            spans += [{"label": label, "start": at[w][0], "end": at[w + n][1], "edits": 0, "score": 1.0} for w in base.get(label, [])]
+    if found:
+        wanted = {w for f in found for w in f[:2]}
+        at = {n: m.span() for n, m in enumerate(_WORD.finditer(text.decode().translate(_LOWER))) if n in wanted}
+        spans = [{"label": label, "start": at[a][0], "end": at[b][1], "edits": edits, "score": score} for a, b, label, edits, score in found]
     places = [w for ws in base.values() for w in ws]
     return {
-        "n_words": len(split),
+        "n_words": padded.count(b" ") - 1,
         "n_base": len(places),
         "first_word": min(places, default=None),
         "last_word": max(places, default=None),

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from palimpsest.llm import chat, licenses
 
 TEXTS = [None, "", "Ordinary words, nothing here.", "Licensed UNDER the-MIT  License, under the mit license", "under the Apache License, Version 2.0", "cc by-nc 4.0 and mit",
-         "é released umder the MlT license now", "gnu generl public licence v3", "x " * 30000 + "cc by nc", "cc by nc", "cc by nc"]
+         "é released umder the MIT licens now", "gnu generl public licence v3", "x " * 30000 + "cc by nc", "cc by nc", "cc by nc"]
 
 
 def brute_base(text):
@@ -31,7 +31,7 @@ def test_scan(spark):
         for s in r.spans:
             assert 0 <= s.start < s.end <= len(text)
     assert rows[6].labels == "mit" and rows[6].n_base == 0
-    assert TEXTS[6][rows[6].spans[0].start : rows[6].spans[0].end] == "released umder the MlT license"
+    assert TEXTS[6][rows[6].spans[0].start : rows[6].spans[0].end] == "released umder the MIT licens"
     assert rows[7].labels == "gpl" and rows[2].labels == "" and rows[2].score == 0
     assert licenses.scan(docs.limit(0)).count() == 0
 
@@ -47,17 +47,44 @@ def test_scan_text_equals_brute_force(text, phrase):
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 10**9), st.sampled_from(list(licenses.NOTICES)))
 def test_fuzzy_finds_planted_edits(seed, notice):
+    """As many edits as allowed, outside the words that tell licences apart."""
     import random
 
-    rnd, text = random.Random(seed), list(notice)
+    rnd, text = random.Random(seed), list(notice.lower())
+    free = [k for k, c in enumerate(notice) if c.islower() and 0 < k < len(notice) - 1]
     for _ in range(licenses.errors_allowed(notice)):
-        k = rnd.randrange(1, len(text) - 1)
-        if text[k] != " ":
-            text[k] = rnd.choice("qxz")
-    found = licenses.fuzzy_matches("some words " + "".join(text) + " and more")
+        text[rnd.choice(free)] = rnd.choice("qxz")
+    found = licenses.fuzzy_matches(" some words " + "".join(text) + " and more ")
     assert licenses.NOTICES[notice] in {f[2] for f in found}
 
 
+NAMES = {"mit": "mit", "bsd": "bsd", "isc": "isc", **dict.fromkeys(["gpl", "lgpl", "agpl", "mpl", "epl", "wtfpl", "zlib", "cc by sa", "cc by nd", "cc by", "xyz", "mut", "mi", "smit"])}
+
+
+def test_no_licence_is_taken_for_another():
+    forms = {"licensed under the {} license": NAMES, "released under the {} license": {**NAMES, "isc": None}, "licensed under {}": {"cc by nc": "cc-by-nc", "cc by sa": None, "cc by nd": None, "cc by": None, "cc": None},
+             "gnu {} public license": {"general": "gpl", "lesser general": "lgpl", "affero general": "agpl", "library": None}, "{} public license": {"mozilla": "mpl", "eclipse": "epl", "general": None, "common": None, "oracle": None},
+             "creative commons attribution {}": {"noncommercial": "cc-by-nc", "sharealike": "cc-by-sa", "noderivatives": "cc-by-nd", "": None}, "licensed under the {} license version 2": {"apache": "apache-2", "eclipse": None, "mozilla": None, "eupl": None}}
+    for form, names in forms.items():
+        for name, label in names.items():
+            # the base's own phrase holds for mit
+            assert licenses.scan_text(form.format(name).encode())["labels"] == (label or ""), (form, name)
+
+
+def test_matches_end_with_words():
+    assert licenses.scan_text(b"mozilla public licensexyzabc")["labels"] == ""
+    assert licenses.scan_text(b"a mozzilla public licenses x")["labels"] == "mpl"
+
+
+def test_long_runs_of_notices_take_linear_time():
+    import time
+
+    for said, n in (("licensed undr the mit license ", 6000), ("under the mit license ", 9000)):
+        start = time.perf_counter()
+        found = licenses.scan_text((said * n).encode())
+        assert len(found["spans"]) >= n and time.perf_counter() - start < 20
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["\\", "<", "|", ">", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "s>", "<|end|>", "\n", "a", "é"]), max_size=12).map("".join))
 def test_escape_is_reversible(text):
@@ -95,4 +122,4 @@ def test_parts_become_placeholders(spark):
 
 def test_every_notice_of_a_run_is_found():
     text = "gnu generl public license and gnu general public license and gnu genral public license"
-    assert {(0, 25), (30, 56), (61, 86)} <= {m[:2] for m in licenses.fuzzy_matches(text)}
+    assert {(1, 26), (31, 57), (62, 87)} <= {m[:2] for m in licenses.fuzzy_matches(f" {text} ")}
