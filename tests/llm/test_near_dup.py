@@ -128,3 +128,18 @@ def test_large_group_of_near_copies_makes_few_pairs(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
     assert 1 < len({c for _, c in got.values()}) < 260
+
+
+def test_estimate_keeps_links_of_all_sizes():
+    """Pairs just at the threshold, from seven shingles to thousands: the estimate loses none of them."""
+    rng = np.random.default_rng(5)
+    kept = tried = 0
+    for n in [7, 8, 14, 20, 40, 80, 150, 256, 400, 900, 3000] * 60:
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        swapped = rng.random() < 0.5  # some pairs have shingles of their own on both sides, the others on one
+        lost = int(n * 15 / 185) if swapped else int(n * 0.15)
+        own = rng.integers(0, 2**64, lost if swapped else 0, dtype=np.uint64)
+        b = np.unique(np.concatenate([a[np.sort(rng.permutation(n)[: n - lost])], own]))
+        tried += 1
+        kept += near_dup.estimate(near_dup.registers(a).tobytes(), near_dup.registers(b).tobytes(), len(a), len(b)) >= near_dup.LEAST_ESTIMATE
+    assert tried == 660 and kept == tried
