@@ -8,8 +8,11 @@ ordered list of chunk digests for each text, ``chunk_store`` holds each digest's
 the whole against the digests, and computes features of the samples read back.
 
 Equal texts share one medium, so copies are moved and rebuilt once however many there are. A medium
-is rebuilt chunk by chunk in order; it is never held whole. Null and empty texts are 64 zero bytes;
-repeated rows are documents of their own.
+is rebuilt chunk by chunk in order; it is never held whole. Null and empty texts are 64 zero bytes and so one
+medium; repeated rows are documents of their own. A text of gigabytes would need a 64-bit header: over 4 GB is an
+error. An empty table gives an empty one. Columns besides doc_id and text are neither read nor returned. The last
+join brings a medium's values to its documents; where one medium has many, Spark splits them among tasks (adaptive
+skew joins).
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, map_columns, to_arrow, written
+from .common import drop_written, field, map_columns, released, to_arrow, written
 
 LEAST, MEAN_BITS, MOST = 2048, 13, 32768  # chunk bytes: least, mean as a power of two beyond it, most
 BLOCK, WINDOW, UNIT, RATE = 1 << 20, 32, 64, 8000
@@ -139,28 +143,38 @@ MEDIA = [field("media_id", "binary"), field("payload_bytes", "long"), field("pay
 
 
 CHUNKS = [field("media_id", "binary"), field("payload_bytes", "long"), field("n_chunks", "long"), field("seq", "long"), field("digest", "binary"), field("data", "binary")]
-FILTER_BITS = 25
+#: Bits of a place in the bitmap of shared digests: some 16 places for each, within 4 kB to 32 MB.
+FILTER_BITS = (15, 28)
 
 
-def shared_filter(lists: DataFrame) -> np.ndarray:
-    """A bitmap of 2 ** FILTER_BITS places (4 MB) with those of all digests that different media share.
+@dataclass
+class Bitmap:
+    """Places of digests: the first `bits` bits of a digest are its place in the words of 32 bits."""
 
-    Digests are uniform, so their first bits are their place. More data than it is made for only
-    makes it call more chunks shared, which moves more bytes and changes no result.
+    words: np.ndarray
+    bits: int
+
+    def any(self, digests: list[bytes]) -> bool:
+        return any(int(self.words[(p := int.from_bytes(d[:4], "big") >> (32 - self.bits)) >> 5]) >> (p & 31) & 1 for d in digests)
+
+
+def shared_filter(lists: DataFrame) -> Bitmap:
+    """A bitmap with the places of all digests that different media share, sized by their number up to a bound.
+
+    Digests are uniform, so their first bits are their place. More digests than the largest bitmap is made for only
+    make it call more chunks shared, which moves more bytes and changes no result.
     """
     media = lists.select("media_id", "chunks").dropDuplicates(["media_id"])
     each = media.select("media_id", F.explode(F.array_distinct("chunks")).alias("digest"))
     shared = each.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
-    place = F.shiftright(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), 32 - FILTER_BITS)
-    words = shared.select(place.alias("p")).groupBy(F.shiftright("p", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits"))
+    first = written(shared.select(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long").alias("first")), "shared")
+    bits = min(max((16 * first.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    words = first.select(F.shiftright("first", 32 - bits).alias("p")).groupBy(F.shiftright("p", 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("bits"))
     found = words.toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 5), "uint32")
+    drop_written(first)
+    out = np.zeros(1 << (bits - 5), "uint32")
     out[found["word"].to_numpy()] = found["bits"].to_numpy().astype("uint32")
-    return out
-
-
-def any_shared(bitmap: np.ndarray, digests: list[bytes]) -> bool:
-    return any(int(bitmap[(p := int.from_bytes(d[:4], "big") >> (32 - FILTER_BITS)) >> 5]) >> (p & 31) & 1 for d in digests)
+    return Bitmap(out, bits)
 
 
 def chunk_rows(docs: DataFrame, bitmap, shared: bool, level: int = 6) -> DataFrame:
@@ -183,7 +197,7 @@ def chunk_rows(docs: DataFrame, bitmap, shared: bool, level: int = 6) -> DataFra
                 seen[media_id] = None
                 found = chunks_of(payload)
                 digests = [hashlib.sha256(c).digest() for c in found]
-                if any_shared(bitmap.value, digests) != shared:
+                if bitmap.value.any(digests) != shared:
                     continue
                 n = len(found)
                 out["media_id"] += [media_id] * n
@@ -254,7 +268,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
 
     def flagged(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            at = [k for k, chunks in enumerate(batch["chunks"]) if any_shared(bitmap.value, chunks)]
+            at = [k for k, chunks in enumerate(batch["chunks"]) if bitmap.value.any(chunks)]
             yield {n: [batch[n][k] for k in at] for n in batch}
 
     lists = kept.select("media_id", "payload_bytes", "chunks").dropDuplicates(["media_id"])
