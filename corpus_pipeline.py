@@ -9,46 +9,62 @@ packing     packs what is left into sequences of 2048 tokens: (doc_id, piece, st
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents. Classifiers learn from the labelled rows among the stage's own input. Null and empty
 texts pass the quality stage only if the model keeps them; a null doc_id is a row like any other.
-Of repeated rows near_dedup keeps one; texts without shingles have no copies and all stay.
+Of repeated rows near_dedup keeps one; texts without shingles have no copies and all stay. Very long texts are
+read in blocks by every stage. Of an empty table every stage makes an empty one. Further columns of docs pass through
+all stages but the last, whatever their names: the stages' own columns have names that are made anew each time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import near_dup, packing, quality, registry, secrets, toxicity
-from palimpsest.llm.common import table, written
+from palimpsest.llm.common import drop_written, table, written
 
 #: SQL cannot express the stages (trained models, sketches, a tokenizer): tests hold them against brute force.
 ORACLE_SQL = None
 
 
+def own_name() -> str:
+    """A column name that no table has."""
+    return f"_stage_{uuid.uuid4().hex}"
+
+
+def named(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    graded = quality.score(docs, registry.quality_model(docs, spark, sf_dir), ("_stage_grade", "_stage_tail"))
-    return graded.filter(quality.kept("_stage_tail")).select(*docs.columns)
+    grade, tail = own_name(), own_name()
+    graded = quality.score(docs, registry.quality_model(docs, spark, sf_dir), (grade, tail))
+    return graded.filter(quality.kept(tail)).select(*named(docs))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = toxicity.scored(docs, registry.toxicity_model(docs, spark, sf_dir), "_stage_score")
-    return scored.filter(F.col("_stage_score") < 0.5).select(*docs.columns)
+    score = own_name()
+    scored = toxicity.scored(docs, registry.toxicity_model(docs, spark, sf_dir), score)
+    return scored.filter(F.col(score) < 0.5).select(*named(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # rows of one id, or without one, are told apart by a written number
-    docs_ = written(docs.withColumn("_stage_row", F.monotonically_increasing_id()), "numbered")
-    found = near_dup.near_duplicates(docs_.select(F.col("_stage_row").alias("doc_id"), "text"))
-    rows = docs_.select("_stage_row", "doc_id").join(found.select(F.col("doc_id").alias("_stage_row"), "component_id"), "_stage_row")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_stage_row"))
+    row = own_name()
+    docs_ = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_dup.near_duplicates(docs_.select(F.col(row).alias("doc_id"), "text"))
+    rows = docs_.select(F.col(row).alias("row"), "doc_id").join(found.select(F.col("doc_id").alias("row"), "component_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     groups = rows.groupBy("component_id").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1")
-    gone = rows.join(groups, "component_id").filter(F.col("_stage_row") != F.col("first._stage_row")).select("_stage_row")
-    return docs_.join(gone, "_stage_row", "left_anti").select(*docs.columns)
+    gone = rows.join(groups, "component_id").filter(F.col("row") != F.col("first.row")).select(F.col("row").alias(row))
+    return docs_.join(gone, row, "left_anti").select(*named(docs))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cleaned = secrets.redact(docs)
     kind = docs.schema["n_chars"].dataType
-    return cleaned.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
+    return cleaned.withColumn("n_chars", F.length("text").cast(kind)).select(*named(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +81,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents; each stage's result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """STAGES applied to documents; each stage's result is written and read again, and deleted once its successor is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
+            made = written(made, f"stage-{name}")
+            if before is not None:
+                drop_written(before)
+            before = made
+        docs = made
     return docs
