@@ -66,7 +66,7 @@ ROLES = {
     "user": "user", "human": "user", "assistant": "assistant", "ai": "assistant", "chatgpt": "assistant",
     "claude": "assistant", "gpt": "assistant", "cursor": "assistant", "copilot": "assistant", "system": "system",
 }
-# Words that queries and contents are not matched by.
+# Words that queries and contents are not matched by. Two lists of them share the first part.
 COMMON_WORDS = """the a an and or but in on at to for of with by is are was were be been being have has had do does did
 will would could should may might must can this that these those""".split()
 STOP_WORDS = [*COMMON_WORDS, *"""it its i we you they he she me my our your what how why when where which who whom there
@@ -132,26 +132,29 @@ pom.xml build.gradle composer.json Gemfile .env.example docker-compose.yml Docke
 vite.config.ts next.config.js schema.prisma app.json eas.json""".split()
 CONFIG_SUFFIXES = [".json", ".yaml", ".yml", ".toml", ".ini", ".xml"]
 MOST_BYTES, MOST_FILES = 1_000_000, 5000
-# Symbol, import and export patterns; they stand at the start of a line.
+# Symbol, import and export patterns; they stand at the start of a line. The blanks before one are those of
+# its own line: names are the same as if blank lines before it counted, and long runs of these take no time.
+# Imports have a pattern of their own for each group that holds the name, as Spark extracts one group.
+_AT = r"^[^\S\n]*"
 SYMBOLS = [
-    ("function", r"^\s*(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)"),
-    ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\("),
-    ("function", r"^\s*(?:export\s+)?(?:async\s+)?def\s+([A-Za-z_][\w]*)"),
-    ("function", r"^\s*(?:public|private|protected|static|\s)*[\w<>\[\]]+\s+([a-z][\w]*)\s*\([^)]*\)\s*(?:\{|throws)"),
-    ("function", r"^\s*func\s+(?:\(\w+\s+[\w\[\]*]+\)\s+)?([A-Za-z_][\w]*)\s*\("),
-    ("class", r"^\s*(?:export\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"),
-    ("interface", r"^\s*(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)"),
-    ("interface", r"^\s*(?:export\s+)?type\s+([A-Za-z_$][\w$]*)\s*="),
-    ("struct", r"^\s*(?:pub\s+)?struct\s+([A-Za-z_][\w]*)"),
-    ("enum", r"^\s*(?:export\s+)?enum\s+([A-Za-z_$][\w$]*)"),
+    ("function", rf"{_AT}(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)"),
+    ("function", rf"{_AT}(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\("),
+    ("function", rf"{_AT}(?:export\s+)?(?:async\s+)?def\s+([A-Za-z_][\w]*)"),
+    ("function", rf"{_AT}(?:(?:public|private|protected|static)[^\S\n]*)*[\w<>\[\]]+\s+([a-z][\w]*)\s*\([^)]*\)\s*(?:\{{|throws)"),
+    ("function", rf"{_AT}func\s+(?:\(\w+\s+[\w\[\]*]+\)\s+)?([A-Za-z_][\w]*)\s*\("),
+    ("class", rf"{_AT}(?:export\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"),
+    ("interface", rf"{_AT}(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)"),
+    ("interface", rf"{_AT}(?:export\s+)?type\s+([A-Za-z_$][\w$]*)\s*="),
+    ("struct", rf"{_AT}(?:pub\s+)?struct\s+([A-Za-z_][\w]*)"),
+    ("enum", rf"{_AT}(?:export\s+)?enum\s+([A-Za-z_$][\w$]*)"),
 ]
 IMPORTS = [
-    r"^\s*import\s+(?:[\w*{}\s,]+\s+from\s+)?['\"]([^'\"]+)['\"]",
-    r"^\s*from\s+([\w.]+)\s+import",
-    r"^\s*import\s+([\w.]+)",
-    r"^\s*#include\s+[<\"]([^>\"]+)[>\"]",
-    r"^\s*use\s+([\w:]+)",
-    r"^\s*require\s*\(\s*['\"]([^'\"]+)['\"]",
+    rf"{_AT}import\s+(?:[\w*{{}}\s,]+\s+from\s+)?['\"]([^'\"]+)['\"]",
+    rf"{_AT}from\s+([\w.]+)\s+import",
+    rf"{_AT}import\s+([\w.]+)",
+    rf"{_AT}#include\s+[<\"]([^>\"]+)[>\"]",
+    rf"{_AT}use\s+([\w:]+)",
+    rf"{_AT}require\s*\(\s*['\"]([^'\"]+)['\"]",
 ]
-EXPORTED = r"^\s*export\s+(?:default\s+)?(?:class|function|const|let|var|interface|type|enum)\s+([A-Za-z_$][\w$]*)"
-EXPORT_LIST = r"^\s*export\s*\{([^}]+)\}"
+EXPORTED = rf"{_AT}export\s+(?:default\s+)?(?:class|function|const|let|var|interface|type|enum)\s+([A-Za-z_$][\w$]*)"
+EXPORT_LIST = rf"{_AT}export\s*\{{([^}}]+)\}}"

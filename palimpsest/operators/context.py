@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import CONSTRAINTS
 from ..functions.text import TokenCounter, estimated_tokens, stripped
 from . import tasks as task_ops
+from .index import relevant_files
 from .relevance import Scorer, ranked
 from .store import metadata_map, project_memories, search
 
@@ -40,32 +41,36 @@ def constraints(text: Column, most: int = 5) -> Column:
     return F.slice(F.array_distinct(said), 1, most)
 
 
-def packages(tasks: DataFrame, memories: DataFrame, scorer: Scorer, as_of: str, files: DataFrame | None = None, limit: int = 10, count_tokens: TokenCounter = estimated_tokens) -> DataFrame:
-    """One row for each of tasks(task_id, project_id, task): its knowledge, decisions, state, memory, constraints, text and tokens.
+def packages(tasks: DataFrame, memories: DataFrame, scorer: Scorer, as_of: str, index: DataFrame | None = None, limit: int = 10, count_tokens: TokenCounter = estimated_tokens) -> DataFrame:
+    """One row for each of tasks(task_id, project_id, task): its knowledge, decisions, state, memory, files, constraints, text and tokens.
 
-    files(task_id, rank, path): the files ranked for each task, if any. A task's parts are bounded by limit.
+    index: the projects' files, of which the most relevant ones go into a package. A task's parts are bounded by limit,
+    and equal tasks of a project are worked out once.
     """
-    queries = tasks.select(F.col("task_id").alias("query_id"), "project_id", F.col("task").alias("query"))
+    asked = tasks.select("project_id", "task").distinct().withColumn("task_id", F.to_json(F.struct("project_id", "task")))
+    queries = asked.select(F.col("task_id").alias("query_id"), "project_id", F.col("task").alias("query"))
     items = knowledge(ranked(memories, queries, scorer, limit))
-    item = F.struct("rank", "id", "knowledge_type", "content", "score", "reasons")
+    item = F.struct("rank", "id", "knowledge_type", "content", "score", "reasons", F.col("importance_score").alias("importance"))
     known = items.groupBy(F.col("query_id").alias("task_id")).agg(F.array_sort(F.collect_list(item)).alias("knowledge"))
     general = search(memories, queries, 5).groupBy(F.col("query_id").alias("task_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "content"))).alias("memory"))
-    rows = tasks.join(known, "task_id", "left").join(general, "task_id", "left").join(current_state(memories), "project_id", "left")
-    if files is not None:
-        paths = files.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("ranked_files"))
-        rows = rows.join(paths, "task_id", "left").withColumn("files", F.transform(F.coalesce("ranked_files", F.array()), lambda f: f["path"])).drop("ranked_files")
-    else:
-        rows = rows.withColumn("files", F.array().cast("array<string>"))
+    rows = asked.join(known, "task_id", "left").join(general, "task_id", "left").join(current_state(memories), "project_id", "left")
     none = F.array().cast("array<string>")
+    if index is None:
+        rows = rows.withColumn("files", none)
+    else:
+        found = relevant_files(asked, index, 5)
+        paths = found.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("ranked_files"))
+        rows = rows.join(paths, "task_id", "left").withColumn("files", F.coalesce(F.transform("ranked_files", lambda f: f["path"]), none)).drop("ranked_files")
     contents = F.coalesce(F.transform("knowledge", lambda k: k["content"]), none)
     decided = F.coalesce(F.transform(F.filter("knowledge", lambda k: k["knowledge_type"] == "decision"), lambda k: k["content"]), none)
     rows = rows.withColumns({"contents": contents, "decisions": decided, "active_issues": F.coalesce("active_issues", none), "recent_decisions": F.coalesce("recent_decisions", none)})
     rows = rows.withColumn("constraints", constraints(F.concat("task", F.lit(" "), F.array_join("contents", " "))))
-    state = F.to_json(F.struct(F.lit(as_of).alias("last_updated"), "active_issues", "recent_decisions", F.lit("").alias("current_focus")))
-    lines = [("task", F.col("task")), ("knowledge", F.array_join("contents", ", ")), ("files", F.array_join("files", ", ")), ("decisions", F.array_join("decisions", ", ")), ("state", state), ("constraints", F.array_join("constraints", ", "))]
+    rows = rows.withColumn("state", F.to_json(F.struct(F.lit(as_of).alias("last_updated"), "active_issues", "recent_decisions", F.lit("").alias("current_focus"))))
+    lines = [("task", F.col("task")), ("knowledge", F.array_join("contents", ", ")), ("files", F.array_join("files", ", ")), ("decisions", F.array_join("decisions", ", ")), ("state", F.col("state")), ("constraints", F.array_join("constraints", ", "))]
     text = F.concat_ws("\n", *[F.concat(F.lit(f"{name}: "), value) for name, value in lines])
     rows = rows.withColumn("context_text", text)
-    return rows.withColumns({"n_knowledge": F.size("contents"), "estimated_tokens": count_tokens(F.col("context_text"))})
+    rows = rows.withColumns({"n_knowledge": F.size("contents"), "estimated_tokens": count_tokens(F.col("context_text"))}).drop("task_id")
+    return tasks.select("task_id", "project_id", "task").join(rows, ["project_id", "task"])
 
 
 def sectioned_text(rows: DataFrame) -> Column:
@@ -73,15 +78,37 @@ def sectioned_text(rows: DataFrame) -> Column:
     def section(head: str, lines: Column) -> Column:
         return F.when(F.size(lines) > 0, F.concat(F.lit(head + "\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n")))
 
-    known = F.transform("knowledge", lambda k: F.concat(F.lit("["), k["knowledge_type"], F.lit("] "), k["content"]))
-    return F.concat_ws("\n", F.concat(F.lit("TASK: "), "task"), section("RELEVANT KNOWLEDGE:", known), section("RELEVANT DECISIONS:", F.col("decisions")), section("CONSTRAINTS:", F.col("constraints")))
+    known = F.transform(F.coalesce("knowledge", F.filter("knowledge", lambda k: F.lit(False))), lambda k: F.concat(F.lit("["), k["knowledge_type"], F.lit("] "), k["content"]))
+    return F.concat_ws("\n", F.concat(F.lit("TASK: "), "task"), section("RELEVANT KNOWLEDGE:", known), section("RELEVANT DECISIONS:", F.col("decisions")), F.concat(F.lit("CURRENT STATE:\n- "), "state"), section("CONSTRAINTS:", F.col("constraints")))
+
+
+def exported(packed: DataFrame) -> DataFrame:
+    """(task_id, result) of packages: one JSON object each for tools that read contexts."""
+    items = F.coalesce(F.transform("knowledge", lambda k: F.struct(k["content"].alias("content"), k["knowledge_type"].alias("type"), k["importance"].alias("importance"), k["score"].alias("relevance"))), F.array())
+    return packed.select("task_id", F.to_json(F.struct("estimated_tokens", items.alias("knowledge"), "decisions", "constraints")).alias("result"))
+
+
+def learned_rows(tasks: DataFrame) -> DataFrame:
+    """Rows to add to the memory for tasks(task_id, project_id, task) that fix or build something: what the project works on."""
+    metadata = F.to_json(F.struct(F.lit("current_task").alias("knowledge_type"), F.lit("active").alias("status"), F.lit("agent").alias("learned_by")))
+    kept = task_ops.analysed(tasks).filter(F.col("task_type").isin("troubleshooting", "development"))
+    return kept.select("project_id", F.concat(F.lit("Current focus: "), "task").alias("content"), F.lit("task").alias("memory_type"), F.lit(0.7).alias("importance_score"), metadata.alias("metadata"), F.col("task_id").alias("write_seq"))
+
+
+def extra_memories(tasks: DataFrame, memories: DataFrame, scorer: Scorer, known: DataFrame, limit: int = 3) -> DataFrame:
+    """(task_id, extra_rank, id): what a second pass by the tasks' keywords finds beside known(task_id, id)."""
+    terms = task_ops.second_terms(tasks)
+    hits = ranked(memories, terms.select("query_id", "project_id", "query"), scorer, limit)
+    return task_ops.second_pass(hits.select("query_id", "rank", "id").join(terms.select("query_id", "task_id", "term"), "query_id"), known, limit)
 
 
-def run_summary(tasks: DataFrame, memories: DataFrame, scorer: Scorer, as_of: str, limit: int = 10) -> DataFrame:
-    """One row a task: its analysis, the context's size, gaps, and the focus row that it would teach the memory."""
-    packed = packages(tasks, memories, scorer, as_of, limit=limit)
-    items = packed.select("task_id", F.explode("knowledge").alias("k")).select("task_id", "k.knowledge_type")
-    missing = task_ops.gaps(tasks, items).groupBy("task_id").agg(F.count("*").alias("n_gaps"))
+def run_summary(tasks: DataFrame, memories: DataFrame, scorer: Scorer, as_of: str, index: DataFrame | None = None, limit: int = 10) -> DataFrame:
+    """One row a task: its analysis, candidates, the context's size, gaps, memories of a second pass (where there are gaps), and what it would teach the memory."""
+    packed = packages(tasks, memories, scorer, as_of, index, limit)
+    items = packed.select("task_id", F.explode("knowledge").alias("k")).select("task_id", "k.id", "k.knowledge_type")
+    missing = task_ops.gaps(tasks, items.select("task_id", "knowledge_type")).groupBy("task_id").agg(F.count("*").alias("n_gaps"))
+    lacking = tasks.join(missing.select("task_id"), "task_id", "left_semi")
+    extra = extra_memories(lacking, memories, scorer, items.select("task_id", "id")).groupBy("task_id").agg(F.count("*").alias("n_extra"))
     focus = F.when(F.col("task_type").isin("troubleshooting", "development"), F.concat(F.lit("Current focus: "), "task"))
-    rows = task_ops.analysed(tasks).join(packed.select("task_id", "n_knowledge", "estimated_tokens"), "task_id").join(missing, "task_id", "left")
-    return rows.select("task_id", "task_type", "complexity", "n_knowledge", "estimated_tokens", F.coalesce("n_gaps", F.lit(0)).alias("n_gaps"), focus.alias("learned"))
+    rows = task_ops.analysed(tasks).join(packed.select("task_id", "n_knowledge", "estimated_tokens"), "task_id").join(missing, "task_id", "left").join(extra, "task_id", "left")
+    return rows.select("task_id", "task_type", "complexity", F.col("n_knowledge").alias("n_candidates"), "n_knowledge", "estimated_tokens", F.coalesce("n_gaps", F.lit(0)).alias("n_gaps"), F.coalesce("n_extra", F.lit(0)).alias("n_extra"), focus.alias("learned"))

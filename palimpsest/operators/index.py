@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.patterns import CONFIG_NAMES, CONFIG_SUFFIXES, EXPORT_LIST, EXPORTED, EXTENSIONS, IMPORTS, MOST_BYTES, MOST_FILES, SKIPPED_FOLDERS, SYMBOLS
-from ..functions.text import TokenCounter, estimated_tokens
+from ..functions.text import TokenCounter, estimated_tokens, let
 from .tasks import top_keywords
 
 
@@ -53,7 +53,8 @@ def export_names(text: Column) -> Column:
 def symbols(text: Column) -> Column:
     """array<struct<name,kind,exported>>, each name of a kind once, in the order of the patterns."""
     found = F.flatten(F.array(*[F.transform(F.regexp_extract_all(text, F.lit("(?md)" + p), F.lit(1)), lambda n: F.struct(n.alias("name"), F.lit(k).alias("kind"))) for k, p in SYMBOLS]))
-    return F.transform(F.array_distinct(found), lambda s: F.struct(s["name"].alias("name"), s["kind"].alias("kind"), F.array_contains(export_names(text), s["name"]).alias("exported")))
+    exports = F.coalesce(export_names(text), F.array().cast("array<string>"))
+    return let(exports, lambda names: F.transform(F.array_distinct(found), lambda s: F.struct(s["name"].alias("name"), s["kind"].alias("kind"), F.array_contains(names, s["name"]).alias("exported"))))
 
 
 def imports(text: Column) -> Column:
@@ -72,8 +73,6 @@ def indexed(files: DataFrame, count_tokens: TokenCounter = estimated_tokens) ->
 
 
 
-
-
 def symbol_lines(files: DataFrame) -> DataFrame:
     """(project_id, path, name, kind, line): where each symbol's name stands; offsets need a helper in Python."""
 

@@ -71,6 +71,8 @@ def compression_report(messages: DataFrame, count_tokens: TokenCounter = estimat
 
 
 def chat_tokens(messages: DataFrame, count_tokens: TokenCounter = estimated_tokens) -> DataFrame:
-    """Tokens of each conversation as a chat: three for a message and its fields, three for the reply."""
+    """Tokens of each conversation as a chat: three for a message and its fields, one more for a name, three for the reply."""
     of_message = 3 + count_tokens(F.col("role")) + count_tokens(F.col("content"))
+    if "name" in messages.columns:
+        of_message = of_message + F.when(F.col("name").isNotNull(), count_tokens(F.col("name")) + 1).otherwise(0)
     return messages.groupBy("conversation_id").agg((F.sum(of_message) + 3).alias("chat_tokens"))

@@ -26,14 +26,15 @@ def chunk_bounds(text: str, size: int = 1000, back: int = 100) -> list[tuple[int
     return out
 
 
-def chunks(docs: DataFrame, size: int = 1000) -> DataFrame:
-    """docs(doc_id, text) as rows (doc_id, chunk, start, text); each cut depends on the one before, so a helper in Python makes them."""
+def chunks(docs: DataFrame, size: int = 1000, also: list[str] | None = None) -> DataFrame:
+    """docs(doc_id, text) as rows (doc_id, chunk, start, text) and the columns `also`; each cut depends on the one before, so a helper in Python makes them."""
 
     @F.pandas_udf("array<struct<chunk:int,start:int,text:string>>")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"chunk": k, "start": a, "text": t[a:b]} for k, (a, b) in enumerate(chunk_bounds(t or "", size))] if t else [{"chunk": 0, "start": 0, "text": ""}])
 
-    return docs.select("doc_id", F.explode(cut("text")).alias("c")).select("doc_id", "c.*")
+    kept = ["doc_id", *(also or [])]
+    return docs.select(*kept, F.explode(cut("text")).alias("c")).select(*kept, "c.*")
 
 
 def importance(kind: Column, text: Column) -> Column:
@@ -46,12 +47,26 @@ def importance(kind: Column, text: Column) -> Column:
 def statements(rows: DataFrame) -> DataFrame:
     """rows(project_id, source_title, text) with each statement longer than ten characters: knowledge_type, content, importance, id, title."""
     found = [_kind(kind, p) for kind, _, patterns in KNOWLEDGE for p in patterns]
-    out = rows.select("project_id", "source_title", F.explode(F.filter(F.flatten(F.array(*found)), lambda s: F.length(s["content"]) > 10)).alias("s")).select("project_id", "source_title", "s.*")
+    kept = [c for c in rows.columns if c != "text"]
+    out = rows.select(*kept, F.explode(F.filter(F.flatten(F.array(*found)), lambda s: F.length(s["content"]) > 10)).alias("s")).select(*kept, "s.*")
+    names = F.create_map(*[F.lit(x) for k, _, _ in KNOWLEDGE for x in (k, k.title())])
     return out.withColumns({
         "importance": importance(F.col("knowledge_type"), F.col("content")),
         "id": F.substring(F.sha2(F.concat_ws("_", "project_id", "source_title", "content"), 256), 1, 16),
+        "title": F.concat(names[F.col("knowledge_type")], F.lit(" from "), "source_title"),
     })
 
 
+def document_statements(docs: DataFrame, size: int = 1000) -> DataFrame:
+    """statements of docs(doc_id, project_id, source_title, text) chunk by chunk, with the chunk's number in the source title, its hash and its first 200 characters.
+
+    Chunks overlap, so what lies in two of them is there twice, under two ids.
+    """
+    parts = chunks(docs, size, ["project_id", "source_title"])
+    excerpt = F.when(F.length("text") > 200, F.concat(F.left("text", F.lit(200)), F.lit("..."))).otherwise(F.col("text"))
+    title = F.concat("source_title", F.lit(" - Chunk "), (F.col("chunk") + 1).cast("string"))
+    return statements(parts.select("doc_id", "project_id", "chunk", title.alias("source_title"), F.sha2("text", 256).alias("source_hash"), excerpt.alias("source_chunk"), "text"))
+
+
 def _kind(kind: str, pattern: str) -> Column:
     return F.transform(F.regexp_extract_all("text", F.lit("(?d)" + pattern), F.lit(1)), lambda g: F.struct(F.lit(kind).alias("knowledge_type"), stripped(g).alias("content")))

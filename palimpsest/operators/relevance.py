@@ -11,11 +11,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions.patterns import INTENT_BOOSTS
 from ..functions.text import keywords, stem_variants, stripped
-from .store import metadata_map, top
+from .store import metadata_map, timestamp_of, top
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -38,24 +39,31 @@ def intent_boosts(queries: DataFrame) -> DataFrame:
 
 
 def prepared_queries(queries: DataFrame) -> DataFrame:
-    """queries(query_id, project_id, query) with what scoring needs of them."""
+    """queries(project_id, query, ...) with what scoring needs of them: each keyword with all that stands for it in a content."""
     trimmed = stripped(F.col("query"))
-    return queries.select("query_id", "project_id", F.lower(trimmed).alias("q"), F.array_distinct(keywords(trimmed)).alias("q_words"), intent_words(F.col("query")).alias("q_intent"))
+    rows = queries.select(*queries.columns, F.lower(trimmed).alias("q"), F.array_distinct(keywords(trimmed)).alias("q_words"), intent_words(F.col("query")).alias("q_intent"))
+    return rows.withColumn("q_needles", F.transform("q_words", needles))
+
+
+def needles(word: Column) -> Column:
+    """A query's word, the words that match it (its singular or plural, and if it is long its parts of four letters or more), and whether words that hold it do."""
+    n, long = F.length(word), F.length(word) >= 5
+    sizes = F.sequence(F.lit(4), n)
+    inner = F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda at: F.substring(word, at, k))))
+    return F.struct(word.alias("word"), F.when(long, F.array_distinct(F.concat(stem_variants(word), inner))).otherwise(stem_variants(word)).alias("same"), long.alias("long"))
 
 
 def prepared_memories(memories: DataFrame, pool: int) -> DataFrame:
     meta = metadata_map(F.col("metadata"))
     rows = top(memories, pool).withColumnRenamed("rank", "pool_rank")
-    return rows.select("*", F.lower("content").alias("text"), F.array_distinct(keywords(F.col("content"))).alias("words"), meta.alias("meta"))
+    rows = rows.select("*", F.lower("content").alias("text"), F.array_distinct(keywords(F.col("content"))).alias("words"), meta.alias("meta"))
+    return rows.withColumn("all_words", F.array_join("words", " "))
 
 
-def overlap(q_words: Column, words: Column) -> Column:
+def overlap(q_needles: Column, words: Column, all_words: Column) -> Column:
     """The query's words that the content has: equal, as singular or plural, or one within the other."""
-    def has(q: Column) -> Column:
-        partly = (F.length(q) >= 5) & F.exists(words, lambda c: (F.length(c) >= 4) & (F.contains(c, q) | F.contains(q, c)))
-        return F.arrays_overlap(stem_variants(q), words) | partly
-
-    return F.array_sort(F.filter(q_words, has))
+    found = F.filter(q_needles, lambda q: F.arrays_overlap(q["same"], words) | (q["long"] & F.contains(all_words, q["word"])))
+    return F.array_sort(F.transform(found, lambda q: q["word"]))
 
 
 def boost_of(category: Column, words: Column, demote: bool) -> Column:
@@ -72,7 +80,7 @@ def layered_score(as_of: Column, demote: bool = False) -> Scorer:
         kind = F.coalesce(F.col("meta")["knowledge_type"], F.lit(""))
         status = F.coalesce(F.col("meta")["status"], F.lit("active"))
         rows = rows.withColumns({
-            "_kind": kind, "_status": status, "_overlap": overlap(F.col("q_words"), F.col("words")),
+            "_kind": kind, "_status": status, "_overlap": overlap(F.col("q_needles"), F.col("words"), F.col("all_words")),
             "_phrase": (F.col("q") != "") & F.contains("text", "q"),
             "_boost": F.coalesce(boost_of(kind, F.col("q_intent"), demote), F.lit(1.0)),
             "_stale": boost_of(F.lit("stale_info"), F.col("q_intent"), demote).isNotNull(), "_resolved": boost_of(F.lit("resolved_issue"), F.col("q_intent"), demote).isNotNull(),
@@ -88,6 +96,8 @@ def layered_score(as_of: Column, demote: bool = False) -> Scorer:
         rejected = F.col("_status") == "rejected"
         state = F.when(stale, 0.5).when(resolved, 0.75).when(rejected, 0.8).otherwise(1.0)
         age = F.greatest((F.unix_timestamp(as_of) - F.unix_timestamp("updated_at")) / 86400.0, F.lit(0.0))
+        if isinstance(rows.schema["updated_at"].dataType, StringType):
+            rows = rows.withColumn("updated_at", timestamp_of(F.col("updated_at")))
         recency = F.when(F.col("updated_at").isNull(), 1.0).otherwise(0.7 + 0.3 * F.exp(-age / 30.0))
         total = boosted * state * (0.5 + F.col("importance_score")) * recency
         shown = F.concat(F.lit("keywords: ['"), F.array_join(F.slice("_overlap", 1, 6), "', '"), F.lit("']"))
@@ -102,9 +112,22 @@ def layered_score(as_of: Column, demote: bool = False) -> Scorer:
     return score
 
 
-def ranked(memories: DataFrame, queries: DataFrame, scorer: Scorer, limit: int = 10, pool: int = 200, least: float = 0.05) -> DataFrame:
-    """The best memories for each query: score above least, rounded to four places, ties in pool order."""
-    pairs = prepared_memories(memories, pool).join(prepared_queries(queries), "project_id")
+def ranked(memories: DataFrame, queries: DataFrame, scorer: Scorer, limit: int = 10, pool: int = 200, least: float = 0.05, spread: int = 8) -> DataFrame:
+    """The best memories for each of queries(query_id, project_id, query): score above least, rounded to four places, ties in pool order.
+
+    Equal queries of a project are scored once. A project's queries are dealt by their text into `spread` parts that
+    each get the project's pool (`pool` rows at most), so no task scores a project alone.
+    """
+    asked = prepared_queries(queries.select("project_id", "query").distinct()).withColumn("_part", F.pmod(F.xxhash64("query"), F.lit(spread)))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long")))
+    pairs = prepared_memories(memories, pool).withColumn("_part", parts).join(asked, ["project_id", "_part"]).drop("_part")
     kept = scorer(pairs).filter(F.col("score") > least).withColumn("score", F.round("score", 4))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "pool_rank")
-    return kept.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
+    best = Window.partitionBy("project_id", "query").orderBy(F.desc("score"), "pool_rank")
+    found = kept.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit).drop("q", "q_words", "q_intent", "q_needles", "all_words", "words", "text")
+    return found.join(queries.select("query_id", "project_id", "query"), ["project_id", "query"])
+
+
+def exported(rows: DataFrame) -> DataFrame:
+    """(query_id, rank, result) of ranked rows: one JSON object each for tools that read results."""
+    result = F.struct(F.col("id").alias("memory_id"), "content", "score", "reasons", "memory_type", F.col("importance_score").alias("importance"), F.col("meta")["provenance"].alias("provenance"))
+    return rows.select("query_id", "rank", F.to_json(result).alias("result"))

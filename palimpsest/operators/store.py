@@ -105,10 +105,34 @@ def project_memories(memories: DataFrame, types: list[str] | None = None, least:
 
 
 def search(memories: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """queries(query_id, project_id, query): memories whose content holds the query in any case; % and _ in it are wild."""
-    found = memories.join(queries, "project_id").filter((F.col("query") == "") | F.ilike("content", F.concat(F.lit("%"), "query", F.lit("%"))))
-    best = Window.partitionBy("query_id").orderBy(F.desc("importance_score"), F.desc("updated_at"), "id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
+    """queries(query_id, project_id, query): memories whose content holds the query in any case; % and _ in it are wild.
+
+    Equal queries of a project are searched once; the window keeps the best rows of each task before it shuffles.
+    """
+    asked = queries.select("project_id", "query").distinct()
+    wild = F.col("query").rlike("[%_\\\\]")
+    held = F.when(wild, F.ilike("content", F.concat(F.lit("%"), "query", F.lit("%")))).otherwise(F.contains(F.lower("content"), F.lower("query")))
+    best = Window.partitionBy("project_id", "query").orderBy(F.desc("importance_score"), F.desc("updated_at"), "id")
+    found = memories.join(asked, "project_id").filter(held).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
+    return found.join(queries.select("query_id", "project_id", "query"), ["project_id", "query"])
+
+
+def lookup(memories: DataFrame, ids: DataFrame) -> DataFrame:
+    """The memories of ids(id), each once."""
+    return memories.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def documents(memories: DataFrame, paths: DataFrame) -> DataFrame:
+    """(project_id, path, content) of paths(project_id, path): the first memory that names document:<path>, if there is one."""
+    asked = paths.select("project_id", "path").distinct().withColumn("query_id", F.to_json(F.struct("project_id", "path")))
+    found = search(memories, asked.select("query_id", "project_id", F.concat(F.lit("document:"), "path").alias("query")), 1)
+    return asked.join(found.select("query_id", "content"), "query_id").select("project_id", "path", "content")
+
+
+def timestamp_of(text: Column) -> Column:
+    """A time written with a space, or with a T with or without fractions of a second; null if it is none of these. The session's time zone should be UTC."""
+    formats = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.[SSSSSS][SSSSS][SSSS][SSS][SS][S]", "yyyy-MM-dd'T'HH:mm:ss"]
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
 def is_stale(days: int, now: Column) -> Column:
@@ -121,8 +145,8 @@ def without_stale(memories: DataFrame, days: int, now: Column) -> DataFrame:
 
 
 def tracked(memories: DataFrame, log: DataFrame) -> DataFrame:
-    """log(id, ts): each access counts, the last one's time is kept; updated_at doesn't move."""
-    seen = log.groupBy("id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    """log(id, ts), or counts(id, n, last) of one: each access counts, the last one's time is kept; updated_at doesn't move."""
+    seen = log.select("id", "n", "last") if "n" in log.columns else log.groupBy("id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
     rows = memories.join(seen, "id", "left")
     values = {"access_count": (F.col("access_count") + F.coalesce("n", F.lit(0))).cast("int"), "accessed_at": F.greatest("accessed_at", "last")}
     return rows.select(*[values.get(c, F.col(c)).alias(c) for c in COLUMNS])

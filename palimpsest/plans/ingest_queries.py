@@ -104,7 +104,8 @@ def compression_report(spark, d):
 
 
 def chat_token_total(spark, d):
-    return ingest.chat_tokens(_messages(spark, d))
+    named = F.when(F.col("msg_index") % 2 == 0, F.concat(F.lit("speaker "), "conversation_id"))
+    return ingest.chat_tokens(_messages(spark, d).withColumn("name", named))
 
 
 def content_hashes(spark, d):
@@ -205,7 +206,8 @@ def substring_search(spark, d):
 
 
 def memory_lookup(spark, d):
-    return _memories(spark, d).join(F.broadcast(seed(spark, d, "tasks").select(F.concat(F.lit("m"), F.substring("task_id", 2, 20), F.lit("-1")).alias("id"))), "id", "left_semi").select("id", "content", "access_count")
+    ids = seed(spark, d, "tasks").select(F.concat(F.lit("m"), F.substring("task_id", 2, 20), F.lit("-1")).alias("id"))
+    return store.lookup(_memories(spark, d), ids).select("id", "content", "access_count")
 
 
 def stale_cleanup(spark, d):
@@ -253,7 +255,7 @@ SQL = {
     "compression_report": FOUND_SQL + f""", a as (select conversation_id, sum({TOKENS.format('content')})::bigint as s from kept where category <> 'irrelevant' group by 1),
   b as (select conversation_id, count(*) as message_count, count(*) - count(distinct {NORMAL.format('content')}) as duplicate_messages, sum({TOKENS.format('content')})::bigint as original_tokens from messages group by 1)
   select conversation_id, message_count, duplicate_messages, original_tokens, coalesce(s, 0) as structured_tokens, case when original_tokens > 0 then round((1 - coalesce(s, 0) / original_tokens) * 100, 2) else 0.0 end as reduction_percent from b left join a using (conversation_id)""",
-    "chat_token_total": ctes("messages") + f" select conversation_id, (sum(3 + {TOKENS.format('role')} + {TOKENS.format('content')}) + 3)::bigint as chat_tokens from messages group by 1",
+    "chat_token_total": ctes("messages") + f" select conversation_id, (sum(3 + {TOKENS.format('role')} + {TOKENS.format('content')} + case when msg_index % 2 = 0 then 1 + {TOKENS.format("('speaker ' || conversation_id)")} else 0 end) + 3)::bigint as chat_tokens from messages group by 1",
     "content_hashes": ctes("messages") + f" select conversation_id, msg_index, sha256({NORMAL.format('content')}) as content_key, left(sha256(content), 12) as default_id, left(sha256(conversation_id || ':' || content), 16) as memory_id, 'Conversation ' || conversation_id || ', Message #' || msg_index as provenance from messages",
     "token_reduction": ctes("messages") + f""" select *, original_tokens - optimized_tokens as saved_tokens, case when original_tokens > 0 then round((original_tokens - optimized_tokens) / original_tokens * 100, 2) else 0.0 end as reduction_percent,
   case when optimized_tokens >= original_tokens then 'This input is already compact.' else printf('Estimated context reduction: %.1f%%', round_even((original_tokens - optimized_tokens) / original_tokens * 100, 1)) end as message

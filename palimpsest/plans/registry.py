@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import index_queries, ingest_queries, retrieval_queries, source_queries
+from . import context_queries, index_queries, ingest_queries, retrieval_queries, source_queries
 
-_PARTS = [ingest_queries, retrieval_queries, index_queries, source_queries]
+_PARTS = [ingest_queries, retrieval_queries, index_queries, source_queries, context_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

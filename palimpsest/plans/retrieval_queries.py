@@ -48,14 +48,6 @@ def context_gaps(spark, d):
     return tasks.gaps(_tasks(spark, d), context.knowledge(_ranked(spark, d, 3)).withColumnRenamed("query_id", "task_id"))
 
 
-def second_pass(spark, d):
-    terms = tasks.second_terms(_tasks(spark, d))
-    hits = relevance.ranked(_memories(spark, d), terms.select("query_id", "project_id", "query"), relevance.layered_score(now()), 3)
-    found = hits.select("query_id", "rank", "id").join(terms.select("query_id", "task_id", "term"), "query_id")
-    known = _ranked(spark, d, 3).select(F.col("query_id").alias("task_id"), "id")
-    return tasks.second_pass(found, known)
-
-
 def knowledge_projection(spark, d):
     return context.knowledge(_ranked(spark, d)).select("query_id", "rank", "id", "source_type", "source_title", "title", "knowledge_type", "score")
 
@@ -69,16 +61,7 @@ def current_state(spark, d):
     return state.select("project_id", F.array_join("active_issues", "|").alias("active_issues"), F.array_join("recent_decisions", "|").alias("recent_decisions"))
 
 
-def context_package(spark, d):
-    packed = context.packages(_tasks(spark, d), _memories(spark, d), relevance.layered_score(now()), as_of="2025-06-15T00:00:00")
-    return packed.select("task_id", "project_id", "n_knowledge", F.array_join("constraints", "|").alias("constraints"), F.sha2("context_text", 256).alias("text_sha256"), "estimated_tokens")
-
-
-def context_run_summary(spark, d):
-    return context.run_summary(_tasks(spark, d), _memories(spark, d), relevance.layered_score(now()), as_of="2025-06-15T00:00:00")
-
-
-QUERIES = {f.__name__: f for f in (query_keywords, intent_boosts, ranked_search, task_analysis, top_keywords, context_gaps, second_pass, knowledge_projection, context_decisions, current_state, context_package, context_run_summary)}
+QUERIES = {f.__name__: f for f in (query_keywords, intent_boosts, ranked_search, task_analysis, top_keywords, context_gaps, knowledge_projection, context_decisions, current_state)}
 
 
 def _list(words):
@@ -96,13 +79,13 @@ _BOOSTS = "boosts(word, category, boost) as (values " + ", ".join(f"('{w}', '{c}
 _UNIQUE = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
 
 
-def scored_sql(queries: str, limit: int) -> str:
+def scored_sql(queries: str, limit: int, most: int = 200) -> str:
     """CTEs up to ranked(query_id, rank, id, score, reasons, kind, ...) for a CTE asked(query_id, project_id, query)."""
     return f"""{_BOOSTS}, asked as ({queries}),
   aq as (select query_id, project_id, lower({STRIP.format('query')}) as q, {_WORDS.format(STRIP.format('query'))} as q_words from asked),
   qw as (select query_id, trim(unnest(string_split_regex(q, '\\s+')), '?.,!') as word from aq),
   qb as (select query_id, category, greatest(1.0, max(boost)) as boost from qw join boosts using (word) group by 1, 2),
-  pool as (select * from (select *, row_number() over (partition by project_id order by importance_score desc, updated_at desc, id) as pool_rank from memories) where pool_rank <= 200),
+  pool as (select * from (select *, row_number() over (partition by project_id order by importance_score desc, updated_at desc, id) as pool_rank from memories) where pool_rank <= {most}),
   pm as (select *, lower(content) as text, list_distinct({_WORDS.format('content')}) as words, coalesce(case when json_valid(metadata) then metadata ->> '$.knowledge_type' end, '') as kind,
     coalesce(case when json_valid(metadata) then metadata ->> '$.status' end, 'active') as status from pool),
   pairs as (select pm.*, aq.query_id, q, list_sort(list_filter(list_distinct(q_words), lambda w: list_contains(words, w)
@@ -119,9 +102,10 @@ def scored_sql(queries: str, limit: int) -> str:
 
 _ASKED = "select task_id as query_id, project_id, task as query from tasks"
 _MT = ctes("memories", "tasks")
-_REASONS = """array_to_string(list_filter([case when phrase then 'exact phrase match' end, case when len(overlap_) > 0 then 'keywords: [''' || array_to_string(overlap_[1:6], ''', ''') || ''']' end, case when named then 'metadata type: ' || kind end,
+_REASONS_LIST = """list_filter([case when phrase then 'exact phrase match' end, case when len(overlap_) > 0 then 'keywords: [''' || array_to_string(overlap_[1:6], ''', ''') || ''']' end, case when named then 'metadata type: ' || kind end,
   case when floor_ then 'intent match: ' || kind end, case when boost <> 1 and boosted > 0 then 'intent boost x' || boost || ' (' || kind || ')' end,
-  case when d_stale then 'demoted: stale' when d_resolved then 'demoted: resolved' when status = 'rejected' then 'demoted: rejected approach' end, 'importance ' || importance_score], lambda x: x is not null), '; ')"""
+  case when d_stale then 'demoted: stale' when d_resolved then 'demoted: resolved' when status = 'rejected' then 'demoted: rejected approach' end, 'importance ' || importance_score], lambda x: x is not null)"""
+_REASONS = f"array_to_string({_REASONS_LIST}, '; ')"
 _TYPE = "case " + " ".join(f"when {_any('lower(task)', w)} then '{k}'" for k, w in TASK_TYPES) + " else 'general' end"
 _NEED = "list_filter([" + ", ".join(f"case when {_any('lower(task)', w)} then '{k}' end" for k, w in NEEDED_KNOWLEDGE) + "], lambda x: x is not null)"
 SQL = {

@@ -47,17 +47,40 @@ def parse_text(raw: DataFrame) -> DataFrame:
     return numbered(messages.withColumnRenamed("segment", "pos"))
 
 
-def parse_json(raw: DataFrame) -> DataFrame:
-    """Messages of JSON exports: an array, or an object with one under a known key. Other rows give none. A null content counts as absent."""
-    data = F.try_parse_json(F.col("raw"))
+def json_messages(raw: Column) -> Column:
+    """array<struct<role,content>> of a JSON export: an array, or an object with one under a known key; blank contents are null. Null for anything else."""
+    data = F.try_parse_json(raw)
     lists = F.coalesce(F.try_variant_get(data, "$", "array<variant>"), *[F.try_variant_get(data, f"$.{k}", "array<variant>") for k in _KEYS])
-    items = raw.select("conversation_id", F.posexplode(lists).alias("pos", "item"))
 
-    def text(*paths: str) -> Column:
-        return F.coalesce(*[F.try_variant_get("item", p, "string") for p in paths])
+    def message(item: Column) -> Column:
+        def text(*paths: str) -> Column:
+            return F.coalesce(*[F.try_variant_get(item, p, "string") for p in paths])
+
+        parts = F.array_join(F.try_variant_get(item, "$.content.parts", "array<string>"), " ")
+        content = stripped(F.coalesce(parts, text("$.content", "$.text", "$.message")))
+        return F.struct(canonical_role(text("$.role", "$.author")).alias("role"), F.when(content != "", content).alias("content"))
+
+    return F.transform(lists, message)
 
-    parts = F.array_join(F.try_variant_get("item", "$.content.parts", "array<string>"), " ")
-    return numbered(items.select("conversation_id", "pos", canonical_role(text("$.role", "$.author")).alias("role"), F.coalesce(parts, text("$.content", "$.text", "$.message")).alias("content")))
+
+def parse_json(raw: DataFrame) -> DataFrame:
+    """Messages of JSON exports. Other rows give none. A null content counts as absent."""
+    items = raw.select("conversation_id", F.posexplode(json_messages(F.col("raw"))).alias("pos", "m"))
+    return numbered(items.select("conversation_id", "pos", "m.role", "m.content"))
+
+
+def parse(raw: DataFrame) -> DataFrame:
+    """Messages of raw(conversation_id, raw) whatever each row is: a JSON export, one with a mapping of nodes, else a transcript.
+
+    A JSON export without a usable message is read as a transcript too; an empty mapping gives no messages.
+    """
+    usable = F.exists(json_messages(F.col("raw")), lambda m: m["content"].isNotNull())
+    tree = F.try_variant_get(F.try_parse_json("raw"), "$.mapping", "map<string,variant>").isNotNull() & json_messages(F.col("raw")).isNull()
+    form = F.when(F.coalesce(usable, F.lit(False)), "json").when(F.coalesce(tree, F.lit(False)), "tree").otherwise("text")
+    rows = raw.withColumn("_form", form)
+    parsers = {"json": parse_json, "tree": parse_tree, "text": parse_text}
+    found = [parser(rows.filter(F.col("_form") == k).drop("_form")) for k, parser in parsers.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def parse_tree(raw: DataFrame) -> DataFrame:

@@ -1,32 +1,91 @@
-"""Continuous ingestion: messages into a findings table, accesses into counts; equal to the batch result."""
+"""Continuous ingestion: messages into findings, accesses into counts; at every moment equal to the batch result.
+
+A result is kept as Parquet in buckets by its key's hash. A micro-batch reads the buckets that it touches,
+merges its rows and writes these buckets whole under its own number; a reader takes of each bucket the one
+with the highest number. A batch that runs again reads what was there before it and writes the same again,
+so nothing counts twice, and nothing but the touched buckets is read or classified again.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import classify, dedup_memories, dedup_messages
+from ..operators.store import COLUMNS, tracked
+
+BUCKETS = 64
+
+
+def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def latest(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The rows of each bucket as its last batch (before that number, if one is given) wrote them; None if there are none yet."""
+    try:
+        rows = spark.read.option("basePath", folder).parquet(folder)
+    except AnalysisException:  # nothing written yet
+        return None
+    if before is not None:
+        rows = rows.filter(F.col("batch") < before)
+    newest = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))  # as many rows as buckets
+    return rows.join(F.broadcast(newest), ["bucket", "batch"])
+
 
+def rewrite(rows: DataFrame, folder: str, number: int) -> None:
+    """Writes rows with their column `bucket` as that batch's version of their buckets."""
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/batch={number}")
 
-def stream_messages(messages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Appends new messages(conversation_id, msg_index, role, content) of a stream to the Parquet folder out, partitioned by batch.
 
-    A batch that runs again overwrites its own folder, so nothing is added twice.
-    """
+def merged(batch: DataFrame, folder: str, number: int, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """merge() of the batch's rows and those that its buckets held before."""
+    old = latest(batch.sparkSession, folder, number)
+    if old is not None:
+        touched = batch.select("bucket").distinct()  # as many rows as buckets at most
+        batch = batch.unionByName(old.join(F.broadcast(touched), "bucket", "left_semi").select(*batch.columns))
+    return merge(batch)
+
+
+def stream_messages(messages: DataFrame, out: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Merges a stream of messages(conversation_id, msg_index, role, content) into out/messages (each content of a conversation once) and out/findings."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rows = batch.select("conversation_id", "msg_index", "role", "content", bucket_of(F.col("conversation_id"), buckets).alias("bucket"))
+        rewrite(merged(rows, f"{out}/messages", number, dedup_messages), f"{out}/messages", number)
+        kept = batch.sparkSession.read.option("basePath", f"{out}/messages").parquet(f"{out}/messages/batch={number}")
+        found = dedup_memories(classify(kept)).withColumn("bucket", bucket_of(F.col("conversation_id"), buckets))
+        rewrite(found, f"{out}/findings", number)
 
     return messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def findings(spark, out: str) -> DataFrame:
+def findings(spark: SparkSession, out: str) -> DataFrame | None:
     """The structured memory of all messages that have come so far."""
-    messages = spark.read.option("basePath", out).parquet(out).drop("batch")
-    return dedup_memories(classify(dedup_messages(messages)))
+    rows = latest(spark, f"{out}/findings")
+    return None if rows is None else rows.drop("bucket", "batch")
+
+
+def stream_accesses(log: DataFrame, out: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Merges a stream of accesses(id, ts) into out: (id, n, last) for each memory."""
+
+    def add(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("id", "bucket").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.select("id", F.lit(1).cast("long").alias("n"), F.col("ts").alias("last"), bucket_of(F.col("id"), buckets).alias("bucket"))
+        rewrite(merged(rows, out, number, add), out, number)
+
+    return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def access_counts(log: DataFrame) -> DataFrame:
-    """(id, n, last) of a stream log(id, ts): for use in update mode."""
-    return log.groupBy("id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+def with_accesses(memories: DataFrame, out: str) -> DataFrame:
+    """memories with the accesses that have come so far, as store.tracked() counts them in a batch."""
+    counts = latest(memories.sparkSession, out)
+    if counts is None:
+        return memories.select(*COLUMNS)
+    return tracked(memories, counts)
