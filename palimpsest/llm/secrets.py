@@ -18,6 +18,8 @@ Null texts are empty; empty texts have no spans. Spans are code points, end excl
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
 
 
+def apart(value: Column) -> Column:
+    """value, by way of a lambda: Spark then cuts the code of the projection that holds it into methods small enough for the JVM to compile.
+
+    Without it, the long sums below become one method of over 8000 bytes, which the JVM only interprets, fifty times slower.
+    """
+    return let(value, lambda v: v)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start,end,found>> of the leftmost non-overlapping matches.
 
@@ -86,12 +96,12 @@ def normal_tail(z: Column) -> Column:
     return F.greatest(1 / (1 + F.exp(1.5976 * x + 0.070565992 * x * x * x)), F.lit(1e-12))
 
 
-def joined(f: Column, k: Column) -> Column:
-    """Fisher's sum from a token's facts under an alphabet of k characters."""
+def joined(f: Column | dict, k: Column) -> Column:
+    """Fisher's sum from a token's facts, a struct or a dict of columns, under an alphabet of k characters."""
     df, zero = k - 1, F.lit(0.0)
     n = f["n"]
     chi = f["squares"] * k / n - n
-    p_uniform = normal_tail((F.pow(F.greatest(chi, zero) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
+    p_uniform = normal_tail((F.cbrt(F.greatest(chi, zero) / df) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
     both = 2 * f["ones"] * (n - f["ones"])
     spread = F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1)), F.lit(1e-9)))
     p_runs = F.when(both == 0, F.lit(1e-12)).otherwise(F.least(2 * normal_tail(F.abs(f["runs"] - both / n - 1) / spread), F.lit(1.0)))
@@ -100,7 +110,7 @@ def joined(f: Column, k: Column) -> Column:
     power = p["squares"] - n * mean * mean
     lagged = p["lagged"] - mean * (2 * p["sum"] - f["first"] - p["last"]) + (n - 1) * mean * mean
     p_serial = F.when(power <= 1e-9, F.lit(1e-12)).otherwise(F.least(2 * normal_tail(F.abs((lagged / power + 1 / n) * F.sqrt(n))), F.lit(1.0)))
-    return -2 * (F.log(p_uniform) + F.log(p_runs) + F.log(p_serial))
+    return -2 * F.log(p_uniform * p_runs * p_serial)  # each is 1e-12 at least
 
 
 def fisher_sum(token: Column, alphabet: str) -> Column:
@@ -181,29 +191,67 @@ def histogram(docs: DataFrame) -> DataFrame:
     return counted.unionByName(decoys(docs)).groupBy("encoding", "length_class", "bin").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_decoys").alias("n_decoys"))
 
 
+#: A block of letters is a whole number of windows of every length; these are its windows.
+BLOCK = math.lcm(*LENGTHS)
+WINDOWS = [(n, at) for n in LENGTHS for at in range(0, BLOCK, n)]
+
+
 def decoys(docs: DataFrame) -> DataFrame:
-    """(encoding, length_class, bin, n_tokens 0, n_decoys) of every window of the texts' letters, for all encodings and lengths."""
+    """(encoding, length_class, bin, n_tokens 0, n_decoys) of every window of the texts' letters, for all encodings and lengths.
+
+    Texts are cut into blocks first, so the work follows their length.
+    """
     letters = F.lower(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), "[^A-Za-z]+", ""))
-    plain = "abcdefghijklmnopqrstuvwxyz"
-    bits = docs.select(*[F.translate(letters, plain, "".join(str(i >> b & 1) for i in range(26))).alias(f"bits{b}") for b in range(5)])
+    blocks = docs.select(F.explode(F.regexp_extract_all(letters, F.lit(f"[a-z]{{1,{BLOCK}}}"), F.lit(0))).alias("block"))
+    places = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(at).alias("at")) for n, at in WINDOWS])
+    rows = blocks.select(eights(F.col("block")).alias("eights"), F.length("block").alias("size"), places.alias("places"))
+    rows = rows.select("eights", "size", F.explode("places").alias("w")).select("eights", "size", "w.n", "w.at").filter("at + n <= size")
+    return decoy_bins(planes(rows)).groupBy("encoding", "length_class", "bin").agg(F.lit(0).cast("long").alias("n_tokens"), F.count("*").alias("n_decoys"))
+
+
+def eights(block: Column) -> Column:
+    """array<long>: eight small letters at a time as their numbers 0 to 25, of which byte k holds bit k of each, the first letter's on top.
 
-    def windows(n: int) -> Column:
-        cut = F.arrays_zip(*[F.regexp_extract_all(f"bits{b}", F.lit(f"[01]{{{n}}}"), F.lit(0)).alias(f"b{b}") for b in range(5)])
-        return F.transform(cut, lambda w: F.struct(F.lit(n).alias("n"), *[w[f"b{b}"].alias(f"b{b}") for b in range(5)]))
+    A number of eight letters is a matrix of eight times eight bits, transposed in three steps.
+    """
+    letters = F.rpad(F.hex(F.encode(block, "utf-8")), F.ceil(F.length(block) / 8).cast("int") * 16, "61")
+    numbers = F.transform(F.regexp_extract_all(letters, F.lit("[0-9A-F]{16}"), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("long") - 0x0101010101010101)
+
+    def swaps(step: int, mask: int):
+        return lambda x: let(x.bitwiseXOR(F.shiftrightunsigned(x, step)).bitwiseAND(F.lit(mask)), lambda t: x.bitwiseXOR(t).bitwiseXOR(F.shiftleft(t, step)))
+
+    for step, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)):
+        numbers = F.transform(numbers, swaps(step, mask))
+    return numbers
+
+
+def planes(windows: DataFrame) -> DataFrame:
+    """(n, b0..b4) of windows(n, at, eights): letters at + 1 to at + n, bk holding bit k of each, the first letter's on top. at is a multiple of 4."""
+    places = range(0, max(LENGTHS), 8)
+    rows = windows.select("n", (F.col("at") % 8).alias("off"), F.shiftright("at", 3).alias("from"), "eights")
+    rows = rows.select("n", "off", *[F.coalesce(F.get("eights", F.col("from") + k), F.lit(0).cast("long")).alias(f"x{at}") for k, at in enumerate(places)])
+
+    def plane(k: int) -> Column:
+        whole = F.lit(0).cast("long")
+        for at in places:
+            whole = whole.bitwiseOR(F.shiftleft(F.shiftrightunsigned(f"x{at}", 8 * k).bitwiseAND(F.lit(255).cast("long")), 56 - at))
+        return whole
 
-    cut = bits.select(F.explode(F.concat(*map(windows, LENGTHS))).alias("w"))
-    planes = cut.select(F.col("w.n").alias("n"), *[F.conv(f"w.b{b}", 2, -10).cast("long").alias(f"b{b}") for b in range(5)])
-    return decoy_bins(planes).groupBy("encoding", "length_class", "bin").agg(F.lit(0).cast("long").alias("n_tokens"), F.count("*").alias("n_decoys"))
+    rows = rows.select(apart(F.col("n")).alias("n"), "off", *[plane(k).alias(f"w{k}") for k in range(5)])
+    return rows.select("n", *[F.expr(f"shiftrightunsigned(shiftleft(w{k}, off), 64 - n)").alias(f"b{k}") for k in range(5)])
 
 
 def decoy_bins(planes: DataFrame) -> DataFrame:
-    """(encoding, length_class, bin) of windows (n, b0..b4) whose letters' numbers, 0 to 25, lie in bits: bk has bit k of each letter.
+    """(encoding, length_class, bin) of windows (n, b0..b4) as planes() makes them, for every encoding.
 
-    The bins are scored()'s for the window spelled in hex as the number modulo 16, in base32 by capitals,
+    The bins are scored()'s for the window spelled in hex as the numbers modulo 16, in base32 by capitals,
     and in base62 and base64 by small letters. A shift of all places leaves the serial correlation as it is.
     """
-    n, b = F.col("n"), [F.col(f"b{k}") for k in range(5)]
+    # doubles hold these small whole numbers exactly, and their arithmetic needs no check for overflow
+    n, b, zero = F.col("n"), [F.col(f"b{k}") for k in range(5)], F.lit(0.0)
+    bits = [f"b{k}" for k in range(5)]
     full = F.when(n >= 64, F.lit(-1).cast("long")).otherwise(F.expr("shiftleft(1L, n) - 1"))
+    rows = planes.select(apart(n).alias("n"), full.alias("full"), *bits)
     out = [F.bitwise_not(x).bitwiseAND(F.col("full")) for x in b]
 
     def held(letter: int) -> Column:
@@ -212,35 +260,36 @@ def decoy_bins(planes: DataFrame) -> DataFrame:
             found = found.bitwiseAND(b[k] if letter >> k & 1 else out[k])
         return F.bit_count(found).cast("double")
 
-    counted = planes.withColumn("full", full).select("*", *[held(i).alias(f"c{i}") for i in range(26)])
+    rows = rows.select(apart(n).alias("n"), "full", *bits, *[held(i).alias(f"c{i}") for i in range(26)])
     c = [F.col(f"c{i}") for i in range(26)]
-    lagged = lambda most: sum((F.bit_count(b[i].bitwiseAND(F.shiftrightunsigned(b[j], 1))) * (1 << i + j) for i in range(most) for j in range(most)), F.lit(0)).cast("double")
+    counts = {"hex": [c[i] + c[i + 16] if i < 10 else c[i] for i in range(16)], "all": c}
+
+    def facts(kind: str) -> dict[str, Column]:
+        most = 4 if kind == "hex" else 5
+        lagged = sum((F.bit_count(b[i].bitwiseAND(F.shiftrightunsigned(b[j], 1))).cast("double") * float(1 << i + j) for i in range(most) for j in range(most)), zero)
+        # the number of the first letter (the top bit) and of the last one
+        first, last = (sum((F.expr(f"shiftrightunsigned(b{k}, {at})").bitwiseAND(F.lit(1).cast("long")).cast("double") * float(1 << k) for k in range(most)), zero) for at in ("n - 1", "0"))
+        made = {"squares": lambda i, x: x * x, "sum": lambda i, x: x * float(i), "power": lambda i, x: x * float(i * i)}
+        return {k: sum((f(i, x) for i, x in enumerate(counts[kind])), zero) for k, f in made.items()} | {"lagged": lagged, "first": first, "last": last}
+
     beyond = b[4].bitwiseOR(b[3])
     halves = [b[3], b[4], beyond.bitwiseOR(b[2].bitwiseAND(b[1].bitwiseOR(b[0]))), beyond.bitwiseOR(b[2].bitwiseAND(b[1]))]
+    kinds = {kind: facts(kind) for kind in counts}
+    rows = rows.select(apart(n).alias("n"), "full", *[h.alias(f"half{e}") for e, h in enumerate(halves)], *[v.cast("double").alias(f"{kind}_{k}") for kind, own in kinds.items() for k, v in own.items()])
+
+    def runs(e: int) -> Column:
+        return F.bit_count(F.col(f"half{e}").bitwiseXOR(F.shiftrightunsigned(f"half{e}", 1)).bitwiseAND(F.shiftrightunsigned("full", 1))).cast("double") + 1.0
+
+    known = [f"{kind}_{k}" for kind, own in kinds.items() for k in own]
+    rows = rows.select(apart(n.cast("double")).alias("n"), length_class(n).alias("length_class"), *known, *[x.cast("double").alias(f"{name}{e}") for e in range(len(halves)) for name, x in (("ones", F.bit_count(f"half{e}")), ("runs", runs(e)))])
+
+    def bin_of(e: int, alphabet: str) -> Column:
+        own = {k: F.col(f"{'all' if e else 'hex'}_{k}") for k in ("squares", "sum", "power", "lagged", "first", "last")}
+        places = {"sum": own["sum"], "squares": own["power"], "lagged": own["lagged"], "last": own["last"]}
+        return binned(joined({"n": F.col("n"), "squares": own["squares"], "ones": F.col(f"ones{e}"), "runs": F.col(f"runs{e}"), "first": own["first"], "places": places}, F.lit(float(len(alphabet)))))
 
-    def end(top: bool, most: int) -> Column:
-        """The number, in most bits, of the first letter (the top bit) or the last one."""
-        at = [F.expr(f"shiftrightunsigned(b{k}, {'n - 1' if top else '0'})").bitwiseAND(F.lit(1)) for k in range(most)]
-        return sum((x * (1 << k) for k, x in enumerate(at)), F.lit(0)).cast("double")
-
-    def facts(encoding: int) -> Column:
-        most = 4 if encoding == 0 else 5
-        counts = [c[i] + c[i + 16] if i < 10 else c[i] for i in range(16)] if encoding == 0 else c
-        half = halves[encoding]
-        turns = F.bit_count(half.bitwiseXOR(F.shiftrightunsigned(half, 1)).bitwiseAND(F.shiftrightunsigned("full", 1)))
-        zero = F.lit(0.0)
-        places = F.struct(
-            end(False, most).alias("last"), sum((x * i for i, x in enumerate(counts)), zero).alias("sum"),
-            sum((x * (i * i) for i, x in enumerate(counts)), zero).alias("squares"), lagged(most).alias("lagged"),
-        )
-        return F.struct(
-            n.cast("double").alias("n"), sum((x * x for x in counts), zero).alias("squares"), F.bit_count(half).cast("double").alias("ones"),
-            (turns + 1).cast("double").alias("runs"), places.alias("places"), end(True, most).alias("first"),
-        )
-
-    each = F.array(*[F.struct(F.lit(e).alias("encoding"), F.lit(float(len(a))).alias("k"), facts(e).alias("facts")) for e, a in enumerate(ALPHABETS.values())])
-    rows = counted.select(length_class(n).alias("length_class"), F.explode(each).alias("d"))
-    return rows.select("d.encoding", "length_class", binned(joined(F.col("d.facts"), F.col("d.k"))).alias("bin"))
+    rows = rows.select(apart(F.col("length_class")).alias("length_class"), *[bin_of(e, a).alias(f"bin{e}") for e, a in enumerate(ALPHABETS.values())])
+    return rows.select("length_class", F.posexplode(F.array(*[f"bin{e}" for e in range(len(halves))])).alias("encoding", "bin"))
 
 
 def limits(counts: DataFrame, rate: float = 0.05) -> dict[tuple[int, int], int]:
