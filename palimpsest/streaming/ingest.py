@@ -55,6 +55,8 @@ def stream_messages(messages: DataFrame, out: str, checkpoint: str, buckets: int
     """Merges a stream of messages(conversation_id, msg_index, role, content) into out/messages (each content of a conversation once) and out/findings."""
 
     def write(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
         rows = batch.select("conversation_id", "msg_index", "role", "content", bucket_of(F.col("conversation_id"), buckets).alias("bucket"))
         rewrite(merged(rows, f"{out}/messages", number, dedup_messages), f"{out}/messages", number)
         kept = batch.sparkSession.read.option("basePath", f"{out}/messages").parquet(f"{out}/messages/batch={number}")
@@ -77,6 +79,8 @@ def stream_accesses(log: DataFrame, out: str, checkpoint: str, buckets: int = BU
         return rows.groupBy("id", "bucket").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
 
     def write(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
         rows = batch.select("id", F.lit(1).cast("long").alias("n"), F.col("ts").alias("last"), bucket_of(F.col("id"), buckets).alias("bucket"))
         rewrite(merged(rows, out, number, add), out, number)
 

@@ -1,9 +1,13 @@
 import json
+import time
 
+import pytest
+import regex
 from pyspark.sql import functions as F
 
 from palimpsest.functions.classify import findings, is_chatter
-from palimpsest.operators import context, index, ingest, knowledge, relevance, store, tasks
+from palimpsest.functions.patterns import SYMBOLS
+from palimpsest.operators import context, evaluate, index, ingest, knowledge, relevance, store, tasks
 from palimpsest.sources import transcripts, tree
 from palimpsest.streaming import ingest as stream
 
@@ -104,3 +108,92 @@ def test_constraints_and_task_rules(spark):
     df = spark.createDataFrame([("You must keep it small\nshould x", "What is a hard bug?")], "a string, t string")
     row = df.select(context.constraints(F.col("a")).alias("c"), tasks.task_type(F.col("t")).alias("k"), tasks.complexity(F.col("t")).alias("x"), tasks.needed_knowledge(F.col("t")).alias("n")).first()
     assert row.c == ["must keep it small"] and (row.k, row.x, row.n) == ("troubleshooting", "high", ["issue", "project_identity"])
+
+
+def test_any_raw_input(spark):
+    nodes = {"mapping": {"x": {"create_time": 1, "message": {"author": {"role": "user"}, "content": {"parts": ["from a tree"]}}}}}
+    rows = {"json": json.dumps([{"role": "user", "content": "from json"}]), "tree": json.dumps(nodes), "text": "## Assistant\nfrom text", "none": json.dumps({"messages": [{"role": "user", "content": " "}]}), "empty": json.dumps({"mapping": {}}), "broken": '{"messages": [', "blank": " ", "null": None}
+    df = spark.createDataFrame(list(rows.items()), "conversation_id string, raw string")
+    got = {r.conversation_id: (r.role, r.content) for r in transcripts.parse(df).collect()}
+    assert got == {"json": ("user", "from json"), "tree": ("user", "from a tree"), "text": ("assistant", "from text"), "none": ("user", rows["none"]), "broken": ("user", rows["broken"])}
+    assert transcripts.parse(df.limit(0)).count() == 0
+
+
+def test_text_files_are_raw_input(spark, tmp_path):
+    (tmp_path / "a.md").write_text("## User\nhello")
+    got = transcripts.parse(transcripts.read_text(spark, str(tmp_path))).collect()
+    assert [(r.role, r.content) for r in got] == [("user", "hello")] and got[0].conversation_id.endswith("a.md")
+
+
+def test_access_stream_equals_batch(spark, tmp_path):
+    made = "timestamp '2025-01-01 00:00:00'"
+    memories = spark.sql(f"select concat('m', id) as id, 'p' as project_id, 'x' as content, 'task' as memory_type, 0.5D as importance_score, {made} as created_at, {made} as updated_at, {made} as accessed_at, 0 as access_count, '' as metadata, '' as source_hash from range(4)")
+    log = spark.sql("select concat('m', id % 3) as id, timestamp_seconds(1750000000 + id * 7) as ts from range(10)")
+    for part in range(3):
+        log.filter(F.unix_timestamp("ts") % 3 == part).write.parquet(str(tmp_path / "in" / f"p{part}"))
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    key = lambda df: sorted((r.id, r.access_count, r.accessed_at, r.updated_at) for r in df.collect())
+    assert key(stream.with_accesses(memories, out)) == key(memories)
+    for _ in range(2):
+        stream.stream_accesses(source, out, str(tmp_path / "check"), 4).awaitTermination()
+    assert key(stream.with_accesses(memories, out)) == key(store.tracked(memories, log))
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    out = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", 1, 0), ("b", 2, 1)], "id string, n long, bucket int")
+    add = lambda df: df.groupBy("id", "bucket").agg(F.sum("n").alias("n"))
+    stream.rewrite(stream.merged(rows, out, 0, add), out, 0)
+    for _ in range(2):
+        stream.rewrite(stream.merged(rows.filter("id = 'a'"), out, 1, add), out, 1)
+    assert {(r.id, r.n) for r in stream.latest(spark, out).collect()} == {("a", 2), ("b", 2)}
+
+
+def test_symbols_after_many_blank_lines(spark):
+    code = ["def one():", "public static int two(int x) {", "  async function three()", "class Four", "public\nFive six(a) {", "struct Seven", "let eight = (", "private nine(b) {", "enum Ten", "type Eleven = x", "export interface Twelve"]
+    text = "\n\n  \n".join(code)
+    # names are the same as if blank lines before a symbol counted
+    wide = [(k, p.replace(r"^[^\S\n]*(?:(?:public|private|protected|static)[^\S\n]*)*", r"^\s*(?:public|private|protected|static|\s)*").replace(r"^[^\S\n]*", r"^\s*")) for k, p in SYMBOLS]
+    want = {(m[1], k) for k, p in wide for m in regex.finditer(p, text, regex.M)}
+    df = spark.createDataFrame([("p", "a.py", text), ("p", "b.py", "\n" * 20_000 + "def late():" + "\n" * 20_000)], "project_id string, path string, content string")
+    start = time.perf_counter()
+    got = {r.path: {(s.name, s.kind) for s in r.symbols} for r in index.indexed(df).collect()}
+    assert got == {"a.py": want, "b.py": {("late", "function")}} and len(want) >= 11
+    assert {(r.name, r.line) for r in index.symbol_lines(df).filter("path = 'b.py'").collect()} == {("late", 20_001)}
+    assert time.perf_counter() - start < 30
+
+
+def test_times_as_text(spark):
+    said = ["2025-06-01 10:11:12", "2025-06-01T10:11:12.5", "2025-06-01T10:11:12.123456", "2025-06-01T10:11:12", "01/06/2025", "", None]
+    got = [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, x string").select("i", store.timestamp_of(F.col("x")).cast("string").alias("t")).orderBy("i").collect()]
+    assert got == ["2025-06-01 10:11:12", "2025-06-01 10:11:12.5", "2025-06-01 10:11:12.123456", "2025-06-01 10:11:12", None, None, None]
+
+
+def test_hits_and_their_rate(spark):
+    expected = spark.createDataFrame([("q", ".PY"), ("q", "src/"), ("r", "absent"), ("s", "x")], "query_id string, needle string")
+    results = spark.createDataFrame([("q", "1", "src/a.py", "12345678"), ("q", "2", "b.md", "1234"), ("r", "3", None, "1234")], "query_id string, id string, file_path string, content string")
+    hits = {r.query_id: (r.n_results, r.n_relevant, r.hit, r.tokens) for r in evaluate.retrieval_hits(results, expected).collect()}
+    assert hits == {"q": (2, 1, True, 3), "r": (1, 0, False, 1), "s": (0, 0, False, 0)}
+    row = evaluate.hit_rate(evaluate.retrieval_hits(results, expected)).first()
+    assert (row.queries, row.hit_rate_pct) == (3, 33.3) and row.mean_tokens == pytest.approx(1.33)
+
+
+def test_names_count_in_chats(spark):
+    df = spark.createDataFrame([("c", "user", "x" * 8, "n" * 4), ("c", "user", "x" * 8, None)], "conversation_id string, role string, content string, name string")
+    assert ingest.chat_tokens(df).first().chat_tokens == 3 + 2 * (3 + 1 + 2) + 2
+    assert ingest.chat_tokens(df.drop("name")).first().chat_tokens == 3 + 2 * (3 + 1 + 2)
+
+
+def test_equal_tasks_get_equal_packages(spark):
+    now = F.lit("2025-01-01 00:00:00").cast("timestamp")
+    made = "'2024-12-01T00:00:00'"
+    memories = spark.sql(f"select 'm' as id, 'p' as project_id, 'We decided on the loader. It must stay small and simple' as content, 'permanent' as memory_type, 0.5D as importance_score, {made} as created_at, {made} as updated_at, {made} as accessed_at, 0 as access_count, '{{\"knowledge_type\":\"decision\"}}' as metadata, '' as source_hash")
+    asked = spark.createDataFrame([("a", "p", "fix the loader"), ("b", "p", "fix the loader"), ("c", "none", "fix the loader")], "task_id string, project_id string, task string")
+    packed = context.packages(asked, memories, relevance.layered_score(now), "t")
+    rows = {r.task_id: r for r in packed.withColumn("sections", context.sectioned_text(packed)).collect()}
+    assert rows["a"].context_text == rows["b"].context_text and rows["a"].n_knowledge == 1 and rows["c"].n_knowledge == 0
+    assert rows["a"].constraints == ["must stay small and simple"] and rows["a"].knowledge[0].score == rows["b"].knowledge[0].score
+    assert rows["a"].sections.startswith("TASK: fix the loader\nRELEVANT KNOWLEDGE:\n- [decision] We decided") and rows["c"].sections.startswith("TASK: fix the loader\nCURRENT STATE:")
+    learned = context.learned_rows(asked).collect()
+    assert {(r.project_id, r.content) for r in learned} == {("p", "Current focus: fix the loader"), ("none", "Current focus: fix the loader")}
