@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, labelled_sample, map_columns, text_blocks, with_scores
+from .common import field, labelled_sample, map_columns, released, text_blocks, with_scores
 
 #: Character shapes: letters by case, digits; anything else is itself. Beyond ASCII, case decides at training and scoring alike.
 _SHAPE = np.arange(0x250, dtype="uint32")
@@ -101,9 +101,12 @@ def train(x: np.ndarray, grades: np.ndarray, bits: int, wanted: int, steps: int
     if len(known) < 2:
         return Model(np.zeros(1 << bits), np.zeros(1 << bits), np.ones(1 << bits), np.zeros(0), known or [wanted], bits, wanted)
     rank = np.searchsorted(known, grades)
-    centre, spread = x.mean(0), x.std(0) + 1e-4
-    z = deviations(x, centre, spread).astype("float32")
-    share = 1 / np.sqrt(max(1, (z.std(0) > 0.1).sum()))
+    centre = x.mean(0, dtype="float64")
+    z = (x - centre.astype("float32")).astype("float32", copy=False)
+    spread = np.sqrt(np.einsum("ij,ij->j", z, z) / len(z)).astype("float64") + 1e-4
+    z /= spread.astype("float32")
+    np.clip(z, -3, 3, out=z)  # deviations(), in place
+    share = 1 / np.sqrt(max(1, (np.einsum("ij,ij->j", z, z) / len(z) - z.mean(0) ** 2 > 0.01).sum()))
     weight = (1 / np.bincount(rank))[rank] / len(known)
     w, first, gaps = np.zeros(z.shape[1]), np.array(-0.5 * (len(known) - 2)), np.zeros(len(known) - 2)
     params, moments = [w, first, gaps], [[0.0, 0.0] for _ in range(3)]
@@ -151,7 +154,11 @@ def fit(docs: DataFrame, ratings: DataFrame, rating: str = "quality", wanted: in
     if wanted is None:
         known = sorted(set(grades.tolist()))
         wanted = known[min(1, len(known) - 1)] if known else 0
-    return train(x, grades, bits, wanted)
+    del found
+    try:
+        return train(x, grades, bits, wanted)
+    finally:
+        released()
 
 
 def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("expected_grade", "tail_probability")) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, labelled_sample, map_columns, text_blocks, with_scores
+from .common import field, labelled_sample, map_columns, released, text_blocks, with_scores
 
 
 def word_codes(block: bytes) -> np.ndarray:
@@ -98,19 +98,17 @@ def sigmoid(x: float) -> float:
 
 
 def subwords_of(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, table row) of all subwords of these words, by word; a row that a word has twice is there twice."""
+    """(word number, table row) of all subwords of these words, in no order; a row that a word has twice is there twice."""
     numbers, rows, at = [], [], 0
     while at < len(words):
         part = words[at : at + 20_000]
         codes = word_codes(" ".join(part).encode())
         word = np.cumsum(codes == 32) - 1 + at
         for found, inside in subword_rows(codes, bits):
-            numbers.append(word[: len(found)][inside])
-            rows.append(found[inside].astype("int64"))
+            numbers.append(word[: len(found)][inside].astype("int32"))
+            rows.append(found[inside].astype("int32"))
         at += len(part)
-    numbers, rows = (np.concatenate(x) if x else np.zeros(0, "int64") for x in (numbers, rows))
-    order = np.argsort(numbers, kind="stable")
-    return numbers[order], rows[order]
+    return tuple(np.concatenate(x) if x else np.zeros(0, "int32") for x in (numbers, rows))
 
 
 def train(texts: np.ndarray, words: np.ndarray, counts: np.ndarray, spelled: list[str], toxic: np.ndarray, bits: int,
@@ -125,9 +123,11 @@ def train(texts: np.ndarray, words: np.ndarray, counts: np.ndarray, spelled: lis
     many = np.maximum(np.bincount(number, minlength=n_words), 1)
     frequent = np.bincount(row, np.bincount(words, minlength=n_words)[number], 1 << bits) >= least
     kept = frequent[row]
-    used, row = np.unique(row[kept], return_inverse=True)
-    number = number[kept]
-    share = (1 / many)[number]
+    used, row, number = np.flatnonzero(np.bincount(row[kept], minlength=1 << bits)), row[kept], number[kept]
+    place = np.zeros(1 << bits, "int32")
+    place[used] = np.arange(len(used), dtype="int32")
+    row = place[row]
+    share = (1 / many)[number].astype("float32")
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.01, (len(used), dim)), np.zeros(len(used)), rng.normal(0, 0.3, (dim, 2)), np.zeros(2)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
@@ -157,7 +157,7 @@ def train(texts: np.ndarray, words: np.ndarray, counts: np.ndarray, spelled: lis
     return Model(out, float(bias[1] - bias[0]), bits)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 2500, most_bytes: int = 16 << 20, bits: int = 17) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 1500, most_bytes: int = 8 << 20, bits: int = 17) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, label): of each class at most `most` labelled rows and most_bytes of text.
 
     The driver gets the sample's distinct words and how often each text has them. Without rows of both classes no
@@ -176,10 +176,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 25
     if len(set(toxic.tolist())) < 2:
         return Model(np.zeros((2, 1 << bits), "float32"), -2.0, bits)
     words = rows["words"].combine_chunks()
-    texts = np.repeat(np.arange(len(toxic)), words.value_lengths().to_numpy())
+    texts = np.repeat(np.arange(len(toxic), dtype="int32"), words.value_lengths().to_numpy())
     coded = words.flatten().dictionary_encode()
-    counts = rows["counts"].combine_chunks().flatten().to_numpy().astype("float64")
-    return train(texts, coded.indices.to_numpy().astype("int64"), counts, coded.dictionary.to_pylist(), toxic, bits)
+    counts, of_words = rows["counts"].combine_chunks().flatten().to_numpy().astype("float32"), coded.indices.to_numpy()
+    spelled = coded.dictionary.to_pylist()
+    del rows, words, coded
+    try:
+        return train(texts, of_words, counts, spelled, toxic, bits)
+    finally:
+        released()
 
 
 def word_counts(text: bytes) -> dict[str, int]:
