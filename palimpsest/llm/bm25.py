@@ -9,13 +9,15 @@ then finds its own top k: postings are bounded in blocks, and a document is scor
 bounds of the blocks it lies in can pass the k-th best so far. The shards' winners are merged by
 score, then id.
 
-Queries go to the executors a block at a time, so what is broadcast has a bound. Null and empty
+Queries go to the executors a block at a time, so what is broadcast has a bound; each block's hits are
+written. Null and empty
 texts are rows without words: they count in the averages, are never found, and find nothing as
 queries. Equal scores are ordered by id, null ids last; repeated rows are found one by one.
 """
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 from heapq import heappush, heapreplace
@@ -23,9 +25,10 @@ from heapq import heappush, heapreplace
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import field, map_columns, written
+from .common import field, map_columns, shared_folder, written
 from .near_dup import word_hashes
 
 K1, B = 1.2, 0.75
@@ -224,7 +227,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, block: int = 500,
 
     asked = written(map_columns(queries, inputs, [field("query_id", "long"), field("terms", ["long"])], to_terms), "queries")
     blocks = -(-asked.count() // block)
-    found = None
+    hits = f"{shared_folder(spark)}/hits-{uuid.uuid4().hex}"
+    fields = [field("query_id", "long"), field("doc_id", "long"), field("score", "double")]
     for n in range(max(1, blocks)):
         part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))) == n).orderBy("query_id", "terms").collect()
         wanted = [(r["query_id"], [t % 2**64 for t in r["terms"]]) for r in part]
@@ -238,9 +242,12 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, block: int = 500,
                     rows += in_shard({c: batch[c][i] for c in batch}, *sent.value, mean_length, k)
                 yield {"query_id": [r[0] for r in rows], "doc_id": [r[1] for r in rows], "score": [r[2] for r in rows]}
 
-        fields = [field("query_id", "long"), field("doc_id", "long"), field("score", "double")]
-        own = map_columns(index, {c: F.col(c) for c in ("terms", "starts", "docs", "counts", "lengths", "ids")}, fields, run)
-        found = own if found is None else found.unionByName(own)
+        found = map_columns(index, {c: F.col(c) for c in ("terms", "starts", "docs", "counts", "lengths", "ids")}, fields, run)
+        if blocks > 1:  # a block's hits are written before the next one is sent, so neither plan nor driver grows with the blocks
+            found.write.parquet(f"{hits}/block={n}")
+            sent.unpersist()
+    if blocks > 1:
+        found = spark.read.schema(T.StructType(fields)).parquet(hits)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 

@@ -1,10 +1,13 @@
 """Byte-level BPE encoding and decoding from a vocabulary file.
 
-``encode`` adds an ``ids`` column, ``decode`` turns such a column into text. A word's merges run by
+``encode`` gives rows (key, ids), ``decode`` turns such ids into text. A word's merges run by
 a priority queue of ranks over a doubly linked list of symbols; entries whose symbols have changed
-since are skipped. Words repeat, so each worker keeps a bounded cache of them.
+since are skipped. Words repeat, so each worker keeps a cache of them, bounded in bytes.
 
-Null and empty texts give no ids; other columns pass through.
+Null and empty texts give no ids, and no ids decode to an empty text. Repeated rows are encoded one by one, to equal
+ids; a null key is a key like any other. Of merges of equal rank the leftmost goes first, as in the library. A text is
+encoded whole, so memory is some times its length; an empty table gives an empty one. Other columns are neither read
+nor returned, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,7 +63,7 @@ class Bpe:
         self.special = special
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.split_words = regex.compile(WORDS)
-        self.words = BoundedCache(lambda word: np.array(self.merged(word.encode()), "<i4").tobytes())
+        self.words = BoundedCache(lambda word: np.array(self.merged(word.encode()), "<i4").tobytes(), 96 << 20)
 
     def merged(self, word: bytes) -> list[int]:
         """The ids of one word."""

@@ -7,8 +7,10 @@ strings inside texts and roles are escaped and come back unchanged.
 
 The output is a row a turn, in order: a conversation's formatted text is its segments put
 together, so a conversation of any length is never held whole. Null roles, texts and parts are
-empty; a null conversation id is a conversation of its own; turns with equal numbers are ordered
-by role, then content.
+empty; all rows with a null conversation id are one conversation; turns with equal numbers are ordered
+by role, then content, and repeated rows are turns of their own. A conversation's turns are numbered in one
+pass, so a very long one takes one task long, in constant memory. An empty table gives an empty one; other columns
+are neither read nor returned.
 """
 
 from __future__ import annotations

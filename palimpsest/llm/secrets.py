@@ -13,7 +13,10 @@ each class, so short tokens face the stricter test that their length calls for.
 randomness the battery itself rejects at a thousandth is never one, whatever the decoys say. The classes and
 score bins are few and fixed, so the histogram that gives the limits never grows.
 
-Null texts are empty; empty texts have no spans. Spans are code points, end exclusive.
+Null texts are empty; empty texts have no spans. Spans are code points, end exclusive. Repeated rows are scanned one
+by one and give equal rows; tokens of one score share their fate. An empty table gives an empty one. A text's
+spans are worked out where the text lies, so a very long text of very many tokens takes one task long. scan() returns its
+own columns alone; redact() passes all other columns through, whatever their names.
 """
 
 from __future__ import annotations
