@@ -116,6 +116,8 @@ SQL = {
     "file_admission": ctes("files") + f" select project_id, path from ({_admitted('files')})",
     "file_facts": _I + " select project_id, path, extension, size, sha256, token_count, is_config, line_count from idx",
     "symbol_extraction": _I + " select project_id, path, s.name as name, s.kind as kind, list_contains(export_names, s.name) as exported from (select *, unnest(symbols) as s from idx)",
+    "symbol_lines": ctes("files") + ", kept_ as (" + _admitted("files") + f"), lines_ as (select project_id, path, unnest(string_split(content, chr(10))) as said, generate_subscripts(string_split(content, chr(10)), 1)::int as line from kept_ where not {_CONFIG}), found_ as (" + " union all ".join(
+        f"select project_id, path, regexp_extract(said, {quoted(p)}, 1) as name, '{k}' as kind, {order} as o, line from lines_" for order, (k, p) in enumerate(SYMBOLS)) + ") select project_id, path, name, kind, line from (select *, row_number() over (partition by project_id, path, name, kind order by o, line) as n from found_ where name <> '') where n = 1",
     "import_extraction": _I + " select project_id, path, unnest(imports) as module from idx",
     "export_names": _I + ", e as (select project_id, path, list_sort(list_distinct(list_filter(list_transform(symbols, lambda s: s.name), lambda n: list_contains(export_names, n)))) as x from idx) select project_id, path, array_to_string(x, ',') as exports from e where len(x) > 0",
     "index_stats": _I + " select project_id, extension, count(*) as files, sum(token_count)::bigint as tokens, sum(len(symbols))::bigint as symbols, sum(is_config::int)::bigint as config_files from idx group by grouping sets ((project_id, extension), (project_id))",
