@@ -140,12 +140,18 @@ def file_cards(index: DataFrame) -> DataFrame:
 
 
 def relevant_files(tasks: DataFrame, index: DataFrame, limit: int = 5) -> DataFrame:
-    """(task_id, rank, path, score): files of a task's project by how often its keywords occur in path, symbols and imports."""
-    words = top_keywords(tasks).groupBy("task_id").agg(F.collect_list("word").alias("words"))  # ten at most
-    asked = tasks.select("task_id", "project_id").join(words, "task_id")
+    """(task_id, rank, path, score): files of a task's project by how often its keywords occur in path, symbols and imports.
+
+    Equal tasks of a project are worked out once; the window keeps each task's best files before it shuffles.
+    """
+    distinct = tasks.select("project_id", "task").distinct().withColumn("task_id", F.to_json(F.struct("project_id", "task")))
+    words = top_keywords(distinct).groupBy("task_id").agg(F.collect_list("word").alias("words"))  # ten at most
+    asked = distinct.select("task_id", "project_id").join(words, "task_id")
     text = F.lower(F.concat_ws(" ", "path", F.array_join(F.transform("symbols", lambda s: s["name"]), " "), F.array_join("imports", " ")))
     rows = index.select("project_id", "path", text.alias("text"), F.lower("path").alias("low")).join(asked, "project_id")
     hits = F.aggregate("words", F.lit(0.0), lambda a, w: a + 2.0 * (F.length("text") - F.length(F.replace(F.col("text"), w, F.lit("")))) / F.length(w) + F.when(F.contains("low", w), 2.0).otherwise(0.0))
     order = Window.partitionBy("task_id").orderBy(F.desc("score"), "path")
     found = rows.select("task_id", "path", F.round(hits, 3).alias("score")).filter("score > 0").withColumn("rank", F.row_number().over(order))
-    return found.filter(F.col("rank") <= limit)
+    best = found.filter(F.col("rank") <= limit)
+    given = tasks.select("task_id", F.to_json(F.struct("project_id", "task")).alias("_key"))
+    return best.withColumnRenamed("task_id", "_key").join(given, "_key").select("task_id", "rank", "path", "score")
