@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, labelled_sample, map_columns, released, text_blocks, with_scores
+from .common import drop_written, field, labelled_sample, map_columns, released, text_blocks, with_scores
 
 #: Character shapes: letters by case, digits; anything else is itself. Beyond ASCII, case decides at training and scoring alike.
 _SHAPE = np.arange(0x250, dtype="uint32")
@@ -148,6 +148,7 @@ def fit(docs: DataFrame, ratings: DataFrame, rating: str = "quality", wanted: in
             yield {"doc_id": batch["doc_id"], "grade": batch["label"], "x": [features(t, bits).astype("float32") for t in batch["text"]]}
 
     found = map_columns(sample, {c: F.col(c) for c in ("doc_id", "label", "text")}, [field("doc_id", "long"), field("grade", "int"), field("x", ["float"])], run).toArrow()
+    drop_written(sample)
     order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
     x = found["x"].combine_chunks().flatten().to_numpy().reshape(-1, 1 << bits)[order]
     grades = found["grade"].to_numpy()[order]

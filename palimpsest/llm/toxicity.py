@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, labelled_sample, map_columns, released, text_blocks, with_scores
+from .common import drop_written, field, labelled_sample, map_columns, released, text_blocks, with_scores
 
 
 def word_codes(block: bytes) -> np.ndarray:
@@ -172,6 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 15
 
     fields = [field("doc_id", "long"), field("label", "int"), field("words", ["string"]), field("counts", ["int"])]
     rows: pa.Table = map_columns(sample, {c: F.col(c) for c in ("doc_id", "label", "text")}, fields, bags).toArrow().sort_by("doc_id")
+    drop_written(sample)
     toxic = rows["label"].to_numpy().astype("int64")
     if len(set(toxic.tolist())) < 2:
         return Model(np.zeros((2, 1 << bits), "float32"), -2.0, bits)
