@@ -7,14 +7,14 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import CATEGORIES, CHATTER, HINTS, REJECTED
-from .text import stripped
+from .patterns import CATEGORIES, CHATTER, HINTS, REJECTED, STEMS
+from .text import holds_any, stripped
 
 _FLAGS = "(?idm)"  # any case; only a line feed ends a line
 
 
-def first_match(text: Column, patterns: list[str]) -> Column:
-    """What the first pattern with a long enough match says: its group, or all of the match. Null if none does."""
+def first_match(text: Column, patterns: list[str], stems: list[str]) -> Column:
+    """What the first pattern with a long enough match says: its group, or all of the match. Null if none does. stems: what any match needs."""
     out = []
     for pattern in patterns:
         whole = stripped(F.regexp_extract(text, _FLAGS + pattern, 0))
@@ -22,8 +22,8 @@ def first_match(text: Column, patterns: list[str]) -> Column:
             group = F.regexp_extract(text, _FLAGS + pattern, 1)
             whole = F.when(group != "", stripped(group)).otherwise(whole)
         out.append(F.when(F.length(whole) >= 8, F.left(whole, F.lit(400))))
-    # one look at the alternatives tells most messages apart from the few that need them
-    return F.when(text.rlike(_FLAGS + "|".join(patterns)), F.coalesce(*out))
+    # a look for the stems, and one at the alternatives, tell most messages apart from the few that need each pattern
+    return F.when(holds_any(F.lower(text), stems) & text.rlike(_FLAGS + "|".join(patterns)), F.coalesce(*out))
 
 
 def has_hint(text: Column) -> Column:
@@ -48,7 +48,8 @@ def findings(text: Column) -> Column:
 
     found = []
     for order, (category, patterns, confidence, importance, status, _) in enumerate(CATEGORIES, 1):
-        state = F.when(text.rlike(_FLAGS + REJECTED), "rejected").otherwise(status) if category == "decision" else F.lit(status)
-        found.append(finding(order, category, first_match(text, patterns), confidence, importance, state))
+        rejected = holds_any(F.lower(text), STEMS["rejected"]) & text.rlike(_FLAGS + REJECTED)
+        state = F.when(rejected, "rejected").otherwise(status) if category == "decision" else F.lit(status)
+        found.append(finding(order, category, first_match(text, patterns, STEMS[category]), confidence, importance, state))
     chatter = F.array(finding(0, "irrelevant", text, 0.9, 0.05, F.lit("active")))
     return F.when(is_chatter(text), chatter).otherwise(F.filter(F.array(*found), lambda f: f["content"].isNotNull()))

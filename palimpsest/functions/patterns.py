@@ -61,6 +61,16 @@ HINTS = (
     r"\b(?:architecture|database|schema|migration|deploy|production|auth|security|password|secret|token|api key|endpoint|model|"
     r"constraint|requirement|decided|decision|bug|error|crash|fail|broken|performance|deadline|must|never|always)\b"
 )
+# What the patterns of a category need: without one of these (in lower case) none of them matches. Looking for them is cheap.
+STEMS = {
+    "stale_info": ["used to", "previously", "originally", "at first", "no longer", "not anymore", "deprecated", "obsolete", "outdated", "migrated", "switched"],
+    "decision": ["we decide", "we chose", "we choose", "we agree", "decision", "we'll ", "well ", "rejected", "ruled out", "won't use", "wont use", "decided against", "let's ", "lets "],
+    "resolved_issue": ["fixed", "resolved", "solved", "closed", "fix was", "fix is", "solution was", "solution is"],
+    "open_issue": ["broken", "failing", "crashing", "not working", " open", "there's ", "theres ", "there is ", "open issue", "open question", "todo", "fixme", "need to fix", "needs fixing", "haven't ", "havent "],
+    "current_task": ["working on", "implementing", "building", "fixing", "the goal", "the task", "the current task", "objective", "i need to", "we need to", "next step is to"],
+    "permanent_knowledge": ["architecture", "stack", " use", "runs on", "is built", "constraint", "requirement", "database", "backend", "frontend", "framework", "language", "project is", "we're building", "were building"],
+    "rejected": ["rejected", "ruled out", "decided against", "won't use", "wont use"],
+}
 # Roles as written, and what they stand for.
 ROLES = {
     "user": "user", "human": "user", "assistant": "assistant", "ai": "assistant", "chatgpt": "assistant",

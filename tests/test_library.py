@@ -1,4 +1,5 @@
 import json
+import random
 import time
 
 import pytest
@@ -6,7 +7,7 @@ import regex
 from pyspark.sql import functions as F
 
 from palimpsest.functions.classify import findings, is_chatter
-from palimpsest.functions.patterns import SYMBOLS
+from palimpsest.functions.patterns import CATEGORIES, REJECTED, STEMS, SYMBOLS
 from palimpsest.operators import context, evaluate, index, ingest, knowledge, relevance, store, tasks
 from palimpsest.sources import transcripts, tree
 from palimpsest.streaming import ingest as stream
@@ -197,3 +198,18 @@ def test_equal_tasks_get_equal_packages(spark):
     assert rows["a"].sections.startswith("TASK: fix the loader\nRELEVANT KNOWLEDGE:\n- [decision] We decided") and rows["c"].sections.startswith("TASK: fix the loader\nCURRENT STATE:")
     learned = context.learned_rows(asked).collect()
     assert {(r.project_id, r.content) for r in learned} == {("p", "Current focus: fix the loader"), ("none", "Current focus: fix the loader")}
+
+
+def test_patterns_need_their_stems():
+    """No text made of the patterns' own words matches a category without holding one of its stems."""
+    words = sorted({w for c in CATEGORIES for p in c[1] for w in regex.findall(r"[a-z']+", p.replace(r"\b", " ").replace("'?", "'"))} | {"an", "it", "x", "wont", "theres", "lets", "well", "havent", "were"})
+    rnd = random.Random(6)
+    rules = {c[0]: c[1] for c in CATEGORIES} | {"rejected": [REJECTED]}
+    hits = dict.fromkeys(rules, 0)
+    for _ in range(30_000):
+        text = "".join(rnd.choice(words) + rnd.choice([" ", " ", " ", ": ", "\n"]) for _ in range(rnd.randrange(2, 9)))
+        for category, patterns in rules.items():
+            if any(regex.search("(?i)" + p, text.upper()) for p in patterns):
+                hits[category] += 1
+                assert any(stem in text for stem in STEMS[category]), (category, text)
+    assert min(hits.values()) > 5
