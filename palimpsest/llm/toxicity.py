@@ -111,6 +111,15 @@ def subwords_of(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) if x else np.zeros(0, "int32") for x in (numbers, rows))
 
 
+def carried(to: np.ndarray, share: np.ndarray, values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """The sums of share * values[of] by to, of n numbers; some entries at a time, to hold few of them twice."""
+    total = np.zeros(n)
+    for at in range(0, len(to), 1 << 18):
+        part = slice(at, at + (1 << 18))
+        total += np.bincount(to[part], share[part] * values[of[part]], n)
+    return total
+
+
 def train(texts: np.ndarray, words: np.ndarray, counts: np.ndarray, spelled: list[str], toxic: np.ndarray, bits: int,
           dim: int = 8, steps: int = 60, rate: float = 0.1, least: int = 3, clean: float = 8.0, seed: int = 7) -> Model:
     """Adam on the cross entropy of all texts; all clean ones together weigh `clean` times all toxic ones, so doubt counts for a text.
@@ -135,15 +144,15 @@ def train(texts: np.ndarray, words: np.ndarray, counts: np.ndarray, spelled: lis
     for step in range(1, steps + 1):
         table, pull, soft, bias = params
         apart = soft[:, 1] - soft[:, 0]
-        logits = np.bincount(number, share * (table @ apart)[row], n_words)
-        each = counts * np.exp(np.clip(np.bincount(number, share * pull[row], n_words), -_MOST, _MOST))[words]
+        logits = carried(number, share, (table @ apart), row, n_words)
+        each = counts * np.exp(np.clip(carried(number, share, pull, row, n_words), -_MOST, _MOST))[words]
         each /= np.maximum(np.bincount(texts, each, n_texts), 1e-300)[texts]
         mean = np.bincount(texts, each * logits[words], n_texts)
         p = 1 / (1 + np.exp(-np.clip(mean + bias[1] - bias[0], -60, 60)))
         g = (p - toxic) * weight
         of_entry = g[texts] * each
-        of_row = np.bincount(row, share * np.bincount(words, of_entry, n_words)[number], len(used))
-        of_pull = np.bincount(row, share * np.bincount(words, of_entry * (logits[words] - mean[texts]), n_words)[number], len(used))
+        of_row = carried(row, share, np.bincount(words, of_entry, n_words), number, len(used))
+        of_pull = carried(row, share, np.bincount(words, of_entry * (logits[words] - mean[texts]), n_words), number, len(used))
         of_soft = table.T @ of_row
         grads = [np.outer(of_row, apart), of_pull, np.stack([-of_soft, of_soft], 1), np.array([-g.sum(), g.sum()])]
         for k, grad in enumerate(grads):
@@ -157,7 +166,7 @@ def train(texts: np.ndarray, words: np.ndarray, counts: np.ndarray, spelled: lis
     return Model(out, float(bias[1] - bias[0]), bits)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 1500, most_bytes: int = 8 << 20, bits: int = 17) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 750, most_bytes: int = 4 << 20, bits: int = 17) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, label): of each class at most `most` labelled rows and most_bytes of text.
 
     The driver gets the sample's distinct words and how often each text has them. Without rows of both classes no
