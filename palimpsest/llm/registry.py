@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25, bpe, chat, licenses, media, near_dup, packing, quality, secrets, toxicity
-from .common import table
+from . import bm25, bpe, chat, fim, licenses, media, near_dup, packing, quality, repair, secrets, toxicity, url_filter
+from .common import table, written
 
 
 def vocabulary(name: str) -> str:
@@ -133,6 +133,44 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    turns = repair.ordered(repair.damaged(given))
+    found = written(repair.reports(turns), "reports")
+    digests = repair.repaired_digests(turns, found)
+    sums = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    known = given.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    rows = known.join(found, repair.same(known, found, ["conv_id"]), "left").join(digests, repair.same(known, digests, ["conv_id"]), "left")
+    return rows.select(known["conv_id"], *[F.coalesce(n, F.lit(0)).alias(n) for n in sums], F.coalesce("audit", F.lit("")).alias("audit"),
+                       F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.with_fim(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = made.withColumn("back", fim.restored_text(F.col("output"), F.col("form")))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("back", 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+with h as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as t, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as s from documents),
+c as (select *, len(t) as n, ('0x' || s[1:8])::bigint as h1, ('0x' || s[9:16])::bigint as h2, ('0x' || s[17:24])::bigint as h3, ('0x' || s[25:32])::bigint as h4 from h),
+f as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from c),
+p as (select *, array_to_string(t[1:a], '') as prefix, array_to_string(t[a + 1:b], '') as middle, array_to_string(t[b + 1:], '') as suffix from f)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256 from p
+"""
+
+#: The query's rules, verdict and host with path.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filter.fit(url_filter.labelled_urls(spark))
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), model, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -146,8 +184,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_chat_format": op9_chat_format,
         "op10_media_columns": op10_media_columns,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_url_filter": op13_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk_search": OP6_SQL, "op6_topk_documents": OP6_DOCUMENTS_SQL}
+    return {"op6_topk_search": OP6_SQL, "op6_topk_documents": OP6_DOCUMENTS_SQL, "op12_fill_in_middle": OP12_SQL}
