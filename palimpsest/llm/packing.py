@@ -150,6 +150,45 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def room_for_smallest(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Bins of positions in lengths, one bin after another: the longest item left, then always the longest that still leaves
+    room for a shortest one, else the longest that fits. Better than best fit where few items of like lengths fill a bin."""
+    stock: dict[int, list[int]] = {}
+    for i, n in enumerate(lengths):
+        stock.setdefault(n, []).append(i)
+    below = [n if n in stock else n - 1 for n in range(capacity + 1)]  # the way to the longest item of at most n
+    below[0] = 0
+
+    def longest(n: int) -> int:
+        seen = []
+        while below[n] != n:
+            seen.append(n)
+            n = below[n]
+        for k in seen:
+            below[k] = n
+        return n
+
+    def take(n: int) -> int:
+        i = stock[n].pop()
+        if not stock[n]:
+            below[n] = n - 1
+        return i
+
+    bins, sizes, at = [], sorted(stock), 0
+    while top := longest(capacity):
+        room, items = capacity - top, [take(top)]
+        while True:
+            while at < len(sizes) and not stock[sizes[at]]:
+                at += 1
+            if at == len(sizes) or room < sizes[at]:
+                break
+            n = longest(room - sizes[at]) or longest(room)
+            items.append(take(n))
+            room -= n
+        bins.append(items)
+    return bins
+
+
 class Shelf:
     """The underfull bins by what they can take: by room, by the lengths in them, and by the sums of two lengths in them.
 
@@ -201,43 +240,51 @@ def _keep(sets: dict[int, set[int]], key: int, b: int, put: bool) -> bool:
     return key in sets
 
 
-def swap_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Moves and exchanges (one for one, one for two, two for one) from the emptiest bin into fuller ones.
+def swap_search(bins: list[list[int]], lengths: list[int], capacity: int, fruitless: int = 4) -> list[list[int]]:
+    """Moves and exchanges (one for one, one for two, two for one) that bring d tokens from a donor bin into a target.
 
-    Each step makes a fuller bin fuller at the emptiest one's cost, so the sum of squared fills grows and the search
-    ends. A bin whose documents can go no further is left; the search stops at the lower bound of bins.
+    A step is taken only if the target ends fuller than the donor was. Squared fills then change by
+    (t + d)^2 + (s - d)^2 - t^2 - s^2 = 2 d (t + d - s) > 0, for fills t and s of target and donor: their sum grows with
+    each step and is bounded, so the search ends. Donors come emptiest first; one that can give no more goes back on the
+    shelf with the room that it has gained, as a target for those after it. Passes over the bins go on until `fruitless`
+    of them in a row have emptied none, or the bins are down to the lower bound.
     """
     bins = [list(b) for b in bins if b]
     fill = [sum(lengths[i] for i in b) for b in bins]
     shelf, left, bound = Shelf(capacity), len(bins), -(-sum(fill) // capacity)
 
     def change(b: int, put: bool) -> None:
-        if fill[b] < capacity:
+        if 0 < fill[b] < capacity:
             shelf.change(b, capacity - fill[b], [lengths[i] for i in bins[b]], put)
 
     for b in range(len(bins)):
         change(b, True)
-    queue = [(f, b) for b, f in enumerate(fill) if f < capacity]
-    heapq.heapify(queue)
-    while queue and left > bound:
-        known, donor = heapq.heappop(queue)
-        if known != fill[donor]:
-            continue  # fuller by now, and in the queue as such
-        change(donor, False)
-        while bins[donor] and (step := _step(bins[donor], lengths, shelf)):
-            target, give, take = step
-            change(target, False)
-            back = _matching(bins[target], lengths, *take)
-            out = [_matching(bins[donor], lengths, 1, n)[0] for n in give[:1]]
-            out += [next(i for i in bins[donor] if lengths[i] == n and i not in out) for n in give[1:]]
-            bins[donor] = [i for i in bins[donor] if i not in out] + back
-            bins[target] = [i for i in bins[target] if i not in back] + out
-            for b in (donor, target):
-                fill[b] = sum(lengths[i] for i in bins[b])
-            change(target, True)
-            if fill[target] < capacity:
-                heapq.heappush(queue, (fill[target], target))
-        left -= not bins[donor]
+    vain = 0
+    while left > bound and vain < fruitless:
+        before = left
+        queue = [(f, b) for b, f in enumerate(fill) if 0 < f < capacity]
+        heapq.heapify(queue)
+        while queue and left > bound:
+            known, donor = heapq.heappop(queue)
+            if known != fill[donor]:
+                continue  # another fill by now, and in the queue as such
+            change(donor, False)
+            while bins[donor] and (step := _step(bins[donor], lengths, shelf, fill[donor], fill)):
+                target, give, take = step
+                change(target, False)
+                back = _matching(bins[target], lengths, *take)
+                out = [_matching(bins[donor], lengths, 1, n)[0] for n in give[:1]]
+                out += [next(i for i in bins[donor] if lengths[i] == n and i not in out) for n in give[1:]]
+                bins[donor] = [i for i in bins[donor] if i not in out] + back
+                bins[target] = [i for i in bins[target] if i not in back] + out
+                for b in (donor, target):
+                    fill[b] = sum(lengths[i] for i in bins[b])
+                change(target, True)
+                if fill[target] < capacity:
+                    heapq.heappush(queue, (fill[target], target))
+            left -= not bins[donor]
+            change(donor, True)
+        vain = vain + 1 if left == before else 0
     return [b for b in bins if b]
 
 
@@ -253,22 +300,31 @@ def _matching(items: list[int], lengths: list[int], n: int, total: int) -> list[
     return []
 
 
-def _step(items: list[int], lengths: list[int], shelf: Shelf) -> tuple[int, list[int], tuple[int, int]] | None:
-    """The target bin, the lengths that the donor gives, and how many of which total length it takes back; moves come first."""
+def _step(items: list[int], lengths: list[int], shelf: Shelf, given: int, fill: list[int]) -> tuple[int, list[int], tuple[int, int]] | None:
+    """The target bin, the lengths that the donor of this fill gives, and how many of which total length it takes back; moves come first.
+
+    Only steps after which the target is fuller than the donor was.
+    """
+    for target, give, take in _steps(items, lengths, shelf):
+        if fill[target] + sum(give) - take[1] > given:
+            return target, give, take
+    return None
+
+
+def _steps(items: list[int], lengths: list[int], shelf: Shelf) -> Iterator[tuple[int, list[int], tuple[int, int]]]:
     counts = Counter(lengths[i] for i in items)
     own = sorted(counts, reverse=True)
     for need in own:
         if (b := shelf.taker(need)) is not None:
-            return b, [need], (0, 0)
+            yield b, [need], (0, 0)
     for n in (1, 2):
         for need in own:
             if found := shelf.exchange(need, n):
-                return found[0], [need], (n, found[1])
+                yield found[0], [need], (n, found[1])
     for k, need in enumerate(own):
         for other in own[k:]:
             if (need != other or counts[need] > 1) and (found := shelf.exchange(need + other, 1)):
-                return found[0], [need, other], (1, found[1])
-    return None
+                yield found[0], [need, other], (1, found[1])
 
 
 def pack(pieces: DataFrame, length: int = 2048, group_rows: int = 20_000) -> DataFrame:
@@ -285,7 +341,8 @@ def pack(pieces: DataFrame, length: int = 2048, group_rows: int = 20_000) -> Dat
     def packed(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.select(columns).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = rows["length"].to_pylist()
-        bins = swap_search(best_fit(lengths, length), lengths, length)
+        start = min(best_fit(lengths, length), room_for_smallest(lengths, length), key=len)
+        bins = swap_search(start, lengths, length)
         sequence, offset = np.zeros(len(lengths), "int64"), np.zeros(len(lengths), "int64")
         for b, items in enumerate(bins):
             at = 0

@@ -141,3 +141,22 @@ def test_quality_held_out_and_edges(spark):
     assert quality.score(probe.limit(0), model).count() == 0
     empty = quality.fit(docs.limit(0), labels.limit(0))
     assert quality.score(probe, empty).count() == 5
+
+
+def test_one_long_text_does_not_cost_its_class(spark):
+    """A text beyond the bound, of the class's first id by hash, leaves the others in the sample; alone it stays."""
+    words = ["stupid", "worthless"]
+    rows = [(k, f"the day {k} was fine and we walk home {k % 7}", 0) for k in range(200)]
+    rows += [(1000 + k, f"you are all {words[k % 2]} people here {k % 7}", 1) for k in range(200)]
+    ids = spark.createDataFrame([(r[0],) for r in rows if r[2]], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h").collect()
+    first = ids[0].doc_id
+    rows = [(d, "stupid people " * 400_000 if d == first else t, y) for d, t, y in rows]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, y, 1 - y) for d, _, y in rows], "doc_id long, toxic int, quality int")
+    counts = {r["label"]: r["count"] for r in common.labelled_sample(docs, labels, "toxic", 750, 4 << 20).groupBy("label").count().collect()}
+    assert counts == {0: 200, 1: 199}
+    assert toxicity.fit(docs, labels).score(b"stupid people") > 0.9
+    model = quality.fit(docs, labels, most_bytes=4 << 20)
+    assert model.score(b"you are all stupid people here 3")[1] < 0.35 < model.score(b"the day 5 was fine and we walk home 1")[1]
+    alone = docs.filter(f"doc_id < 1000 or doc_id = {first}")
+    assert {r.label for r in common.labelled_sample(alone, labels, "toxic", 750, 4 << 20).select("label").distinct().collect()} == {0, 1}

@@ -168,3 +168,23 @@ def test_blocks_give_the_same_pieces(monkeypatch):
     pieces = list(packing.cut(packing.block_ids(text, encode, end), 64))
     assert b"".join(pieces) == whole and all(len(p) == 64 for p in pieces[:-1])
     assert np.frombuffer(whole, "<u4").tolist()[:-1] == Tokenizer.from_file(path).encode(text.decode(), add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(("low", "high", "most"), [(600, 760, 1010), (400, 620, 760), (500, 1100, 1262)])
+def test_search_saves_bins_on_hard_lengths(low, high, most):
+    lengths = np.random.default_rng(3).integers(low, high + 1, 3000).tolist()
+    fitted, other = packing.best_fit(lengths, 2048), packing.room_for_smallest(lengths, 2048)
+    for start in (fitted, other):
+        bins = packing.swap_search(start, lengths, 2048)
+        assert sorted(i for b in bins for i in b) == list(range(3000)) and max(sum(lengths[i] for i in b) for b in bins) <= 2048
+        assert len(bins) <= len(start)
+    assert len(packing.swap_search(fitted, lengths, 2048)) < len(fitted)
+    assert len(packing.swap_search(min(fitted, other, key=len), lengths, 2048)) <= most
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 100), max_size=60))
+def test_other_start_keeps_items(lengths):
+    bins = packing.room_for_smallest(lengths, 100)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    assert all(sum(lengths[i] for i in b) <= 100 for b in bins)
