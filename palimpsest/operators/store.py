@@ -17,15 +17,15 @@ from ..functions.text import memory_id
 COLUMNS = ["id", "project_id", "content", "memory_type", "importance_score", "created_at", "updated_at", "accessed_at", "access_count", "metadata", "source_hash"]
 
 
-def memory_rows(extracted: DataFrame) -> DataFrame:
-    """Extracted findings with a project_id as rows to add: chatter is dropped, provenance goes into the metadata."""
+def memory_rows(extracted: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """Extracted findings with a project_id as rows to add: chatter is dropped, provenance goes into the metadata. also: further columns to keep."""
     kinds = F.create_map(*[F.lit(x) for c in CATEGORIES for x in (c[0], c[5])])
     metadata = F.to_json(F.struct(
         F.col("category").alias("knowledge_type"), F.lit("conversation").alias("source_type"), F.col("conversation_id").alias("source_id"), "provenance",
         F.col("msg_index").alias("message_index"), "role", "confidence", "status"))
     kept = extracted.filter("category <> 'irrelevant'")
     order = F.format_string("%s:%09d:%d", "conversation_id", "msg_index", "class_order")
-    return kept.select("project_id", "content", F.coalesce(kinds[F.col("category")], F.lit("temporary")).alias("memory_type"), F.col("importance").alias("importance_score"), metadata.alias("metadata"), order.alias("write_seq"))
+    return kept.select("project_id", "content", F.coalesce(kinds[F.col("category")], F.lit("temporary")).alias("memory_type"), F.col("importance").alias("importance_score"), metadata.alias("metadata"), order.alias("write_seq"), *also)
 
 
 def of_known_projects(rows: DataFrame, projects: DataFrame) -> DataFrame:
@@ -37,13 +37,13 @@ def of_unknown_projects(rows: DataFrame, projects: DataFrame) -> DataFrame:
     return rows.join(projects.select(F.col("id").alias("project_id")), "project_id", "left_anti")
 
 
-def new_memories(rows: DataFrame, now: Column) -> DataFrame:
-    """Rows to add as memories; of several with one id the last written stays."""
+def new_memories(rows: DataFrame, now: Column, keep_seq: bool = False) -> DataFrame:
+    """Rows to add as memories; of several with one id the last written stays. keep_seq: with their write_seq."""
     made = rows.withColumn("id", memory_id(F.col("project_id"), F.col("content")))
     last = Window.partitionBy("id").orderBy(F.desc("write_seq"))
     made = made.withColumn("_n", F.row_number().over(last)).filter("_n = 1")
     values = {"created_at": now, "updated_at": now, "accessed_at": now, "access_count": F.lit(0), "source_hash": F.sha2("content", 256)}
-    return made.withColumns(values).select(*COLUMNS)
+    return made.withColumns(values).select(*COLUMNS, *(["write_seq"] if keep_seq else []))
 
 
 def upsert(memories: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
@@ -58,14 +58,14 @@ def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
 
 
-def update(memories: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+def update(memories: DataFrame, changes: DataFrame, now: Column, also: tuple[str, ...] = ()) -> DataFrame:
     """changes(id, content, importance_score, metadata; null where nothing changes; one row an id). New content gets its hash, the id stays."""
     new = changes.select("id", *[F.col(c).alias(f"new_{c}") for c in ("content", "importance_score", "metadata")])
     rows = memories.join(new, "id", "left")
     touched = F.coalesce(*[F.col(f"new_{c}").cast("string") for c in ("content", "importance_score", "metadata")]).isNotNull()
     values = {c: F.coalesce(f"new_{c}", c) for c in ("content", "importance_score", "metadata")}
     values |= {"source_hash": F.when(F.col("new_content").isNotNull(), F.sha2("new_content", 256)).otherwise(F.col("source_hash")), "updated_at": F.when(touched, now).otherwise(F.col("updated_at"))}
-    return rows.select(*[values.get(c, F.col(c)).alias(c) for c in COLUMNS])
+    return rows.select(*[values.get(c, F.col(c)).alias(c) for c in COLUMNS], *also)
 
 
 def delete(memories: DataFrame, ids: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from palimpsest.functions.classify import findings, is_chatter
 from palimpsest.functions.patterns import CATEGORIES, REJECTED, STEMS, SYMBOLS
 from palimpsest.operators import context, evaluate, index, ingest, knowledge, relevance, store, tasks
 from palimpsest.sources import transcripts, tree
+from palimpsest.streaming import accesses
 from palimpsest.streaming import ingest as stream
 
 
@@ -135,10 +136,10 @@ def test_access_stream_equals_batch(spark, tmp_path):
     source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     out = str(tmp_path / "out")
     key = lambda df: sorted((r.id, r.access_count, r.accessed_at, r.updated_at) for r in df.collect())
-    assert key(stream.with_accesses(memories, out)) == key(memories)
+    assert key(accesses.with_accesses(memories, out)) == key(memories)
     for _ in range(2):
-        stream.stream_accesses(source, out, str(tmp_path / "check"), 4).awaitTermination()
-    assert key(stream.with_accesses(memories, out)) == key(store.tracked(memories, log))
+        accesses.stream_accesses(source, out, str(tmp_path / "check")).awaitTermination()
+    assert key(accesses.with_accesses(memories, out)) == key(store.tracked(memories, log))
 
 
 def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
