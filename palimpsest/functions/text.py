@@ -80,3 +80,53 @@ def reduction_message(original: Column, prepared: Column) -> Column:
     """Claims no saving where there is none."""
     saved = F.format_string("Estimated context reduction: %.1f%%", F.bround((original - prepared) / original * 100, 1))
     return F.when(prepared >= original, "This input is already compact.").otherwise(saved)
+
+
+def _characters(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
+def _utf16(char: Column) -> Column:
+    """\\uxxxx for each UTF-16 unit of a character."""
+    return F.regexp_replace(F.lower(F.hex(F.encode(char, "UTF-16BE"))), "(.{4})", r"\\u$1")
+
+
+_SHORT = {"\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+
+
+def _escaped(text: Column, plain: str, short: dict[str, str], other: Callable[[Column], Column]) -> Column:
+    """text with its characters outside the class `plain` escaped: the short ones as they say, all others by `other`."""
+
+    def one(char: Column) -> Column:
+        out = F
+        for found, written in short.items():
+            out = out.when(char == found, written)
+        return out.when(char.rlike(f"^[{plain}]$"), char).otherwise(other(char))
+
+    return F.when(text.rlike(rf"""(?s)[^{plain}]|[\\"']"""), F.array_join(F.transform(_characters(text), one), "")).otherwise(text)
+
+
+def json_string(text: Column) -> Column:
+    """text as a JSON string of ASCII characters only."""
+    body = _escaped(text, " -~", _SHORT | {'"': '\\"', "\b": "\\b", "\f": "\\f"}, _utf16)
+    return F.concat(F.lit('"'), body, F.lit('"'))
+
+
+def json_strings(items: Column) -> Column:
+    """A list of texts as a JSON list, with a blank after each comma."""
+    return F.concat(F.lit("["), F.array_join(F.transform(items, json_string), ", "), F.lit("]"))
+
+
+def quoted_strings(items: Column) -> Column:
+    """A list of texts as source code would show it: in single quotes, or in double ones around a single quote; what can't be printed is escaped."""
+
+    def code(char: Column) -> Column:
+        number = F.conv(F.hex(F.encode(char, "UTF-32")), 16, 10).cast("long")
+        return F.when(number < 256, F.format_string("\\x%02x", number)).when(number < 65536, F.format_string("\\u%04x", number)).otherwise(F.format_string("\\U%08x", number))
+
+    def one(text: Column) -> Column:
+        double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
+        body = _escaped(text, r" \P{C}&&[\P{Z} ]", _SHORT, code)
+        return F.when(double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+    return F.concat(F.lit("["), F.array_join(F.transform(items, one), ", "), F.lit("]"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import CONSTRAINTS
-from ..functions.text import TokenCounter, estimated_tokens, stripped
+from ..functions.patterns import CONSTRAINTS, GAPS
+from ..functions.text import TokenCounter, estimated_tokens, json_string, json_strings, quoted_strings, stripped
 from . import tasks as task_ops
 from .index import relevant_files
 from .relevance import Scorer, ranked
-from .store import metadata_map, project_memories, search
+from .store import metadata_map, of_known_projects, project_memories, search
 
 
 def knowledge(rows: DataFrame) -> DataFrame:
@@ -41,12 +41,15 @@ def constraints(text: Column, most: int = 5) -> Column:
     return F.slice(F.array_distinct(said), 1, most)
 
 
-def packages(tasks: DataFrame, memories: DataFrame, scorer: Scorer, as_of: str, index: DataFrame | None = None, limit: int = 10, count_tokens: TokenCounter = estimated_tokens) -> DataFrame:
+def packages(tasks: DataFrame, memories: DataFrame, scorer: Scorer, as_of: str, index: DataFrame | None = None, limit: int = 10, count_tokens: TokenCounter = estimated_tokens,
+             projects: DataFrame | None = None) -> DataFrame:
     """One row for each of tasks(task_id, project_id, task): its knowledge, decisions, state, memory, files, constraints, text and tokens.
 
-    index: the projects' files, of which the most relevant ones go into a package. A task's parts are bounded by limit,
-    and equal tasks of a project are worked out once.
+    index: the projects' files, of which the most relevant ones go into a package. projects(id): the known ones; a task of
+    another gets no package. A task's parts are bounded by limit, and equal tasks of a project are worked out once.
     """
+    if projects is not None:
+        tasks = of_known_projects(tasks, projects)
     asked = tasks.select("project_id", "task").distinct().withColumn("task_id", F.to_json(F.struct("project_id", "task")))
     queries = asked.select(F.col("task_id").alias("query_id"), "project_id", F.col("task").alias("query"))
     items = knowledge(ranked(memories, queries, scorer, limit))
@@ -65,7 +68,9 @@ def packages(tasks: DataFrame, memories: DataFrame, scorer: Scorer, as_of: str,
     decided = F.coalesce(F.transform(F.filter("knowledge", lambda k: k["knowledge_type"] == "decision"), lambda k: k["content"]), none)
     rows = rows.withColumns({"contents": contents, "decisions": decided, "active_issues": F.coalesce("active_issues", none), "recent_decisions": F.coalesce("recent_decisions", none)})
     rows = rows.withColumn("constraints", constraints(F.concat("task", F.lit(" "), F.array_join("contents", " "))))
-    rows = rows.withColumn("state", F.to_json(F.struct(F.lit(as_of).alias("last_updated"), "active_issues", "recent_decisions", F.lit("").alias("current_focus"))))
+    said = [("last_updated", json_string(F.lit(as_of))), ("active_issues", json_strings(F.col("active_issues"))), ("recent_decisions", json_strings(F.col("recent_decisions"))), ("current_focus", F.lit('""'))]
+    state = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{k}": '), v) for k, v in said]), F.lit("}"))
+    rows = rows.withColumns({"state": state, "last_updated": F.lit(as_of), "context_id": F.left(F.sha2(F.concat_ws("_", "project_id", "task", F.lit(as_of)), 256), F.lit(16))})
     lines = [("task", F.col("task")), ("knowledge", F.array_join("contents", ", ")), ("files", F.array_join("files", ", ")), ("decisions", F.array_join("decisions", ", ")), ("state", F.col("state")), ("constraints", F.array_join("constraints", ", "))]
     text = F.concat_ws("\n", *[F.concat(F.lit(f"{name}: "), value) for name, value in lines])
     rows = rows.withColumn("context_text", text)
@@ -74,12 +79,13 @@ def packages(tasks: DataFrame, memories: DataFrame, scorer: Scorer, as_of: str,
 
 
 def sectioned_text(rows: DataFrame) -> Column:
-    """The second form of a package's text: headed sections, left out where empty."""
+    """The second form of a package's text: headed sections, left out where empty; the state has a line a key."""
     def section(head: str, lines: Column) -> Column:
         return F.when(F.size(lines) > 0, F.concat(F.lit(head + "\n"), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), x)), "\n")))
 
     known = F.transform(F.coalesce("knowledge", F.filter("knowledge", lambda k: F.lit(False))), lambda k: F.concat(F.lit("["), k["knowledge_type"], F.lit("] "), k["content"]))
-    return F.concat_ws("\n", F.concat(F.lit("TASK: "), "task"), section("RELEVANT KNOWLEDGE:", known), section("RELEVANT DECISIONS:", F.col("decisions")), F.concat(F.lit("CURRENT STATE:\n- "), "state"), section("CONSTRAINTS:", F.col("constraints")))
+    state = F.array(F.concat(F.lit("last_updated: "), "last_updated"), *[F.concat(F.lit(f"{c}: "), quoted_strings(F.col(c))) for c in ("active_issues", "recent_decisions")], F.lit("current_focus: "))
+    return F.concat_ws("\n", F.concat(F.lit("TASK: "), "task"), section("RELEVANT KNOWLEDGE:", known), section("RELEVANT DECISIONS:", F.col("decisions")), section("CURRENT STATE:", state), section("CONSTRAINTS:", F.col("constraints")))
 
 
 def exported(packed: DataFrame) -> DataFrame:
@@ -102,13 +108,46 @@ def extra_memories(tasks: DataFrame, memories: DataFrame, scorer: Scorer, known:
     return task_ops.second_pass(hits.select("query_id", "rank", "id").join(terms.select("query_id", "task_id", "term"), "query_id"), known, limit)
 
 
-def run_summary(tasks: DataFrame, memories: DataFrame, scorer: Scorer, as_of: str, index: DataFrame | None = None, limit: int = 10) -> DataFrame:
-    """One row a task: its analysis, candidates, the context's size, gaps, memories of a second pass (where there are gaps), and what it would teach the memory."""
-    packed = packages(tasks, memories, scorer, as_of, index, limit)
+def runs(tasks: DataFrame, memories: DataFrame, scorer: Scorer, as_of: str, projects: DataFrame, index: DataFrame | None = None, limit: int = 10) -> DataFrame:
+    """One row a task: analysis, context, gaps in their order, and the number of memories of a second pass where there are gaps.
+
+    projects(id, name): a task of another project has neither name nor context, and one gap: project not found.
+    """
+    packed = packages(tasks, memories, scorer, as_of, index, limit, projects=projects)
     items = packed.select("task_id", F.explode("knowledge").alias("k")).select("task_id", "k.id", "k.knowledge_type")
-    missing = task_ops.gaps(tasks, items.select("task_id", "knowledge_type")).groupBy("task_id").agg(F.count("*").alias("n_gaps"))
-    lacking = tasks.join(missing.select("task_id"), "task_id", "left_semi")
+    known = of_known_projects(tasks, projects)
+    place = F.array_position(F.array(*[F.lit(m) for _, m, _ in GAPS]), F.col("gap"))
+    missing = task_ops.gaps(known, items.select("task_id", "knowledge_type")).groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("k"), "gap"))).alias("g"))
+    lacking = known.join(missing.select("task_id"), "task_id", "left_semi")
     extra = extra_memories(lacking, memories, scorer, items.select("task_id", "id")).groupBy("task_id").agg(F.count("*").alias("n_extra"))
-    focus = F.when(F.col("task_type").isin("troubleshooting", "development"), F.concat(F.lit("Current focus: "), "task"))
-    rows = task_ops.analysed(tasks).join(packed.select("task_id", "n_knowledge", "estimated_tokens"), "task_id").join(missing, "task_id", "left").join(extra, "task_id", "left")
-    return rows.select("task_id", "task_type", "complexity", F.col("n_knowledge").alias("n_candidates"), "n_knowledge", "estimated_tokens", F.coalesce("n_gaps", F.lit(0)).alias("n_gaps"), F.coalesce("n_extra", F.lit(0)).alias("n_extra"), focus.alias("learned"))
+    rows = task_ops.analysed(tasks).join(packed.select("task_id", "context_id", "n_knowledge", "estimated_tokens"), "task_id", "left").join(missing, "task_id", "left").join(extra, "task_id", "left")
+    rows = rows.join(projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name")), "project_id", "left")
+    found = F.coalesce(F.transform("g", lambda g: g["gap"]), F.array().cast("array<string>"))
+    gaps = F.when(F.col("context_id").isNull(), F.array(F.lit("project not found"))).otherwise(found)
+    zero = F.lit(0)
+    return rows.select("task_id", "project_id", "project_name", "task", "keywords", "task_type", "complexity", "context_id", F.coalesce("n_knowledge", zero).alias("n_knowledge"), F.coalesce("estimated_tokens", zero).alias("estimated_tokens"),
+                       gaps.alias("gaps"), F.coalesce("n_extra", zero).alias("n_extra"), (F.col("context_id").isNotNull() & F.col("task_type").isin("troubleshooting", "development")).alias("learns"))
+
+
+def run_summary(tasks: DataFrame, memories: DataFrame, scorer: Scorer, as_of: str, projects: DataFrame, index: DataFrame | None = None, limit: int = 10) -> DataFrame:
+    """One row a task: its analysis, candidates, the context's size, gaps, memories of a second pass, and what it would teach the memory."""
+    focus = F.when(F.col("learns"), F.concat(F.lit("Current focus: "), "task"))
+    rows = runs(tasks, memories, scorer, as_of, projects, index, limit)
+    return rows.select("task_id", "task_type", "complexity", F.col("n_knowledge").alias("n_candidates"), "n_knowledge", "estimated_tokens", F.array_join("gaps", "|").alias("gaps"), F.col("n_extra").cast("long").alias("n_extra"), focus.alias("learned"))
+
+
+def action_log(done: DataFrame) -> DataFrame:
+    """(task_id, step, action, detail): what a run did, step by step, from runs(). A run on an unknown project ends after the lookup."""
+    def step(action: str, *detail: Column | str) -> Column:
+        return F.struct(F.lit(action).alias("action"), F.concat(*[F.lit(d) if isinstance(d, str) else d.cast("string") for d in detail]).alias("detail"))
+
+    start = step("Analyzing task", "type=", F.col("task_type"), ", keywords=", quoted_strings(F.slice("keywords", 1, 4)))
+    lost = step("Project lookup", "project ", F.col("project_id"), " not found — aborting")
+    again = F.when(F.col("n_extra") > 0, step("Retrieved additional information", F.col("n_extra"), " extra memories")).otherwise(step("Additional retrieval", "nothing more found locally"))
+    whole = F.concat(
+        F.array(step("Inspecting project", F.coalesce("project_name", "project_id")), step("Searching project knowledge", F.col("n_knowledge"), " candidates scored"),
+                step("Built optimized context", F.col("n_knowledge"), " knowledge items, ~", F.col("estimated_tokens"), " tokens (estimated)")),
+        F.transform("gaps", lambda g: step("Gap detected", g)),
+        F.array_compact(F.array(F.when(F.size("gaps") > 0, again), F.when(F.col("learns"), step("Updated memory", "recorded current task focus")), step("Context ready", "context_id=", F.col("context_id")))))
+    steps = F.concat(F.array(start), F.when(F.col("context_id").isNull(), F.array(lost)).otherwise(whole))
+    return done.select("task_id", F.posexplode(steps).alias("at", "s")).select("task_id", (F.col("at") + 1).alias("step"), "s.action", "s.detail")

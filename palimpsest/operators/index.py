@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.patterns import CONFIG_NAMES, CONFIG_SUFFIXES, EXPORT_LIST, EXPORTED, EXTENSIONS, IMPORTS, MOST_BYTES, MOST_FILES, SKIPPED_FOLDERS, SYMBOLS
 from ..functions.text import TokenCounter, estimated_tokens, let
+from .grams import candidates, postings
 from .tasks import top_keywords
 
 
@@ -142,16 +143,20 @@ def file_cards(index: DataFrame) -> DataFrame:
 def relevant_files(tasks: DataFrame, index: DataFrame, limit: int = 5) -> DataFrame:
     """(task_id, rank, path, score): files of a task's project by how often its keywords occur in path, symbols and imports.
 
-    Equal tasks of a project are worked out once; the window keeps each task's best files before it shuffles.
+    A project's keywords, each once whatever the tasks, meet the files by four letters of them (keywords have four at
+    least); a file and a keyword that it holds are counted once, and tasks sum what their keywords count. The work follows the files and
+    the hits, not files times tasks; the window keeps each task's best files before it shuffles.
     """
     distinct = tasks.select("project_id", "task").distinct().withColumn("task_id", F.to_json(F.struct("project_id", "task")))
-    words = top_keywords(distinct).groupBy("task_id").agg(F.collect_list("word").alias("words"))  # ten at most
-    asked = distinct.select("task_id", "project_id").join(words, "task_id")
+    asked = top_keywords(distinct).join(distinct.select("task_id", "project_id"), "task_id").select("task_id", "project_id", "word")  # ten words a task at most
     text = F.lower(F.concat_ws(" ", "path", F.array_join(F.transform("symbols", lambda s: s["name"]), " "), F.array_join("imports", " ")))
-    rows = index.select("project_id", "path", text.alias("text"), F.lower("path").alias("low")).join(asked, "project_id")
-    hits = F.aggregate("words", F.lit(0.0), lambda a, w: a + 2.0 * (F.length("text") - F.length(F.replace(F.col("text"), w, F.lit("")))) / F.length(w) + F.when(F.contains("low", w), 2.0).otherwise(0.0))
+    files = index.select("project_id", F.col("path").alias("key"), text.alias("text"))
+    words = asked.select("project_id", "word").distinct()
+    met = candidates(words.select("project_id", F.col("word").alias("needle"), F.array("word").alias("parts")), postings(files, 4), 4)
+    count = 2.0 * (F.length("text") - F.length(F.replace(F.col("text"), F.col("needle"), F.lit("")))) / F.length("needle")
+    points = files.join(met, ["project_id", "key"]).select("project_id", F.col("key").alias("path"), F.col("needle").alias("word"), (count + F.when(F.contains(F.lower("key"), "needle"), 2.0).otherwise(0.0)).alias("points"))
+    scores = points.filter("points > 0").join(asked, ["project_id", "word"]).groupBy("task_id", "path").agg(F.round(F.sum("points"), 3).alias("score"))
     order = Window.partitionBy("task_id").orderBy(F.desc("score"), "path")
-    found = rows.select("task_id", "path", F.round(hits, 3).alias("score")).filter("score > 0").withColumn("rank", F.row_number().over(order))
-    best = found.filter(F.col("rank") <= limit)
+    best = scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     given = tasks.select("task_id", F.to_json(F.struct("project_id", "task")).alias("_key"))
     return best.withColumnRenamed("task_id", "_key").join(given, "_key").select("task_id", "rank", "path", "score")

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.patterns import CATEGORIES
 from ..functions.text import memory_id
+from .grams import candidates, postings
 
 COLUMNS = ["id", "project_id", "content", "memory_type", "importance_score", "created_at", "updated_at", "accessed_at", "access_count", "metadata", "source_hash"]
 
@@ -104,17 +105,29 @@ def project_memories(memories: DataFrame, types: list[str] | None = None, least:
     return top(kept.filter(F.col("memory_type").isin(types)) if types else kept, limit)
 
 
-def search(memories: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+def substring_index(memories: DataFrame) -> DataFrame:
+    """(project_id, gram, key): which memories hold which three letters. Write it to search the same memories again."""
+    return postings(memories.select("project_id", F.col("id").alias("key"), F.lower("content").alias("text")), 3)
+
+
+def search(memories: DataFrame, queries: DataFrame, limit: int = 10, index: DataFrame | None = None) -> DataFrame:
     """queries(query_id, project_id, query): memories whose content holds the query in any case; % and _ in it are wild.
 
-    Equal queries of a project are searched once; the window keeps the best rows of each task before it shuffles.
+    Equal queries of a project are searched once. What stands between wildcards leads to candidates by substring_index
+    (worked out if it isn't given), which are then checked whole; only queries without three letters in a row meet all
+    memories of their project. Ids are unique in a project.
     """
-    asked = queries.select("project_id", "query").distinct()
-    wild = F.col("query").rlike("[%_\\\\]")
+    literal = F.filter(F.split(F.lower("query"), r"[%_\\]"), lambda p: F.length(p) >= 3)
+    asked = queries.select("project_id", "query").distinct().withColumn("parts", literal)
+    wild = F.col("query").rlike(r"[%_\\]")
     held = F.when(wild, F.ilike("content", F.concat(F.lit("%"), "query", F.lit("%")))).otherwise(F.contains(F.lower("content"), F.lower("query")))
+    found = candidates(asked.filter(F.size("parts") > 0).withColumnRenamed("query", "needle"), substring_index(memories) if index is None else index, 3)
+    pairs = memories.join(found.select("project_id", F.col("needle").alias("query"), F.col("key").alias("id")), ["project_id", "id"])
+    short = memories.join(asked.filter(F.size("parts") == 0).select("project_id", "query"), "project_id")
+    pairs = pairs.select(*memories.columns, "query").unionByName(short.select(*memories.columns, "query"))
     best = Window.partitionBy("project_id", "query").orderBy(F.desc("importance_score"), F.desc("updated_at"), "id")
-    found = memories.join(asked, "project_id").filter(held).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
-    return found.join(queries.select("query_id", "project_id", "query"), ["project_id", "query"])
+    kept = pairs.filter(held).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
+    return kept.join(queries.select("query_id", "project_id", "query"), ["project_id", "query"])
 
 
 def lookup(memories: DataFrame, ids: DataFrame) -> DataFrame:

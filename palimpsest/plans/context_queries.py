@@ -7,13 +7,13 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions.patterns import CONSTRAINTS, EASY, GAPS, HARD
-from ..functions.text import memory_id
+from ..functions.text import estimated_tokens, memory_id
 from ..operators import context, evaluate, index, ingest, relevance, store
 from .index_queries import SQL as INDEX_SQL
 from .index_queries import _I, _index
 from .ingest_queries import FOUND_SQL, NOW_SQL, STRIP, TOKENS, _memories, _messages, now, quoted
 from .retrieval_queries import _ASKED, _MT, _PLAIN, _REASONS_LIST, _TYPE, _UNIQUE, _any, _asked, _ranked, _tasks, scored_sql
-from .seeds import ctes
+from .seeds import ctes, seed
 
 AS_OF = "2025-06-15T00:00:00"
 
@@ -27,21 +27,26 @@ def second_pass(spark, d):
     return context.extra_memories(_tasks(spark, d), _memories(spark, d), _scorer(), known)
 
 
+def _projects(spark, d):
+    return seed(spark, d, "projects").select("id", F.concat(F.lit("Project "), "id").alias("name")).distinct()
+
+
 def _packages(spark, d):
-    return context.packages(_tasks(spark, d), _memories(spark, d), _scorer(), AS_OF, _index(spark, d))
+    return context.packages(_tasks(spark, d), _memories(spark, d), _scorer(), AS_OF, _index(spark, d), projects=_projects(spark, d))
 
 
 def context_package(spark, d):
-    return _packages(spark, d).select("task_id", "project_id", "n_knowledge", F.array_join("files", "|").alias("files"), F.array_join("constraints", "|").alias("constraints"), F.sha2("context_text", 256).alias("text_sha256"), "estimated_tokens")
+    return _packages(spark, d).select("task_id", "project_id", "context_id", "n_knowledge", F.array_join("files", "|").alias("files"), F.array_join("constraints", "|").alias("constraints"), F.sha2("context_text", 256).alias("text_sha256"), "estimated_tokens")
 
 
 def context_sections(spark, d):
-    packed = context.packages(_tasks(spark, d), _memories(spark, d), _scorer(), AS_OF)
-    return packed.select("task_id", F.sha2(context.sectioned_text(packed), 256).alias("text_sha256"))
+    packed = context.packages(_tasks(spark, d), _memories(spark, d), _scorer(), AS_OF, projects=_projects(spark, d))
+    text = context.sectioned_text(packed)
+    return packed.select("task_id", F.sha2(text, 256).alias("text_sha256"), estimated_tokens(text).alias("estimated_tokens"))
 
 
 def context_export(spark, d):
-    return context.exported(context.packages(_tasks(spark, d), _memories(spark, d), _scorer(), AS_OF))
+    return context.exported(_packages(spark, d))
 
 
 def search_export(spark, d):
@@ -49,7 +54,11 @@ def search_export(spark, d):
 
 
 def context_run_summary(spark, d):
-    return context.run_summary(_tasks(spark, d), _memories(spark, d), _scorer(), AS_OF)
+    return context.run_summary(_tasks(spark, d), _memories(spark, d), _scorer(), AS_OF, _projects(spark, d), _index(spark, d))
+
+
+def context_action_log(spark, d):
+    return context.action_log(context.runs(_tasks(spark, d), _memories(spark, d), _scorer(), AS_OF, _projects(spark, d), _index(spark, d)))
 
 
 def learned_focus(spark, d):
@@ -137,7 +146,7 @@ def timestamp_parse(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", store.timestamp_of(said).alias("parsed"))
 
 
-QUERIES = {f.__name__: f for f in (second_pass, context_package, context_sections, context_export, search_export, context_run_summary, learned_focus, expectations_met, scenario_metrics, evaluation_summary, retrieval_hits, retrieval_hit_rate, document_lookup, timestamp_parse)}
+QUERIES = {f.__name__: f for f in (second_pass, context_package, context_sections, context_export, search_export, context_run_summary, context_action_log, learned_focus, expectations_met, scenario_metrics, evaluation_summary, retrieval_hits, retrieval_hit_rate, document_lookup, timestamp_parse)}
 
 
 def _tagged(sql: str, tag: str) -> str:
@@ -152,7 +161,22 @@ def _constraints(text: str) -> str:
     return f"list_filter(list_transform({found}, lambda x: {STRIP.format('x')}), lambda x: length(x) > 10)"
 
 
-def packed_sql(limit: int, files: str = "select null::varchar as task_id, null::int as rank, null::varchar as path where false") -> str:
+# texts as a JSON dump in ASCII writes them, and as source code shows them
+_CODES = r"when c = '\' then '\\' when c = chr(10) then '\n' when c = chr(13) then '\r' when c = chr(9) then '\t'"
+_CHARS = "array_to_string(list_transform(regexp_extract_all({0}, '(?s).'), lambda c: case "
+_DUMP = (
+    "(chr(34) || " + _CHARS + r"when c = chr(34) then '\' || chr(34) " + _CODES + r" when c = chr(8) then '\b' when c = chr(12) then '\f' when unicode(c) between 32 and 126 then c when unicode(c) < 65536 then printf('\u%04x', unicode(c))"
+    r" else printf('\u%04x\u%04x', 55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024) end), '') || chr(34))"
+)
+_BODY = _CHARS + _CODES + r" when unicode(c) < 32 or unicode(c) between 127 and 160 or unicode(c) = 173 then printf('\x%02x', unicode(c)) else c end), '')"
+_SHOWN = "(case when contains({0}, chr(39)) and not contains({0}, chr(34)) then chr(34) || " + _BODY + " || chr(34) else chr(39) || replace(" + _BODY + r", chr(39), '\' || chr(39)) || chr(39) end)"
+
+
+def _listed(items: str, one: str) -> str:
+    return f"'[' || array_to_string(list_transform({items}, lambda x: {one.replace('{0}', 'x')}), ', ') || ']'"
+
+
+def packed_sql(limit: int, files: str = "select null::varchar as task_id, null::int as rank, null::varchar as path where false", known: str = "") -> str:
     """CTEs up to packed(task_id, project_id, task, contents, decisions, constraints, paths, context_text, ...) of tasks and memories."""
     kind = "case when kind = '' then 'general' else kind end"
     return f"""{scored_sql(_ASKED, limit)},
@@ -161,9 +185,10 @@ def packed_sql(limit: int, files: str = "select null::varchar as task_id, null::
   states as (select project_id, coalesce(list(content order by r) filter (kind = 'issue'), []) as active_issues, coalesce(list(content order by r) filter (kind = 'decision'), []) as recent_decisions from state_rows group by 1),
   file_rows as ({files}), paths as (select task_id, list(path order by rank) as paths from file_rows group by 1),
   packed0 as (select tasks.task_id, tasks.project_id, task, coalesce(contents, []) as contents, coalesce(decisions, []) as decisions, coalesce(items, []) as items, coalesce(paths, []) as paths,
-    to_json({{'last_updated': '{AS_OF}', 'active_issues': coalesce(active_issues, []), 'recent_decisions': coalesce(recent_decisions, []), 'current_focus': ''}})::varchar as state
-    from tasks left join known using (task_id) left join states using (project_id) left join paths using (task_id)),
-  packed1 as (select *, {_constraints("task || ' ' || array_to_string(contents, ' ')")} as said from packed0),
+    coalesce(active_issues, []) as active_issues, coalesce(recent_decisions, []) as recent_decisions, left(sha256(tasks.project_id || '_' || task || '_{AS_OF}'), 16) as context_id
+    from (select * from tasks{known}) tasks left join known using (task_id) left join states using (project_id) left join paths using (task_id)),
+  packed01 as (select *, '{{"last_updated": "{AS_OF}", "active_issues": ' || {_listed('active_issues', _DUMP)} || ', "recent_decisions": ' || {_listed('recent_decisions', _DUMP)} || ', "current_focus": ""}}' as state from packed0),
+  packed1 as (select *, {_constraints("task || ' ' || array_to_string(contents, ' ')")} as said from packed01),
   packed2 as (select *, (list_filter(said, lambda x, i: list_position(said, x) = i))[1:5] as constraints from packed1),
   packed as (select *, 'task: ' || task || chr(10) || 'knowledge: ' || array_to_string(contents, ', ') || chr(10) || 'files: ' || array_to_string(paths, ', ') || chr(10) || 'decisions: ' || array_to_string(decisions, ', ') || chr(10) || 'state: ' || state || chr(10) || 'constraints: ' || array_to_string(constraints, ', ') as context_text from packed2)"""
 
@@ -179,7 +204,16 @@ def _second_sql(tasks_: str, known: str) -> str:
 
 
 _FILES = INDEX_SQL["relevant_files"].split("kw as", 1)[1]
-_LACK = "lacks as (" + " union all ".join(f"select task_id, '{k}' as gap from packed where not list_contains(list_transform(items, lambda i: i.type), '{k}')" + (f" and len(contents) < {few}" if few else "") for k, _, few in GAPS) + "), n_gaps as (select task_id, count(*) as n_gaps from lacks group by 1)"
+_LACK = "lacks as (" + " union all ".join(f"select task_id, {n} as n, {quoted(m)} as gap from packed where not list_contains(list_transform(items, lambda i: i.type), '{k}')" + (f" and len(contents) < {few}" if few else "") for n, (k, m, few) in enumerate(GAPS)) + "), gap_lists as (select task_id, list(gap order by n) as gaps from lacks group by 1)"
+_KNOWN = " where project_id in (select id from projects)"
+_FULL = (
+    _I.replace("with files", ctes("memories", "tasks", "projects") + ", files", 1) + ", "
+    + packed_sql(10, "select * from (" + "with k as (select task_id, " + _PLAIN.format("task") + " as w from tasks), e as (select task_id, unnest(w) as word, generate_subscripts(w, 1) as pos from k), c as (select task_id, word, count(*) as n, min(pos) as f from e group by 1, 2), kw as" + _FILES + ")", _KNOWN)
+)
+_LEARNS = f"({_TYPE} in ('troubleshooting', 'development'))"
+_RUNS = _FULL + ", " + _LACK + ", " + _second_sql("select * from tasks where task_id in (select task_id from lacks)", "select query_id, id from ranked") + f""", x as (select task_id, count(*) as n_extra from extra group by 1),
+  runs as (select t.task_id, t.project_id, t.task, {_TYPE.replace('lower(task)', 'lower(t.task)')} as task_type, context_id, coalesce(len(contents), 0)::int as n_knowledge, case when context_id is null then 0 else {TOKENS.format('context_text')} end::int as estimated_tokens,
+    case when context_id is null then ['project not found'] else coalesce(gaps, []) end as gaps, coalesce(n_extra, 0) as n_extra from tasks t left join packed p on p.task_id = t.task_id left join gap_lists g on g.task_id = t.task_id left join x on x.task_id = t.task_id)"""
 _SECTION = "case when len({0}) > 0 then chr(10) || '{1}:' || chr(10) || array_to_string(list_transform({0}, lambda x: '- ' || x), chr(10)) else '' end"
 _SCENARIOS = FOUND_SQL + f""", stored as (select * from kept where category <> 'irrelevant'),
   memories as (select * from (select left(sha256(conversation_id || ':' || content), 16) as id, conversation_id as project_id, content, importance as importance_score, {NOW_SQL} as updated_at,
@@ -203,14 +237,21 @@ _HITS = _I + f""", cards as ({INDEX_SQL['file_cards'].removeprefix(_I)}),
   hits as (select g.query_id, count(r.id) as n_results, count_if(coalesce(contains(lower(r.path), lower(needle)), false))::bigint as n_relevant, coalesce(sum({TOKENS.format('r.content')}) filter (r.id is not null), 0)::bigint as tokens from given g left join ranked r on r.query_id = g.query_id group by 1)"""
 SQL = {
     "second_pass": _MT + ", " + scored_sql(_ASKED, 3) + ", " + _second_sql("select * from tasks", "select query_id, id from ranked") + " select * from extra",
-    "context_package": _I.replace("with files", ctes("memories", "tasks") + ", files", 1) + ", " + packed_sql(10, "select * from (" + "with k as (select task_id, " + _PLAIN.format("task") + " as w from tasks), e as (select task_id, unnest(w) as word, generate_subscripts(w, 1) as pos from k), c as (select task_id, word, count(*) as n, min(pos) as f from e group by 1, 2), kw as" + _FILES + ")")
-    + f" select task_id, project_id, len(contents)::int as n_knowledge, array_to_string(paths, '|') as files, array_to_string(constraints, '|') as constraints, sha256(context_text) as text_sha256, {TOKENS.format('context_text')}::int as estimated_tokens from packed",
-    "context_sections": _MT + ", " + packed_sql(10) + f", f as (select *, list_transform(items, lambda i: '[' || i.type || '] ' || i.content) as lines from packed) select task_id, sha256('TASK: ' || task || {_SECTION.format('lines', 'RELEVANT KNOWLEDGE')} || {_SECTION.format('decisions', 'RELEVANT DECISIONS')} || chr(10) || 'CURRENT STATE:' || chr(10) || '- ' || state || {_SECTION.format('constraints', 'CONSTRAINTS')}) as text_sha256 from f",
-    "context_export": _MT + ", " + packed_sql(10) + f" select task_id, to_json({{'estimated_tokens': {TOKENS.format('context_text')}::int, 'knowledge': items, 'decisions': decisions, 'constraints': constraints}})::varchar as result from packed",
+    "context_package": _FULL + f" select task_id, project_id, context_id, len(contents)::int as n_knowledge, array_to_string(paths, '|') as files, array_to_string(constraints, '|') as constraints, sha256(context_text) as text_sha256, {TOKENS.format('context_text')}::int as estimated_tokens from packed",
+    "context_sections": ctes("memories", "tasks", "projects") + ", " + packed_sql(10, known=_KNOWN) + f""", f as (select *, list_transform(items, lambda i: '[' || i.type || '] ' || i.content) as lines from packed),
+  g as (select task_id, 'TASK: ' || task || {_SECTION.format('lines', 'RELEVANT KNOWLEDGE')} || {_SECTION.format('decisions', 'RELEVANT DECISIONS')} || chr(10) || 'CURRENT STATE:' || chr(10) || '- last_updated: {AS_OF}' || chr(10) || '- active_issues: ' || {_listed('active_issues', _SHOWN)}
+    || chr(10) || '- recent_decisions: ' || {_listed('recent_decisions', _SHOWN)} || chr(10) || '- current_focus: ' || {_SECTION.format('constraints', 'CONSTRAINTS')} as text from f)
+  select task_id, sha256(text) as text_sha256, {TOKENS.format('text')}::int as estimated_tokens from g""",
+    "context_export": _FULL + f" select task_id, to_json({{'estimated_tokens': {TOKENS.format('context_text')}::int, 'knowledge': items, 'decisions': decisions, 'constraints': constraints}})::varchar as result from packed",
     "search_export": _MT + ", " + scored_sql(_ASKED, 10) + f" select query_id, rank, to_json({{'memory_id': id, 'content': content, 'score': score, 'reasons': {_REASONS_LIST}, 'memory_type': memory_type, 'importance': importance_score}})::varchar as result from ranked",
-    "context_run_summary": _MT + ", " + packed_sql(10) + ", " + _LACK + ", " + _second_sql("select * from tasks where task_id in (select task_id from lacks)", "select query_id, id from ranked") + f""", x as (select task_id, count(*) as n_extra from extra group by 1)
-  select task_id, {_TYPE} as task_type, case when {_any('lower(task)', HARD)} then 'high' when {_any('lower(task)', EASY)} then 'low' when length(task) > 150 then 'medium' else 'low' end as complexity, len(contents)::int as n_candidates, len(contents)::int as n_knowledge, {TOKENS.format('context_text')}::int as estimated_tokens,
-  coalesce(n_gaps, 0) as n_gaps, coalesce(n_extra, 0) as n_extra, case when {_TYPE} in ('troubleshooting', 'development') then 'Current focus: ' || task end as learned from packed left join n_gaps using (task_id) left join x using (task_id)""",
+    "context_run_summary": _RUNS + f""" select task_id, task_type, case when {_any('lower(task)', HARD)} then 'high' when {_any('lower(task)', EASY)} then 'low' when length(task) > 150 then 'medium' else 'low' end as complexity, n_knowledge as n_candidates, n_knowledge, estimated_tokens,
+  array_to_string(gaps, '|') as gaps, n_extra, case when context_id is not null and {_LEARNS} then 'Current focus: ' || task end as learned from runs""",
+    "context_action_log": _RUNS + f""", words4 as (select *, ({_UNIQUE.format('w')})[1:4] as top4 from (select *, {_PLAIN.format('task')} as w from runs)),
+  steps as (select task_id, list_concat([{{'a': 'Analyzing task', 'd': 'type=' || task_type || ', keywords=' || {_listed('top4', _SHOWN)}}}], case when context_id is null then [{{'a': 'Project lookup', 'd': 'project ' || project_id || ' not found — aborting'}}]
+    else list_filter(list_concat(list_concat([{{'a': 'Inspecting project', 'd': 'Project ' || project_id}}, {{'a': 'Searching project knowledge', 'd': n_knowledge || ' candidates scored'}}, {{'a': 'Built optimized context', 'd': n_knowledge || ' knowledge items, ~' || estimated_tokens || ' tokens (estimated)'}}],
+      list_transform(gaps, lambda g: {{'a': 'Gap detected', 'd': g}})), [case when len(gaps) = 0 then null when n_extra > 0 then {{'a': 'Retrieved additional information', 'd': n_extra || ' extra memories'}} else {{'a': 'Additional retrieval', 'd': 'nothing more found locally'}} end,
+      case when {_LEARNS} then {{'a': 'Updated memory', 'd': 'recorded current task focus'}} end, {{'a': 'Context ready', 'd': 'context_id=' || context_id}}]), lambda s: s is not null) end) as s from words4)
+  select task_id, step::int as step, s[step].a as action, s[step].d as detail from (select task_id, s, unnest(generate_series(1, len(s))) as step from steps)""",
     "learned_focus": ctes("tasks") + f" select distinct left(sha256(project_id || ':Current focus: ' || task), 16) as id, project_id, 'Current focus: ' || task as content, 'task' as memory_type, 0.7::double as importance_score, 'current_task' as knowledge_type from tasks where {_TYPE} in ('troubleshooting', 'development')",
     "expectations_met": _SCENARIOS + " select * from met",
     "scenario_metrics": _METRICS + " select * from metrics",

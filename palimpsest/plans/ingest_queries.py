@@ -8,7 +8,12 @@ from ..functions import text as T
 from ..functions.classify import has_hint, is_chatter
 from ..functions.patterns import CATEGORIES, CHATTER, HINTS, REJECTED
 from ..operators import ingest, store
-from .seeds import ctes, seed
+from ..sources.memory_table import MemoryTable
+from ..streaming import accesses
+from ..streaming.memories import stream_memories
+from .scratch import scratch_folder
+from .seeds import ctes, seed, spark_seed
+
 
 def now():
     return F.lit("2025-06-15 00:00:00").cast("timestamp")
@@ -227,6 +232,27 @@ def access_tracking(spark, d):
     return store.tracked(_memories(spark, d), log).select("id", "access_count", "accessed_at", "updated_at")
 
 
+def access_stream(spark, d):
+    """access_tracking by a stream of the log; late accesses would be years late."""
+    log = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").parquet(f"{d}/event[s].parquet")
+    log = log.select(F.concat(F.lit("m"), (F.col("user_id") % 500).cast("string"), F.lit("-"), (F.col("event_id") % 5).cast("string")).alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    with scratch_folder(spark, "accesses") as folder:
+        accesses.stream_accesses(log, f"{folder}/out", f"{folder}/check", "3650 days").awaitTermination()
+        return accesses.with_accesses(_memories(spark, d), f"{folder}/out").select("id", "access_count", "accessed_at", "updated_at")
+
+
+def memory_stream(spark, d):
+    """The memory table after a stream of all messages, a second each."""
+    given = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{d}/conversation[s].parquet")
+    number = F.regexp_extract("conversation_id", "[0-9]+", 0).cast("long")
+    messages = spark_seed(spark, "messages", conversations=given).withColumns({"project_id": F.concat(F.lit("p"), (number % 10).cast("string")), "ts": F.timestamp_seconds(1_750_000_000 + number * 2000 + F.col("msg_index"))})
+    with scratch_folder(spark, "memories") as folder:
+        name = "memories_" + folder.rpartition("-")[2]
+        table = MemoryTable(spark, name, f"{folder}/table", 8)
+        stream_memories(messages, table, f"{folder}/check", now(), "0 seconds").awaitTermination()
+        return table.read().select("id", "project_id", "memory_type", "importance_score", "updated_at", "source_hash")
+
+
 def agent_history(spark, d):
     actions = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("agent_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("action_type"))
     return store.last_actions(actions, 3)
@@ -238,7 +264,7 @@ def projects_upsert(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (message_dedup, chatter_detection, message_classifier, memory_dedup, conversation_stats, category_counts, category_rollup, token_breakdown, compression_report, chat_token_total, content_hashes, token_reduction,
-           store_memories, project_check, memory_upsert, memory_update, memory_delete, mark_resolved, mark_stale, metadata_parse, memory_filter, memory_top, substring_search, memory_lookup, stale_cleanup, stale_cleanup_count, oversize_routing, access_tracking, agent_history, projects_upsert)}
+           store_memories, project_check, memory_upsert, memory_update, memory_delete, mark_resolved, mark_stale, metadata_parse, memory_filter, memory_top, substring_search, memory_lookup, stale_cleanup, stale_cleanup_count, oversize_routing, access_tracking, access_stream, memory_stream, agent_history, projects_upsert)}
 
 _M = ctes("memories")
 _TOP = "row_number() over (partition by project_id order by importance_score desc, updated_at desc, id)"
@@ -282,6 +308,9 @@ SQL = {
     "stale_cleanup_count": _M + f" select project_id, count_if({_STALE})::bigint as removed, count(*) as n from memories group by 1",
     "oversize_routing": _M + " select project_id, length(content) <= 600 as accepted, count(*) as n from memories group by 1, 2",
     "access_tracking": _M + ", log as (select 'm' || (user_id % 500) || '-' || (event_id % 5) as id, count(*) as n, max(ts) as last from events group by 1) select id, (access_count + coalesce(n, 0))::int as access_count, greatest(accessed_at, last) as accessed_at, updated_at from memories left join log using (id)",
+    "memory_stream": ROWS_SQL + f""", made as (select *, left(sha256(project_id || ':' || content), 16) as id, row_number() over (partition by project_id, content order by conversation_id desc, msg_index desc, class_order desc) as n from rows_)
+  select id, project_id, memory_type, importance_score, {NOW_SQL} as updated_at, sha256(content) as source_hash from made where n = 1""",
     "agent_history": "select agent_id, seq, action_type from (select user_id as agent_id, event_id as seq, event_type as action_type, row_number() over (partition by user_id order by event_id desc) as n from events) where n <= 3",
     "projects_upsert": "select id, name, write_seq from (select user_id % 50 as id, event_type as name, event_id as write_seq, row_number() over (partition by user_id % 50 order by event_id desc) as n from events) where n = 1",
 }
+SQL["access_stream"] = SQL["access_tracking"]

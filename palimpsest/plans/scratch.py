@@ -1,0 +1,25 @@
+"""Folders for what a registered query writes on its way."""
+
+from __future__ import annotations
+
+import contextlib
+import tempfile
+import uuid
+from collections.abc import Iterator
+
+from pyspark.sql import SparkSession
+
+_own: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A new folder in spark.checkpoint.dir; in local mode without that setting, in a folder of our own. It stays, as results are read from it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="spark-"))
+        base = _own[0]
+    yield f"{base}/{name}-{uuid.uuid4().hex}"

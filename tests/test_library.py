@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.classify import findings, is_chatter
 from palimpsest.functions.patterns import CATEGORIES, REJECTED, STEMS, SYMBOLS
-from palimpsest.operators import context, evaluate, index, ingest, knowledge, relevance, store, tasks
+from palimpsest.functions.text import json_strings, quoted_strings
+from palimpsest.operators import context, evaluate, grams, index, ingest, knowledge, relevance, store, tasks
 from palimpsest.sources import transcripts, tree
 from palimpsest.streaming import accesses
 from palimpsest.streaming import ingest as stream
@@ -214,3 +215,87 @@ def test_patterns_need_their_stems():
                 hits[category] += 1
                 assert any(stem in text for stem in STEMS[category]), (category, text)
     assert min(hits.values()) > 5
+
+
+def test_substring_search_by_index_equals_all_pairs(spark):
+    rng = random.Random(5)
+    words = ["cache", "layer", "Queue", "a_b", "100%", "ΟΔΟΣ", "import", "x\\y", "fix", "of"]
+    made = "timestamp '2025-01-01 00:00:00'"
+    contents = [(f"m{k}", f"p{k % 2}", " ".join(rng.choice(words) for _ in range(4)), rng.randint(0, 5) / 5) for k in range(300)]
+    memories = spark.createDataFrame(contents, "id string, project_id string, content string, importance_score double").selectExpr("id", "project_id", "content", "'t' as memory_type", "importance_score", *[f"{made} as {c}" for c in ("created_at", "updated_at", "accessed_at")], "0 as access_count", "'' as metadata", "'' as source_hash")
+    asked = ["cache", "CACHE lay", "a_b", "a\\_b", "100%", "100\\%", "l%r q", "οδος", "of", "", "x", "never there", "import fix", "x\\\\y", "%", "queue%queue"]
+    queries = spark.createDataFrame([(f"q{k}-{p}", p, q) for k, q in enumerate(asked) for p in ("p0", "p1", "none")], "query_id string, project_id string, query string")
+
+    def like(text, query):
+        low, pattern, k = query.lower(), "", 0
+        if not any(c in query for c in "%_\\"):
+            return low in text.lower()
+        while k < len(low):
+            if low[k] == "\\":
+                pattern, k = pattern + regex.escape(low[k + 1]), k + 2
+                continue
+            pattern, k = pattern + {"%": ".*", "_": "."}.get(low[k], regex.escape(low[k])), k + 1
+        return regex.fullmatch(f".*{pattern}.*", text.lower(), regex.DOTALL) is not None
+
+    want = set()
+    for k, q in enumerate(asked):
+        for p in ("p0", "p1"):
+            hits = sorted((-s, i) for i, pp, c, s in contents if pp == p and like(c, q))[:7]
+            want |= {(f"q{k}-{p}", n + 1, i) for n, (_, i) in enumerate(hits)}
+    index_ = spark.createDataFrame(store.substring_index(memories).collect(), "project_id string, key string, gram string")
+    for kept in (None, index_):
+        assert {(r.query_id, r["rank"], r.id) for r in store.search(memories, queries, 7, kept).collect()} == want
+    one = queries.filter("query = 'never there'").select("project_id", F.col("query").alias("needle"), F.array("query").alias("parts"))
+    assert grams.candidates(one, index_, 3).count() == 0
+    two = queries.filter("query = 'CACHE lay'").select("project_id", F.col("query").alias("needle"), F.array(F.lower("query")).alias("parts"))
+    assert grams.candidates(two, index_, 3).count() < 150  # of 300 pairs
+
+
+def test_file_relevance_by_index_equals_all_pairs(spark):
+    rng = random.Random(6)
+    names = ["load", "loader", "cache", "caches", "queue", "aaaa", "report", "part"]
+    files = [(f"p{k % 2}", f"src/{rng.choice(names)}_{k}.py", [rng.choice(names) * rng.randint(1, 2) for _ in range(3)], [rng.choice(names)]) for k in range(60)]
+    rows = spark.createDataFrame(files, "project_id string, path string, names array<string>, imports array<string>").select("project_id", "path", F.transform("names", lambda n: F.struct(n.alias("name"))).alias("symbols"), "imports")
+    said = [" ".join(rng.choice([*names, "why", "the", "odd"]) for _ in range(6)) for _ in range(20)]
+    asked = spark.createDataFrame([(f"t{k}", f"p{k % 3}", s) for k, s in enumerate(said)] + [("again", "p0", said[0])], "task_id string, project_id string, task string")
+    words = {}
+    for r in tasks.top_keywords(asked).collect():
+        words.setdefault(r.task_id, []).append(r.word)
+    want = set()
+    for r in asked.collect():
+        scored = []
+        for p, path, symbols, imports in files:
+            text = " ".join([path, *symbols, *imports]).lower()
+            if p == r.project_id and (score := sum(2.0 * text.count(w) + 2.0 * (w in path.lower()) for w in words.get(r.task_id, []))):
+                scored.append((-score, path))
+        want |= {(r.task_id, k + 1, path, -s) for k, (s, path) in enumerate(sorted(scored)[:5])}
+    assert {(r.task_id, r["rank"], r.path, r.score) for r in index.relevant_files(asked, rows).collect()} == want
+
+
+def test_texts_as_json_and_as_source(spark):
+    texts = ["plain", "it's", 'say "x"', "both ' and \"", "a\\b\n\r\t\b\f\x00\x1f\x7f\x80\xa0\xad", "\u00e9 \u3000 \u200b \ufeff \u2028", "\U0001f600", "", "a\U000e0001b"]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", json_strings(F.array("t", "t")).alias("j"), quoted_strings(F.array("t", "t")).alias("q")).collect():
+        assert r.j == json.dumps([r.t, r.t]) and r.q == repr([r.t, r.t])
+
+
+def test_a_run_on_an_unknown_project_stops(spark):
+    now = F.lit("2025-01-01 00:00:00").cast("timestamp")
+    made = "'2024-12-01T00:00:00'"
+    memories = spark.sql(f"select 'm' as id, 'p' as project_id, 'We decided on the loader.' as content, 'task' as memory_type, 0.5D as importance_score, {made} as created_at, {made} as updated_at, {made} as accessed_at, 0 as access_count, '{{\"knowledge_type\":\"decision\"}}' as metadata, '' as source_hash")
+    asked = spark.createDataFrame([("a", "p", "fix the loader"), ("c", "none", "fix the loader")], "task_id string, project_id string, task string")
+    projects = spark.createDataFrame([("p", "Report tool")], "id string, name string")
+    scorer = relevance.layered_score(now)
+    packed = context.packages(asked, memories, scorer, "t", projects=projects)
+    row = packed.withColumn("sections", context.sectioned_text(packed)).collect()
+    assert [r.task_id for r in row] == ["a"]
+    assert row[0].state == json.dumps({"last_updated": "t", "active_issues": [], "recent_decisions": ["We decided on the loader."], "current_focus": ""})
+    assert "CURRENT STATE:\n- last_updated: t\n- active_issues: []\n- recent_decisions: ['We decided on the loader.']\n- current_focus: " in row[0].sections
+    done = context.runs(asked, memories, scorer, "t", projects)
+    log = {}
+    for r in context.action_log(done).orderBy("task_id", "step").collect():
+        log.setdefault(r.task_id, []).append((r.step, r.action, r.detail))
+    assert log["c"] == [(1, "Analyzing task", "type=troubleshooting, keywords=['loader']"), (2, "Project lookup", "project none not found \u2014 aborting")]
+    assert [a for _, a, _ in log["a"]] == ["Analyzing task", "Inspecting project", "Searching project knowledge", "Built optimized context", "Gap detected", "Gap detected", "Additional retrieval", "Updated memory", "Context ready"]
+    assert log["a"][1][2] == "Report tool" and log["a"][-1][2] == "context_id=" + row[0].context_id
+    summary = {r.task_id: r for r in context.run_summary(asked, memories, scorer, "t", projects).collect()}
+    assert summary["c"].gaps == "project not found" and summary["c"].learned is None and summary["c"].estimated_tokens == 0 and summary["a"].n_knowledge == 1
