@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import CONSTRAINTS, GAPS
 from ..functions.text import TokenCounter, estimated_tokens, json_string, json_strings, quoted_strings, stripped
+from ..sources.scratch import written
 from . import tasks as task_ops
 from .index import relevant_files
-from .relevance import Scorer, ranked
+from .relevance import Scorer, ranked, search_pool
 from .store import metadata_map, of_known_projects, project_memories, search
 
 
@@ -42,17 +43,17 @@ def constraints(text: Column, most: int = 5) -> Column:
 
 
 def packages(tasks: DataFrame, memories: DataFrame, scorer: Scorer, as_of: str, index: DataFrame | None = None, limit: int = 10, count_tokens: TokenCounter = estimated_tokens,
-             projects: DataFrame | None = None) -> DataFrame:
+             projects: DataFrame | None = None, prepared: DataFrame | None = None) -> DataFrame:
     """One row for each of tasks(task_id, project_id, task): its knowledge, decisions, state, memory, files, constraints, text and tokens.
 
     index: the projects' files, of which the most relevant ones go into a package. projects(id): the known ones; a task of
-    another gets no package. A task's parts are bounded by limit, and equal tasks of a project are worked out once.
+    another gets no package. prepared: relevance.search_pool of the memories, if there is one already. A task's parts are bounded by limit, and equal tasks of a project are worked out once.
     """
     if projects is not None:
         tasks = of_known_projects(tasks, projects)
     asked = tasks.select("project_id", "task").distinct().withColumn("task_id", F.to_json(F.struct("project_id", "task")))
     queries = asked.select(F.col("task_id").alias("query_id"), "project_id", F.col("task").alias("query"))
-    items = knowledge(ranked(memories, queries, scorer, limit))
+    items = knowledge(ranked(memories, queries, scorer, limit, prepared=prepared))
     item = F.struct("rank", "id", "knowledge_type", "content", "score", "reasons", F.col("importance_score").alias("importance"))
     known = items.groupBy(F.col("query_id").alias("task_id")).agg(F.array_sort(F.collect_list(item)).alias("knowledge"))
     general = search(memories, queries, 5).groupBy(F.col("query_id").alias("task_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "content"))).alias("memory"))
@@ -101,10 +102,10 @@ def learned_rows(tasks: DataFrame) -> DataFrame:
     return kept.select("project_id", F.concat(F.lit("Current focus: "), "task").alias("content"), F.lit("task").alias("memory_type"), F.lit(0.7).alias("importance_score"), metadata.alias("metadata"), F.col("task_id").alias("write_seq"))
 
 
-def extra_memories(tasks: DataFrame, memories: DataFrame, scorer: Scorer, known: DataFrame, limit: int = 3) -> DataFrame:
+def extra_memories(tasks: DataFrame, memories: DataFrame, scorer: Scorer, known: DataFrame, limit: int = 3, prepared: DataFrame | None = None) -> DataFrame:
     """(task_id, extra_rank, id): what a second pass by the tasks' keywords finds beside known(task_id, id)."""
     terms = task_ops.second_terms(tasks)
-    hits = ranked(memories, terms.select("query_id", "project_id", "query"), scorer, limit)
+    hits = ranked(memories, terms.select("query_id", "project_id", "query"), scorer, limit, prepared=prepared)
     return task_ops.second_pass(hits.select("query_id", "rank", "id").join(terms.select("query_id", "task_id", "term"), "query_id"), known, limit)
 
 
@@ -113,13 +114,14 @@ def runs(tasks: DataFrame, memories: DataFrame, scorer: Scorer, as_of: str, proj
 
     projects(id, name): a task of another project has neither name nor context, and one gap: project not found.
     """
-    packed = packages(tasks, memories, scorer, as_of, index, limit, projects=projects)
+    pool = search_pool(memories)
+    packed = written(packages(tasks, memories, scorer, as_of, index, limit, projects=projects, prepared=pool).select("task_id", "context_id", "knowledge", "n_knowledge", "estimated_tokens"), "packages")
     items = packed.select("task_id", F.explode("knowledge").alias("k")).select("task_id", "k.id", "k.knowledge_type")
     known = of_known_projects(tasks, projects)
     place = F.array_position(F.array(*[F.lit(m) for _, m, _ in GAPS]), F.col("gap"))
     missing = task_ops.gaps(known, items.select("task_id", "knowledge_type")).groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("k"), "gap"))).alias("g"))
     lacking = known.join(missing.select("task_id"), "task_id", "left_semi")
-    extra = extra_memories(lacking, memories, scorer, items.select("task_id", "id")).groupBy("task_id").agg(F.count("*").alias("n_extra"))
+    extra = extra_memories(lacking, memories, scorer, items.select("task_id", "id"), prepared=pool).groupBy("task_id").agg(F.count("*").alias("n_extra"))
     rows = task_ops.analysed(tasks).join(packed.select("task_id", "context_id", "n_knowledge", "estimated_tokens"), "task_id", "left").join(missing, "task_id", "left").join(extra, "task_id", "left")
     rows = rows.join(projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name")), "project_id", "left")
     found = F.coalesce(F.transform("g", lambda g: g["gap"]), F.array().cast("array<string>"))

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 
 def grams(text: Column, n: int) -> Column:
-    """The distinct groups of n letters in a text; none if it is shorter."""
-    places = F.sequence(F.lit(1), F.length(text) - n + 1)
-    return F.when(F.length(text) >= n, F.array_distinct(F.transform(places, lambda at: F.substring(text, at, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    """The distinct groups of n letters in a text, one at each place; none if it is shorter."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
 def postings(texts: DataFrame, n: int) -> DataFrame:

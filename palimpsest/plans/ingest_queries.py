@@ -9,9 +9,9 @@ from ..functions.classify import has_hint, is_chatter
 from ..functions.patterns import CATEGORIES, CHATTER, HINTS, REJECTED
 from ..operators import ingest, store
 from ..sources.memory_table import MemoryTable
+from ..sources.scratch import scratch_folder
 from ..streaming import accesses
 from ..streaming.memories import stream_memories
-from .scratch import scratch_folder
 from .seeds import ctes, seed, spark_seed
 
 

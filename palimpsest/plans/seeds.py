@@ -48,9 +48,9 @@ SEEDS = {
     || '","source_id":"c' || cast(conv_id as string) || '"}}}}' end as metadata,
   'h' || cast(turn as string) as source_hash from {{conversations}}""",
     "projects": "select distinct 'p' || cast(case when conv_id % 4 = 0 then conv_id % 10 else 0 end as string) as id, cast(conv_id % 2 as int) as parity from {conversations} where conv_id % 10 <> 8",
-    # a task for every second conversation
+    # a task for every second conversation, each with a word of its own
     "tasks": """select 't' || cast(conv_id as string) as task_id, 'p' || cast(case when conv_id % 4 = 0 then conv_id % 10 else 0 end as string) as project_id,
-  case cast(floor(conv_id / 2) as int) % 8 when 0 then 'fix the import bug in the loader' when 1 then 'Why was the second cache rejected?' when 2 then 'explain the architecture of the queue and workers'
+  't' || cast(conv_id as string) || ' ' || case cast(floor(conv_id / 2) as int) % 8 when 0 then 'fix the import bug in the loader' when 1 then 'Why was the second cache rejected?' when 2 then 'explain the architecture of the queue and workers'
   when 3 then 'implement the report export of each part' when 4 then 'review the old scheduler, which must be simple' when 5 then 'broken login page on small screens' when 6 then 'budget of two machines' else 'what is the complex decision about reports' end as task
   from {conversations} where turn = 0 and conv_id % 2 = 0""",
     "files": """select 'p' || cast(doc_id % 3 as string) as project_id,

@@ -1,4 +1,4 @@
-"""Folders for what a registered query writes on its way."""
+"""Folders for what a job writes on its way, and tables written there once to be read more often."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -23,3 +23,10 @@ def scratch_folder(spark: SparkSession, name: str) -> Iterator[str]:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         base = _own[0]
     yield f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet and read again: worked out once however often it is used, and lost executors lose nothing of it."""
+    with scratch_folder(df.sparkSession, name) as folder:
+        df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
