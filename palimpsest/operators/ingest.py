@@ -47,6 +47,20 @@ def conversation_stats(messages: DataFrame, count_tokens: TokenCounter = estimat
     )
 
 
+def message_sketches(messages: DataFrame, by: list[str], lg_k: int = 14) -> DataFrame:
+    """For each value of `by` (a day, a source): messages, and a sketch of their distinct normalized contents. Keep these rows; they add up."""
+    return messages.groupBy(*by).agg(F.count("*").alias("message_count"), F.hll_sketch_agg(content_key(F.col("content")), lg_k).alias("sketch"))
+
+
+def sketched_stats(sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Messages and about how many distinct ones of sketches put together, over all or for each value of `by`.
+
+    However the messages were split, the estimate is that of one sketch over all; its standard error is about 0.83 / sqrt(2 ** lg_k).
+    """
+    merged = sketches.groupBy(*(by or [])).agg(F.sum("message_count").alias("message_count"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_messages"))
+    return merged.withColumn("duplicate_messages", F.greatest(F.col("message_count") - F.col("distinct_messages"), F.lit(0)))
+
+
 def category_counts(memories: DataFrame) -> DataFrame:
     return memories.groupBy("conversation_id", "category").agg(F.count("*").alias("n"))
 

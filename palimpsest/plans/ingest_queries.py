@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import tokens
 from ..functions.classify import has_hint, is_chatter
 from ..functions.patterns import CATEGORIES, CHATTER, HINTS, REJECTED
 from ..operators import ingest, store
@@ -253,6 +256,26 @@ def memory_stream(spark, d):
         return table.read().select("id", "project_id", "memory_type", "importance_score", "updated_at", "source_hash")
 
 
+def corpus_stats(spark, d):
+    """Distinct messages of all conversations by sketches of each role, against one pass and the exact number."""
+    messages = _messages(spark, d)
+    merged = ingest.sketched_stats(ingest.message_sketches(messages, ["role"]))
+    whole = ingest.sketched_stats(ingest.message_sketches(messages, [])).select(F.col("distinct_messages").alias("once"))
+    exact = messages.agg(F.count_distinct(T.content_key(F.col("content"))).alias("exact"))
+    rows = merged.withColumn("k", F.lit(0)).join(whole.withColumn("k", F.lit(0)), "k").join(exact.withColumn("k", F.lit(0)), "k")  # a row each
+    near = F.abs(F.col("distinct_messages") - F.col("exact")) <= 1 + 4 * 0.83 / 2**7 * F.col("exact")
+    return rows.select("message_count", F.col("exact").alias("distinct_messages"), (F.col("distinct_messages") == F.col("once")).alias("merged_as_one"), near.alias("within_bound"))
+
+
+def model_token_stats(spark, d):
+    """conversation_stats by a model's tokens; the vocabulary is a public one of the same kind."""
+    import public_tokenizers
+
+    folder = os.environ.get("PALIMPSEST_TOKENIZERS", os.path.dirname(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    words = tokens.Vocabulary(os.path.join(folder, "byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return ingest.conversation_stats(_messages(spark, d), tokens.model_tokens("gpt-4o", {"cl100k_base": words}))
+
+
 def agent_history(spark, d):
     actions = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("agent_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("action_type"))
     return store.last_actions(actions, 3)
@@ -264,7 +287,7 @@ def projects_upsert(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (message_dedup, chatter_detection, message_classifier, memory_dedup, conversation_stats, category_counts, category_rollup, token_breakdown, compression_report, chat_token_total, content_hashes, token_reduction,
-           store_memories, project_check, memory_upsert, memory_update, memory_delete, mark_resolved, mark_stale, metadata_parse, memory_filter, memory_top, substring_search, memory_lookup, stale_cleanup, stale_cleanup_count, oversize_routing, access_tracking, access_stream, memory_stream, agent_history, projects_upsert)}
+           store_memories, project_check, memory_upsert, memory_update, memory_delete, mark_resolved, mark_stale, metadata_parse, memory_filter, memory_top, substring_search, memory_lookup, stale_cleanup, stale_cleanup_count, oversize_routing, access_tracking, access_stream, memory_stream, corpus_stats, model_token_stats, agent_history, projects_upsert)}
 
 _M = ctes("memories")
 _TOP = "row_number() over (partition by project_id order by importance_score desc, updated_at desc, id)"
@@ -308,6 +331,7 @@ SQL = {
     "stale_cleanup_count": _M + f" select project_id, count_if({_STALE})::bigint as removed, count(*) as n from memories group by 1",
     "oversize_routing": _M + " select project_id, length(content) <= 600 as accepted, count(*) as n from memories group by 1, 2",
     "access_tracking": _M + ", log as (select 'm' || (user_id % 500) || '-' || (event_id % 5) as id, count(*) as n, max(ts) as last from events group by 1) select id, (access_count + coalesce(n, 0))::int as access_count, greatest(accessed_at, last) as accessed_at, updated_at from memories left join log using (id)",
+    "corpus_stats": ctes("messages") + f" select count(*) as message_count, count(distinct {NORMAL.format('content')}) as distinct_messages, true as merged_as_one, true as within_bound from messages",
     "memory_stream": ROWS_SQL + f""", made as (select *, left(sha256(project_id || ':' || content), 16) as id, row_number() over (partition by project_id, content order by conversation_id desc, msg_index desc, class_order desc) as n from rows_)
   select id, project_id, memory_type, importance_score, {NOW_SQL} as updated_at, sha256(content) as source_hash from made where n = 1""",
     "agent_history": "select agent_id, seq, action_type from (select user_id as agent_id, event_id as seq, event_type as action_type, row_number() over (partition by user_id order by event_id desc) as n from events) where n <= 3",

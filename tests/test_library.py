@@ -1,11 +1,14 @@
 import json
+import os
 import random
 import time
 
 import pytest
 import regex
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import LessThanOrEqual
 
+from palimpsest.functions import tokens
 from palimpsest.functions.classify import findings, is_chatter
 from palimpsest.functions.patterns import CATEGORIES, REJECTED, STEMS, SYMBOLS
 from palimpsest.functions.text import json_strings, quoted_strings
@@ -299,3 +302,86 @@ def test_a_run_on_an_unknown_project_stops(spark):
     assert log["a"][1][2] == "Report tool" and log["a"][-1][2] == "context_id=" + row[0].context_id
     summary = {r.task_id: r for r in context.run_summary(asked, memories, scorer, "t", projects).collect()}
     assert summary["c"].gaps == "project not found" and summary["c"].learned is None and summary["c"].estimated_tokens == 0 and summary["a"].n_knowledge == 1
+
+
+def test_tree_source_does_not_enter_skipped_folders(spark, tmp_path):
+    from palimpsest.functions.patterns import MOST_BYTES
+
+    for path, text in {"a.py": b"def f(): pass", "src/b.ts": b"export const x = 1", "src/deep/c.md": b"# c", ".hidden/d.py": b"x", "node_modules/pkg/e.py": b"x", "src/node_modules/f.py": b"x", "g.exe": b"x", ".env.py": b"x", "big.py": b"x" * (MOST_BYTES + 1), "README.MD": b"hi \xff", "package.json": b"{}"}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(text)
+    os.mkfifo(tmp_path / "node_modules" / "pipe.py")  # opening it would never end
+    (tmp_path / "src" / "link").symlink_to(tmp_path / "node_modules" / "pkg")
+    want = {"a.py", "src/b.ts", "src/deep/c.md", "README.MD", "package.json"}
+    reader = tree.TreeReader({"path": str(tmp_path), "project_id": "p", "batch_bytes": "15"})
+    batches = reader.partitions()
+    assert {f[1] for b in batches for f in b.files} == want and len(batches) > 2  # nothing else is ever opened
+    rows = tree.read_tree(spark, f"file://{tmp_path}", "p").collect()
+    assert {(r.project_id, r.path) for r in rows} == {("p", w) for w in want} and {r.content for r in rows if r.path == "README.MD"} == {"hi \ufffd"}
+    assert {r.path for r in index.admitted(tree.read_tree(spark, str(tmp_path), "p")).collect()} == want
+    narrowed = tree.PushedTreeReader({"path": str(tmp_path)})
+    assert not list(narrowed.pushFilters([LessThanOrEqual(("size",), 5)])) and {f[1] for b in narrowed.partitions() for f in b.files} == {"src/deep/c.md", "README.MD", "package.json"}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        spark.dataSource.register(tree.TreeSource)
+        small = spark.read.format("source_tree").options(project_id="p", pushdown="true").load(str(tmp_path)).filter("size <= 5 and path like '%.md'")
+        assert [r.path for r in small.collect()] == ["src/deep/c.md"]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    (tmp_path / "none").mkdir()
+    assert tree.read_tree(spark, str(tmp_path / "none"), "p").count() == 0
+
+
+def test_model_tokens_equal_the_vocabulary(spark):
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens._ranks(path), special_tokens={})
+    rng = random.Random(8)
+    texts = ["", "Hello   World's don't", "\n\n  x", "\u00e9\u3042\U0001f600 12345", "a" * 3000, "ab" * 700, *["".join(rng.choice("aeist nlr.\u00e9E") for _ in range(rng.randint(1, 80))) for _ in range(300)]]
+    counter = tokens.model_tokens("a model of no renown", {"cl100k_base": tokens.Vocabulary(path, public_tokenizers.PATTERN)})
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", counter(F.col("t")).alias("n")).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        assert r.n == (None if r.t is None else len(encoding.encode_ordinary(r.t)))
+    with pytest.raises(KeyError):
+        tokens.model_tokens("gpt-4", {})
+
+
+def test_sketches_add_up(spark):
+    rows = spark.sql("select concat('c', id % 40) as conversation_id, cast(id as int) as msg_index, 'user' as role, concat('text ', id % 5000) as content, date_add(date '2025-01-01', cast(id % 7 as int)) as day from range(20000)")
+    days = ingest.message_sketches(rows, ["day"])
+    one, all_ = ingest.sketched_stats(days).collect()[0], ingest.sketched_stats(ingest.message_sketches(rows, [])).collect()[0]
+    assert one == all_ and one.message_count == 20000 and abs(one.distinct_messages - 5000) < 0.03 * 5000
+    assert ingest.sketched_stats(days, ["day"]).count() == 7
+
+
+def test_ranking_by_index_equals_all_pairs(spark):
+    """Every pair scored, words compared one by one, against the pairs that the indexes give."""
+    rng = random.Random(9)
+    words = ["cache", "caches", "importer", "import", "class", "classes", "queue", "log", "logs", "ok", "report", "reporting", "box", "boxes", "decision", "issue"]
+    kinds = ["decision", "open_issue", "resolved_issue", "stale_info", "", "permanent_knowledge"]
+    made = "timestamp '2025-01-01 00:00:00'"
+    contents = [(f"m{k}", f"p{k % 2}", " ".join(rng.choice(words) for _ in range(rng.randint(1, 6))), json.dumps({"knowledge_type": rng.choice(kinds)}), rng.randint(0, 10) / 10) for k in range(120)]
+    memories = spark.createDataFrame(contents, "id string, project_id string, content string, metadata string, importance_score double").selectExpr("id", "project_id", "content", "'t' as memory_type", "importance_score", *[f"{made} as {c}" for c in ("created_at", "updated_at", "accessed_at")], "0 as access_count", "metadata", "'' as source_hash")
+    said = ["fix the importers bug", "why reporting", "ok", "o", "og", "cache queue", "ache que", "decision about boxes", "", "the", "why was the class rejected", "xport", "reports of a log box"]
+    said += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(20)]
+    queries = spark.createDataFrame([(f"q{k}-{p}", p, s) for k, s in enumerate(said) for p in ("p0", "p1", "p9")], "query_id string, project_id string, query string")
+    scorer = relevance.layered_score(F.lit("2025-02-01 00:00:00").cast("timestamp"))
+    pool, asked = relevance.prepared_memories(memories, 40), relevance.prepared_queries(queries.select("project_id", "query").distinct())
+
+    def same(q, w):
+        one = {q, q[:-1]} | ({q[:-2]} if q.endswith("es") else set()) if q.endswith("s") and len(q) > 3 else {q, q + "s"}
+        return w in one or (len(q) >= 5 and len(w) >= 4 and (q in w or w in q))
+
+    every = pool.join(asked, "project_id")
+    overlaps = [(r.project_id, r.query, r.id, sorted(q for q in r.q_words if any(same(q, w) for w in r.words))) for r in every.select("project_id", "query", "id", "q_words", "words").collect()]
+    every = every.join(spark.createDataFrame(overlaps, "project_id string, query string, id string, overlap array<string>"), ["project_id", "query", "id"])
+    want = {}
+    for r in scorer(every).filter("score > 0.05").select("project_id", "query", "id", F.round("score", 4).alias("score"), "pool_rank", "reasons").collect():
+        want.setdefault((r.project_id, r.query), []).append((-r.score, r.pool_rank, r.id, tuple(r.reasons)))
+    want = {(p, q, k + 1, x[2], -x[0], x[3]) for (p, q), rows in want.items() for k, x in enumerate(sorted(rows)[:10])}
+    got = {(r.project_id, r.query, r["rank"], r.id, r.score, tuple(r.reasons)) for r in relevance.ranked(memories, queries, scorer, 10, 40).collect()}
+    assert got == want and any("exact phrase match" in x[5] for x in got)
+    assert relevance.likely_pairs(pool, asked).count() < every.count()
