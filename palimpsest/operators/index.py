@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.patterns import CONFIG_NAMES, CONFIG_SUFFIXES, EXPORT_LIST, EXPORTED, EXTENSIONS, IMPORTS, MOST_BYTES, MOST_FILES, SKIPPED_FOLDERS, SYMBOLS
 from ..functions.text import TokenCounter, estimated_tokens, let
+from ..sources.scratch import written
 from .grams import candidates, postings
 from .tasks import top_keywords
 
@@ -132,6 +133,17 @@ def applied(index: DataFrame, changes: DataFrame, files: DataFrame) -> DataFrame
     return kept.unionByName(indexed(files.join(touched, ["project_id", "path"], "left_semi")).select(*kept.columns))
 
 
+def refresh(index: DataFrame, files: DataFrame) -> DataFrame:
+    """The index brought up to admitted files: paths and hashes are compared first, and only touched files are indexed.
+
+    index is read twice: give a table. Hashes and changes are written, so files are gone through once for their hashes and once
+    for the touched ones.
+    """
+    hashes = files.select("project_id", "path", F.sha2("content", 256).alias("sha256"))
+    changes = written(diff(index.select("project_id", "path", "sha256"), written(hashes, "hashes")), "changes")
+    return applied(index, changes, files)
+
+
 def file_cards(index: DataFrame) -> DataFrame:
     """(project_id, path, content): a memory's text for each file."""
     names = F.transform(F.slice("symbols", 1, 8), lambda s: s["name"])
@@ -150,7 +162,7 @@ def relevant_files(tasks: DataFrame, index: DataFrame, limit: int = 5) -> DataFr
     distinct = tasks.select("project_id", "task").distinct().withColumn("task_id", F.to_json(F.struct("project_id", "task")))
     asked = top_keywords(distinct).join(distinct.select("task_id", "project_id"), "task_id").select("task_id", "project_id", "word")  # ten words a task at most
     text = F.lower(F.concat_ws(" ", "path", F.array_join(F.transform("symbols", lambda s: s["name"]), " "), F.array_join("imports", " ")))
-    files = index.select("project_id", F.col("path").alias("key"), text.alias("text"))
+    files = written(index.select("project_id", F.col("path").alias("key"), text.alias("text")), "file-words")  # names only, read twice
     words = asked.select("project_id", "word").distinct()
     met = candidates(words.select("project_id", F.col("word").alias("needle"), F.array("word").alias("parts")), postings(files, 4), 4)
     count = 2.0 * (F.length("text") - F.length(F.replace(F.col("text"), F.col("needle"), F.lit("")))) / F.length("needle")

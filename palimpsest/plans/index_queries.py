@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import CONFIG_NAMES, CONFIG_SUFFIXES, EXPORT_LIST, EXPORTED, EXTENSIONS, IMPORTS, SKIPPED_FOLDERS, SYMBOLS
 from ..operators import index
+from ..sources.scratch import written
 from .ingest_queries import TOKENS, quoted
 from .retrieval_queries import _PLAIN, _tasks
 from .seeds import ctes, seed
@@ -56,7 +57,7 @@ def index_diff(spark, d):
 
 
 def index_refresh(spark, d):
-    after = index.applied(_index(spark, d, "files_before"), index_diff(spark, d), _files(spark, d))
+    after = index.refresh(written(_index(spark, d, "files_before"), "index"), _files(spark, d))
     return after.select("project_id", "path", "sha256", "token_count", F.size("symbols").alias("n_symbols"))
 
 
