@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import KNOWLEDGE, WEIGHTY
 from ..operators import knowledge
-from ..sources import transcripts
+from ..sources import tables, transcripts
 from .ingest_queries import STRIP, _messages, quoted
 from .retrieval_queries import _any
 from .seeds import ctes
@@ -57,11 +57,25 @@ def tree_export_parse(spark, d):
     return transcripts.parse_tree(_raw_tree(spark, d))
 
 
-def raw_input_parse(spark, d):
+def _raw_any(spark, d):
     part = F.col("conversation_id").cast("int") % 3
     forms = (_raw_text, _raw_json, _raw_tree)
     rows = [f(spark, d).filter(part == k) for k, f in enumerate(forms)]
-    return transcripts.parse(rows[0].unionByName(rows[1]).unionByName(rows[2]))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def raw_input_parse(spark, d):
+    return transcripts.parse(_raw_any(spark, d))
+
+
+def lateral_turns(spark, d):
+    tables.register(spark)
+    return spark.sql("select r.conversation_id, t.* from {raw} r, lateral chat_turns(r.raw) t", raw=_raw_any(spark, d))
+
+
+def lateral_chunks(spark, d):
+    tables.register(spark)
+    return spark.sql("select d.doc_id, c.* from {docs} d, lateral text_chunks(d.text, 1000) c", docs=spark.read.parquet(f"{d}/documents.parquet"))
 
 
 #: Statements before and after a document's text, by its id.
@@ -74,7 +88,7 @@ def document_knowledge(spark, d):
     return knowledge.document_statements(docs).drop("importance")
 
 
-QUERIES = {f.__name__: f for f in (transcript_parse, json_export_parse, tree_export_parse, raw_input_parse, knowledge_extraction, document_knowledge, text_chunks)}
+QUERIES = {f.__name__: f for f in (transcript_parse, json_export_parse, tree_export_parse, raw_input_parse, lateral_turns, knowledge_extraction, document_knowledge, text_chunks, lateral_chunks)}
 _BASE = "case kind " + " ".join(f"when '{k}' then {w}::double" for k, w, _ in KNOWLEDGE) + " end"
 _K = " union all ".join(f"select source_title, '{k}' as kind, {STRIP.format('unnest(regexp_extract_all(text, ' + quoted(p) + ', 1))')} as content from src" for k, _, ps in KNOWLEDGE for p in ps)
 _PARSED = f"select cast(conv_id as string) as conversation_id, (row_number() over (partition by conv_id order by turn) - 1)::int as msg_index, role, {STRIP.format('text')} as content from conversations where {STRIP.format('text')} <> ''"
@@ -92,10 +106,11 @@ def chunks_sql(docs: str) -> str:
 _SAID = "(" + repr(SAID) + ")[(doc_id % 4 + 1)::int]"
 _STATED = " union all ".join(f"select doc_id, chunk, text, '{k}' as knowledge_type, '{k.title()}' as named, {STRIP.format('unnest(regexp_extract_all(text, ' + quoted(p) + ', 1))')} as content from chunks_" for k, _, ps in KNOWLEDGE for p in ps)
 SQL = {
-    **dict.fromkeys(("json_export_parse", "transcript_parse", "tree_export_parse", "raw_input_parse"), _PARSED),
+    **dict.fromkeys(("json_export_parse", "transcript_parse", "tree_export_parse", "raw_input_parse", "lateral_turns"), _PARSED),
     "knowledge_extraction": ctes("messages") + f""", src as (select conversation_id || '/' || msg_index as source_title, content as text from messages), k as ({_K}), b as (select *, {_BASE} as w from k where length(content) > 10), c as (select *, case when {_any('lower(content)', WEIGHTY)} then least(1.0, w + 0.1) else w end as w2 from b)
   select 'p' as project_id, source_title, kind as knowledge_type, content, greatest(0.1, least(1.0, case when length(content) < 20 then w2 * 0.8 else w2 end))::double as importance, left(sha256('p_' || source_title || '_' || content), 16) as id, """ + "case kind " + " ".join(f"when '{k}' then '{k.title()}'" for k, _, _ in KNOWLEDGE) + " end || ' from ' || source_title as title from c",
     "text_chunks": "with " + chunks_sql("select doc_id, coalesce(text, '') as text from documents") + " select doc_id, chunk::int as chunk, start::int as start, text from chunks_",
     "document_knowledge": "with " + chunks_sql(f"select doc_id, concat_ws(chr(10), {_SAID}, text, {_SAID}) as text from documents") + f""", k as ({_STATED}), t as (select *, 'doc ' || doc_id || ' - Chunk ' || (chunk + 1) as source_title from k where length(content) > 10)
   select doc_id, 'p' as project_id, chunk::int as chunk, source_title, sha256(text) as source_hash, case when length(text) > 200 then left(text, 200) || '...' else text end as source_chunk, knowledge_type, content, left(sha256('p_' || source_title || '_' || content), 16) as id, named || ' from ' || source_title as title from t""",
 }
+SQL["lateral_chunks"] = SQL["text_chunks"]

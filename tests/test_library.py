@@ -5,6 +5,7 @@ import time
 
 import pytest
 import regex
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import LessThanOrEqual
 
@@ -13,7 +14,7 @@ from palimpsest.functions.classify import findings, is_chatter
 from palimpsest.functions.patterns import CATEGORIES, REJECTED, STEMS, SYMBOLS
 from palimpsest.functions.text import json_strings, quoted_strings
 from palimpsest.operators import context, evaluate, grams, index, ingest, knowledge, relevance, store, tasks
-from palimpsest.sources import transcripts, tree
+from palimpsest.sources import tables, transcripts, tree
 from palimpsest.streaming import accesses
 from palimpsest.streaming import ingest as stream
 
@@ -385,3 +386,26 @@ def test_ranking_by_index_equals_all_pairs(spark):
     got = {(r.project_id, r.query, r["rank"], r.id, r.score, tuple(r.reasons)) for r in relevance.ranked(memories, queries, scorer, 10, 40).collect()}
     assert got == want and any("exact phrase match" in x[5] for x in got)
     assert relevance.likely_pairs(pool, asked).count() < every.count()
+
+
+RAW = [None, "", "  \n", "# T\n## User\nhello there\n\n# A section\n**Assistant**: sure\nAI: inline\nmore\n\nsystem:\n## ChatGPT\nkept", "no roles at all\nhere", "USER\n\nCursor:\r\nx\x0by\u2028z", "Human\uff1a hi\u3000", "not json {", "5", "[]", "{}", '"text"', "[1, null, {}]",
+       json.dumps({"turns": [{"author": "Human", "text": " hi "}, 5, {"role": "robot", "content": {"parts": ["a", None, "b"]}}, {"role": "ai", "message": ""}]}), json.dumps([{"role": "user", "content": "x"}, {"role": None, "content": 7}, {"role": "AI", "content": None, "text": "t"}]),
+       json.dumps({"messages": [], "chat": [{"role": "user", "content": "never"}]}), json.dumps({"messages": 3, "chat": [{"role": "user", "content": "said"}]}), json.dumps({"mapping": {}}),
+       json.dumps({"mapping": {"x": {"create_time": 2, "message": {"author": {"role": "assistant"}, "content": {"parts": ["late"]}}}, "y": {"create_time": 1, "message": {"author": {"role": "user"}, "content": {"parts": ["early", "b"]}}}, "z": {"message": None}, "t": {"message": {"author": {"role": "tool"}, "content": {"parts": ["no"]}}}}})]
+
+
+def test_table_functions_equal_the_parsers(spark):
+    raw = spark.createDataFrame([(f"c{k}", r) for k, r in enumerate(RAW)], "conversation_id string, raw string")
+    tables.register(spark)
+    pairs = {"chat_turns": transcripts.parse, "transcript_turns": transcripts.parse_text, "json_turns": transcripts.parse_json, "tree_turns": transcripts.parse_tree}
+    for name, parser in pairs.items():
+        got = spark.sql(f"select r.conversation_id, t.* from {{raw}} r, lateral {name}(r.raw) t", raw=raw)
+        want = {(r.conversation_id, r.msg_index, r.role, r.content) for r in parser(raw).collect()}
+        assert {tuple(r) for r in got.collect()} == want and want, name
+    texts = ["", "a" * 1000, "b. " * 650, "c" * 5000, None]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
+    got = spark.sql("select d.doc_id, c.* from {docs} d, lateral text_chunks(d.text, 300) c", docs=docs)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in knowledge.chunks(docs, 300).collect()}
+    for wrong in ("chat_turns(5)", "text_chunks('x', 50)", "text_chunks('x', 'y')"):
+        with pytest.raises(AnalysisException):
+            spark.sql(f"select * from {wrong}").collect()
