@@ -251,7 +251,7 @@ def memory_stream(spark, d):
     messages = spark_seed(spark, "messages", conversations=given).withColumns({"project_id": F.concat(F.lit("p"), (number % 10).cast("string")), "ts": F.timestamp_seconds(1_750_000_000 + number * 2000 + F.col("msg_index"))})
     with scratch_folder(spark, "memories") as folder:
         name = "memories_" + folder.rpartition("-")[2]
-        table = MemoryTable(spark, name, f"{folder}/table", 8)
+        table = MemoryTable(spark, name, f"{folder}/table", 2, 4)
         stream_memories(messages, table, f"{folder}/check", now(), "0 seconds").awaitTermination()
         return table.read().select("id", "project_id", "memory_type", "importance_score", "updated_at", "source_hash")
 

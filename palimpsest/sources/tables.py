@@ -21,9 +21,9 @@ from ..operators.knowledge import chunk_bounds
 from .transcripts import _INLINE, _KEYS, _MARKER, _ROLE_TITLE, _TITLE
 
 #: White space as Unicode names it, and what ends a line.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ENDS = re.compile(f"^[{_SPACE}]+|[{_SPACE}]+$")
-_LINE = re.compile("\r\n|[\n-\r\x85  ]")
+_LINE = re.compile("\r\n|[\n-\r\x85\u2028\u2029]")
 _KINDS = {name: re.compile(p, re.ASCII) for name, p in (("marker", _MARKER), ("inline", _INLINE), ("title", _TITLE), ("role_title", _ROLE_TITLE))}
 TURNS = StructType().add("msg_index", IntegerType()).add("role", StringType()).add("content", StringType())
 CHUNKS = StructType().add("chunk", IntegerType()).add("start", IntegerType()).add("text", StringType())

@@ -22,7 +22,7 @@ SAID = ["We decided to keep plan {} for now.", "there is a bug in part {} of it"
 
 @pytest.fixture
 def table(spark, tmp_path, request):
-    made = MemoryTable(spark, f"memories_{abs(hash(request.node.name))}", str(tmp_path / "memories"), 4)
+    made = MemoryTable(spark, f"memories_{abs(hash(request.node.name))}", str(tmp_path / "memories"), 2, 4)
     yield made
     spark.sql(f"drop table {made.name}")
 
@@ -132,6 +132,11 @@ def test_upsert_shuffles_the_change_only(spark, tmp_path, table, monkeypatch):
     for name in "ac":
         assert {p: t for p, t in files.items() if f"project_id={name}" in str(p)} == {p: t for p, t in after.items() if f"project_id={name}" in str(p)}
     assert table.read().count() == 150
+    before, one = after, rows(["a"]).limit(1)
+    table.merge(one, now())
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "memories").rglob("*.parquet")}
+    swapped = {p.parent for p in set(before.items()) ^ set(after.items()) for p in [p[0]]}
+    assert {p.parent.name for p in swapped} == {"project_id=a"} and len(swapped) == 1  # one of the project's four parts
 
 
 def test_access_deltas_are_bounded(spark, tmp_path):
