@@ -5,8 +5,9 @@ For the fuzzy search each notice is split into one part more than the errors it
 pigeonhole principle one part is then intact. One automaton finds all parts of all notices, the
 regex library checks the place for the notice with at most its errors, and the match is reported
 as a span of the given text in code points. The words that tell a licence from others are set in
-capitals in the table: a match must hold each of them, without an error in up to five letters and with
-one at most in longer ones. Matches start and end with words.
+capitals in the table: a match must hold each of them, without an error in up to four letters and with
+one at most in longer ones; two neighbours exchanged are allowed in both, unless that makes another licence's
+word. Matches start and end with words.
 
 Null and empty texts have no words, null places, empty label lists and score 0. Repeated rows are
 scanned one by one and give equal rows. Where matches of a notice overlap, the one with the fewest edits
@@ -31,8 +32,21 @@ from .common import field, map_columns, text_blocks
 #: The phrases of the base and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Short notices, in words, and the label each one gives; capitals mark the words that tell licences apart.
+#: Short notices, in words, and the label each one gives, which may stand for a family of licences; capitals
+#: mark the words that tell licences apart.
 NOTICES = {
+    "under the MIT license": "mit",
+    "APACHE license version 2": "apache-2",
+    "APACHE license 2": "apache-2",
+    "licensed under APACHE 2": "apache-2",
+    "spdx license identifier MIT": "mit",
+    "spdx license identifier APACHE 2": "apache-2",
+    "spdx license identifier BSD": "bsd",
+    "spdx license identifier GPL": "gpl",
+    "spdx license identifier LGPL": "lgpl",
+    "spdx license identifier AGPL": "agpl",
+    "spdx license identifier MPL": "mpl",
+    "spdx license identifier ISC": "isc",
     "licensed under the MIT license": "mit",
     "released under the MIT license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
@@ -41,9 +55,9 @@ NOTICES = {
     "redistribution and use in source and binary forms with or without modification": "bsd",
     "licensed under the BSD license": "bsd",
     "released under the BSD license": "bsd",
-    "GNU GENERAL public license": "gpl",
-    "GNU LESSER general public license": "lgpl",
-    "GNU AFFERO general public license": "agpl",
+    "gnu GENERAL public license": "gpl",
+    "gnu LESSER general public license": "lgpl",
+    "gnu AFFERO general public license": "agpl",
     "MOZILLA public license": "mpl",
     "ECLIPSE public license": "epl",
     "BOOST SOFTWARE license": "bsl",
@@ -64,8 +78,8 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def errors_allowed(notice: str) -> int:
-    """One edit for every ten letters, one at least."""
-    return max(1, len(notice) // 10)
+    """One edit for every ten letters, two at least: as many as two exchanged letters count for."""
+    return max(2, len(notice) // 10)
 
 
 def parts(notice: str, errors: int) -> list[tuple[int, str]]:
@@ -76,21 +90,35 @@ def parts(notice: str, errors: int) -> list[tuple[int, str]]:
 
 @dataclass
 class Notice:
-    """A notice as it is searched: its letters, label, errors, pattern, words that must be intact, and those that may have one error."""
+    """A notice as it is searched: its letters, label, errors, pattern, short words with their exchanged forms, and long ones that may have one error."""
 
     text: str
     label: str
     errors: int
     pattern: regex.Pattern
-    intact: list[str]
+    intact: list[list[str]]
     near: list[regex.Pattern]
 
 
+#: Words that name licences; none of them is another one with letters exchanged.
+NAMES = {w.lower() for notice in NOTICES for w in notice.split() if w.isupper()}
+
+
+def exchanged(word: str) -> list[str]:
+    """The word with two neighbouring letters exchanged, but for what names a licence itself."""
+    return sorted({word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)} - NAMES)
+
+
 def notice_of(marked: str, label: str) -> Notice:
     text, keys = marked.lower(), [w.lower() for w in marked.split() if w.isupper()] + [w for w in marked.split() if w.isdigit()]
     errors = errors_allowed(text)
     pattern = regex.compile(rf"(?b)(?<= )(?:{regex.escape(text, literal_spaces=True)}){{e<={errors}}}(?= )")
-    return Notice(text, label, errors, pattern, [f" {k} " for k in keys if len(k) <= 5], [regex.compile(rf"(?<= )(?:{k}){{e<=1}}(?= )") for k in keys if len(k) > 5])
+    short = [[f" {form} " for form in (k, *exchanged(k))] for k in keys if len(k) <= 4]
+    return Notice(text, label, errors, pattern, short, [regex.compile(rf"(?<= )(?:(?:{k}){{e<=1}}|{'|'.join(exchanged(k))})(?= )") for k in keys if len(k) > 4])
+
+
+def holds(words: str, forms: list[str], low: int = 0, high: int | None = None) -> bool:
+    return any(words.find(form, low, high) >= 0 for form in forms)
 
 
 @functools.cache
@@ -123,9 +151,9 @@ def fuzzy_matches(padded: str) -> list[tuple[int, int, str, int, float]]:
             windows.add((n, start))
             notice = notices[n]
             low, high = max(1, start - notice.errors), min(len(padded), start + len(notice.text) + notice.errors + 1)
-            if all(padded.find(k, low - 1, high) >= 0 for k in notice.intact) and (m := notice.pattern.search(padded, low, high)):
+            if all(holds(padded, k, low - 1, high) for k in notice.intact) and (m := notice.pattern.search(padded, low, high)):
                 words = padded[m.start() - 1 : m.end() + 1]
-                if all(k in words for k in notice.intact) and all(k.search(words) for k in notice.near):
+                if all(holds(words, k) for k in notice.intact) and all(k.search(words) for k in notice.near):
                     best.setdefault(n, []).append((sum(m.fuzzy_counts), m.start(), m.end()))
         if len(windows) > 10_000:  # places come by their ends, so those far behind are not met again
             windows = {(n, s) for n, s in windows if s > end - 200}
