@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -33,6 +34,51 @@ def test_base_spans(spark):
     assert secrets.redact(df).filter("text is null").count() == 1
 
 
+def test_many_spans_in_one_text(spark):
+    """Places stay right, and twice the spans take about twice the time."""
+    import time
+
+    one = "é token = abcdefghijkl0 "
+    taken = []
+    for n in (4000, 8000, 64000):
+        df = spark.createDataFrame([(1, one * n)], "doc_id long, text string").select(secrets.base_spans(secrets.F.col("text")).alias("base"))
+        start = time.time()
+        got = df.collect()[0].base
+        taken.append(time.time() - start)
+        assert len(got) == n and [tuple(s) for s in got[-3:]] == brute(one * n)[-3:]
+    assert taken[2] < 60
+
+
+def test_battery_against_its_definition(spark):
+    """The three tests and their sum, worked out plainly."""
+    rnd = random.Random(6)
+    words = [("base62", "".join(rnd.choices(secrets.ALPHABETS["base62"], k=rnd.choice([20, 33, 64])))) for _ in range(30)]
+    words += [("hex", "0123456789abcdef" * 2), ("hex", "deadbeef" * 4), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")]
+
+    def tail(z):
+        x = min(max(z, -8.0), 8.0)
+        return max(1 / (1 + math.exp(1.5976 * x + 0.070565992 * x**3)), 1e-12)
+
+    for name, alphabet in secrets.ALPHABETS.items():
+        own = [w for a, w in words if a == name]
+        if not own:
+            continue
+        df = spark.createDataFrame([(i, w) for i, w in enumerate(own)], "i int, w string")
+        got = {r.i: r.f for r in df.select("i", secrets.fisher_sum(secrets.F.col("w"), alphabet).alias("f")).collect()}
+        for i, w in enumerate(own):
+            k, n, x = len(alphabet), len(w), [alphabet.index(c) + 1 for c in w]
+            chi = sum((w.count(c) - n / k) ** 2 / (n / k) for c in alphabet)
+            cube = ((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+            high = [v > k // 2 for v in x]
+            ones, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+            both = 2 * ones * (n - ones)
+            p_runs = 1e-12 if both == 0 else min(1.0, 2 * tail(abs(runs - both / n - 1) / math.sqrt(max(both * (both - n) / (n * n * (n - 1)), 1e-9))))
+            mean = sum(x) / n
+            r = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / sum((a - mean) ** 2 for a in x)
+            p_serial = min(1.0, 2 * tail(abs(r + 1 / n) * math.sqrt(n)))
+            assert got[i] == pytest.approx(-2 * math.log(tail(cube) * p_runs * p_serial), rel=1e-6), w
+
+
 def test_base_on_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
