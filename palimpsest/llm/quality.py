@@ -53,8 +53,9 @@ def features(text: bytes, bits: int) -> np.ndarray:
         kept = lengths > 0
         if kept.any():
             a, b = blank[:-1][kept], blank[1:][kept] - 1
-            # a word's hash is a sum over its letters, whatever their order
-            total = np.concatenate([np.zeros(1, "uint64"), np.cumsum(_letter_mix(part), dtype="uint64")])
+            # a word's hash adds up a number for each letter and its place in the word
+            place = np.arange(len(part)) - np.repeat(blank[:-1], np.diff(blank))[: len(part)]
+            total = np.concatenate([np.zeros(1, "uint64"), np.cumsum(_letter_mix(part, place), dtype="uint64")])
             word = (total[b] - total[a]) * np.uint64(0x9E3779B97F4A7C15) + lengths[kept].astype("uint64")
             counts[0] += 4 * len(part) * np.mean(word[1:] == word[:-1]) if len(word) > 1 else 0
             counts[half:] += np.bincount((word >> np.uint64(65 - bits)).astype("int64"), minlength=half)
@@ -64,8 +65,9 @@ def features(text: bytes, bits: int) -> np.ndarray:
     return counts
 
 
-def _letter_mix(part: np.ndarray) -> np.ndarray:
-    x = part.astype("uint64") * np.uint64(0xBF58476D1CE4E5B9)
+def _letter_mix(part: np.ndarray, place: np.ndarray) -> np.ndarray:
+    x = (part.astype("uint64") + (place.astype("uint64") << np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
     return x ^ x >> np.uint64(31)
 
 
