@@ -23,7 +23,8 @@ with the hub needs fewer entries than one that is not, since a partner must lie
 Buckets are joined and grouped by keys alone: no bucket, class or component is ever collected in one
 place. Under such an entry's key the join still compares m members' parity bits with one another, m * m
 comparisons of eight numbers (of which no more can differ than shingles do); few pairs that are no link come
-out of it. Spark splits a key that holds many rows among tasks (adaptive skew joins).
+out of it. A key of many members is split in parts of some thousands, each of which meets all members of the
+key in a join of its own, so no task compares more than a part with a key.
 
 Null and empty texts have no shingles and link with nothing; a null id is its own component or that
 of an equal text. Rows are taken one by one: repeated rows share a class, and so do equal sets of different
@@ -61,19 +62,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-@functools.cache
-def powers() -> tuple[np.ndarray, np.ndarray]:
-    """P ** i and P ** -i modulo 2 ** 64, for the places of a block."""
-    inverse = np.uint64(pow(int(_P), -1, 2**64))
-    return tuple(np.concatenate([np.ones(1, "uint64"), np.multiply.accumulate(np.full(BLOCK, b, "uint64"))]) for b in (_P, inverse))
-
-
 def word_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash of each word, in order; words are parted by ASCII white space.
 
-    The text is read in blocks of a fixed size, and a word that goes on in the next one is put together from its parts.
+    A word's hash adds up a mixed number for each of its bytes and the place where it stands; no sum over
+    powers of one number, which words of like structure can make equal. The text is read in blocks of a
+    fixed size, and a word that goes on in the next one is put together from its parts.
     """
-    power, inverse = powers()
     out, held, held_length = [], 0, 0
     for at in range(0, len(text), BLOCK):
         data = np.frombuffer(text[at : at + BLOCK].lower(), "uint8")
@@ -81,11 +76,16 @@ def word_hashes(text: bytes) -> np.ndarray:
         start, stop = edge[:-1], edge[1:] - 1
         kept = stop > start
         start, stop = start[kept], stop[kept]
-        sums = np.concatenate([np.zeros(1, "uint64"), np.cumsum(_BYTE[data] * power[: len(data)], dtype="uint64")])
-        raw, length = (sums[stop] - sums[start]) * inverse[start], (stop - start).astype("uint64")
+        place = np.arange(len(data), dtype="uint64")
+        place -= np.repeat(np.concatenate([np.zeros(1, "uint64"), start.astype("uint64")]), np.diff(np.concatenate([[0], start, [len(data)]])))
+        goes_on = bool(held_length) and len(start) > 0 and start[0] == 0
+        if goes_on:
+            place[: stop[0]] += np.uint64(held_length)
+        sums = np.concatenate([np.zeros(1, "uint64"), np.cumsum(mixed(_BYTE[data] + place * _P), dtype="uint64")])
+        raw, length = sums[stop] - sums[start], (stop - start).astype("uint64")
         if held_length:
-            if len(start) and start[0] == 0:
-                raw[0] = (held + int(raw[0]) * pow(int(_P), held_length, 2**64)) % 2**64
+            if goes_on:
+                raw[0] = (int(raw[0]) + held) % 2**64
                 length[0] += np.uint64(held_length)
             else:
                 out.append(mixed(np.array([(held + held_length) % 2**64], "uint64")))
@@ -308,8 +308,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text)."""
+def near_duplicates(docs: DataFrame, percent: int = 85, part: int = 4096) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs(doc_id, text).
+
+    part: members of a hot key that meet all others of the key in one go.
+    """
     scratch: list[DataFrame] = []
 
     def kept_for_now(df: DataFrame, name: str) -> DataFrame:
@@ -339,13 +342,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     members = kept_for_now(members, "members")
     several = members.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("n_low"), F.max("n").alias("n_high")).filter("low < high").drop("low", "high")
     entries = kept_for_now(prefixes(members.join(several, "hub"), sets, percent), "entries")
-    several = entries.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    left = entries.join(several, "key")
-    right = left.filter("role < 2").select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"), F.col("role").alias("role2"), *[F.col(f"odd{i}").alias(f"other{i}") for i in range(WORDS)])
+    several = entries.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / part).cast("long").alias("parts")).filter("low < high").select("key", "parts")
+    met = entries.join(several, "key")
+    left = met.filter("role <> 1").withColumn("part", F.pmod(F.xxhash64("node", "role"), F.col("parts"))).drop("parts")
+    right = met.filter("role < 2").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
+    right = right.select("key", "part", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"), F.col("role").alias("role2"), *[F.col(f"odd{i}").alias(f"other{i}") for i in range(WORDS)])
     differ = sum((F.bit_count(F.col(f"odd{i}").bitwiseXOR(F.col(f"other{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("odd0").bitwiseXOR(F.col("other0"))))
     near = differ * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)  # else they differ by more than a link allows
     meet = ((F.col("role") == 0) & (F.col("label") < F.col("label2"))) | ((F.col("role") == 2) & (F.col("role2") == 1) & (F.col("label") != F.col("label2")))
-    across = left.filter("role <> 1").join(right, "key").filter(meet & alike & near)
+    across = left.join(right, ["key", "part"]).filter(meet & alike & near)
     across = kept_for_now(across.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "across")
     more = kept_for_now(checked(likely(across, reps), sets, percent), "links")
 

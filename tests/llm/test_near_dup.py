@@ -143,3 +143,26 @@ def test_estimate_keeps_links_of_all_sizes():
         tried += 1
         kept += near_dup.estimate(near_dup.registers(a).tobytes(), near_dup.registers(b).tobytes(), len(a), len(b)) >= near_dup.LEAST_ESTIMATE
     assert tried == 660 and kept == tried
+
+
+def test_words_of_one_structure_have_their_own_hashes():
+    """Sums over powers of one number modulo 2 ** 64 are equal for these two, whatever the number."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    assert len(a) == 1024 and near_dup.word_hashes(a.encode()) != near_dup.word_hashes(b.encode())
+    assert len(set(near_dup.word_hashes(b"ab ba aab aba baa a b").tolist())) == 7
+
+
+def test_split_keys_give_the_same_links(spark):
+    rows = made(5, 12)
+    base = [f"w{i}" for i in range(60)]
+    rnd = random.Random(9)
+    for i in range(60):  # copies about the threshold, so that components meet under the hubs' entries
+        copy = list(base)
+        for k in rnd.sample(range(60), rnd.randrange(0, 3)):
+            copy[k] = f"v{rnd.randrange(6)}"
+        rows.append((5000 + i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, part=3).collect()}
+    assert got == brute(rows)
