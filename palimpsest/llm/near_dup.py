@@ -24,7 +24,7 @@ Buckets are joined and grouped by keys alone: no bucket, class or component is e
 place. Under such an entry's key the join still compares m members' parity bits with one another, m * m
 comparisons of eight numbers (of which no more can differ than shingles do); few pairs that are no link come
 out of it. A key of many members is split in parts of some thousands, each of which meets all members of the
-key in a join of its own, so no task compares more than a part with a key.
+key in a join of its own, so no task compares more than a part with a key; other keys are joined where they lie.
 
 Null and empty texts have no shingles and link with nothing; a null id is its own component or that
 of an equal text. Rows are taken one by one: repeated rows share a class, and so do equal sets of different
@@ -39,6 +39,7 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,9 +51,7 @@ BLOCK = 1 << 18
 LEAST_ESTIMATE = 0.65
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_BYTE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BLANKS = b" \t\n\r\v\f"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -63,39 +62,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, in order; words are parted by ASCII white space.
+    """A 64-bit hash (XXH3) of each word, in order; words are parted by ASCII white space.
 
-    A word's hash adds up a mixed number for each of its bytes and the place where it stands; no sum over
-    powers of one number, which words of like structure can make equal. The text is read in blocks of a
-    fixed size, and a word that goes on in the next one is put together from its parts.
+    The text is read in blocks of a fixed size, and a word that goes on in the next one is hashed on from where it was cut.
     """
-    out, held, held_length = [], 0, 0
+    out, held = [], None
     for at in range(0, len(text), BLOCK):
-        data = np.frombuffer(text[at : at + BLOCK].lower(), "uint8")
-        edge = np.flatnonzero(np.concatenate([[True], _BLANK[data], [True]]))
-        start, stop = edge[:-1], edge[1:] - 1
-        kept = stop > start
-        start, stop = start[kept], stop[kept]
-        place = np.arange(len(data), dtype="uint64")
-        place -= np.repeat(np.concatenate([np.zeros(1, "uint64"), start.astype("uint64")]), np.diff(np.concatenate([[0], start, [len(data)]])))
-        goes_on = bool(held_length) and len(start) > 0 and start[0] == 0
-        if goes_on:
-            place[: stop[0]] += np.uint64(held_length)
-        sums = np.concatenate([np.zeros(1, "uint64"), np.cumsum(mixed(_BYTE[data] + place * _P), dtype="uint64")])
-        raw, length = sums[stop] - sums[start], (stop - start).astype("uint64")
-        if held_length:
-            if goes_on:
-                raw[0] = (int(raw[0]) + held) % 2**64
-                length[0] += np.uint64(held_length)
-            else:
-                out.append(mixed(np.array([(held + held_length) % 2**64], "uint64")))
-            held_length = 0
-        if at + BLOCK < len(text) and len(stop) and stop[-1] == len(data):
-            held, held_length = int(raw[-1]), int(length[-1])
-            raw, length = raw[:-1], length[:-1]
-        out.append(mixed(raw + length))
-    if held_length:
-        out.append(mixed(np.array([(held + held_length) % 2**64], "uint64")))
+        block = text[at : at + BLOCK].lower()
+        words = block.split()
+        if held is not None:
+            if words and block[0] not in _BLANKS:
+                held.update(words.pop(0))
+            if words or block[-1] in _BLANKS:
+                out.append(np.array([held.intdigest()], "uint64"))
+                held = None
+        if words and at + BLOCK < len(text) and block[-1] not in _BLANKS:
+            held = xxhash.xxh3_64(words.pop())
+        out.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), "uint64", len(words)))
+    if held is not None:
+        out.append(np.array([held.intdigest()], "uint64"))
     return np.concatenate(out) if out else np.zeros(0, "uint64")
 
 
@@ -107,8 +92,11 @@ def shingles(text: bytes, words: int = 5) -> np.ndarray:
         return w
     h = np.full(len(w) - n + 1, n, "uint64")
     for k in range(n):
-        h = h * _Q + w[k : len(w) - n + 1 + k]
-    return np.unique(mixed(h))
+        h *= _Q
+        h += w[k : len(w) - n + 1 + k]
+    h = mixed(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 @functools.cache
@@ -130,9 +118,15 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     have[bucket[first]] = True
     out[bucket[first]] = (zeros << np.uint64(MANTISSA) | bits).astype("uint16")
     if len(first) < BUCKETS:
-        empty = np.flatnonzero(~have)
-        order = fill_order()[empty]
-        out[empty] = out[order[np.arange(len(empty)), have[order].argmax(axis=1)]]
+        empty, order = np.flatnonzero(~have), fill_order()
+        for at in range(1, BUCKETS, 16):  # most find one early in their order
+            tried = order[empty, at : at + 16]
+            full = have[tried]
+            found, place = full.any(axis=1), full.argmax(axis=1)
+            out[empty[found]] = out[tried[found, place[found]]]
+            empty = empty[~found]
+            if not len(empty):
+                break
     return out
 
 
@@ -343,15 +337,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, part: int = 4096) -> Dat
     several = members.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("n_low"), F.max("n").alias("n_high")).filter("low < high").drop("low", "high")
     entries = kept_for_now(prefixes(members.join(several, "hub"), sets, percent), "entries")
     several = entries.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / part).cast("long").alias("parts")).filter("low < high").select("key", "parts")
-    met = entries.join(several, "key")
-    left = met.filter("role <> 1").withColumn("part", F.pmod(F.xxhash64("node", "role"), F.col("parts"))).drop("parts")
-    right = met.filter("role < 2").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
-    right = right.select("key", "part", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"), F.col("role").alias("role2"), *[F.col(f"odd{i}").alias(f"other{i}") for i in range(WORDS)])
-    differ = sum((F.bit_count(F.col(f"odd{i}").bitwiseXOR(F.col(f"other{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("odd0").bitwiseXOR(F.col("other0"))))
-    near = differ * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)  # else they differ by more than a link allows
-    meet = ((F.col("role") == 0) & (F.col("label") < F.col("label2"))) | ((F.col("role") == 2) & (F.col("role2") == 1) & (F.col("label") != F.col("label2")))
-    across = left.join(right, ["key", "part"]).filter(meet & alike & near)
-    across = kept_for_now(across.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "across")
+    several = kept_for_now(several, "several")
+    # most keys meet as they lie; a hot one's members are dealt to its parts, each of which gets the whole key
+    cold = entries.join(several.filter("parts = 1"), "key").drop("parts")
+    hot = entries.join(several.filter("parts > 1"), "key")
+    dealt = hot.filter("role <> 1").withColumn("part", F.pmod(F.xxhash64("node", "role"), F.col("parts"))).drop("parts")
+    whole = hot.withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).drop("parts")
+
+    def across_of(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        right = right.filter("role < 2").select(*on, F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"), F.col("role").alias("role2"), *[F.col(f"odd{i}").alias(f"other{i}") for i in range(WORDS)])
+        differ = sum((F.bit_count(F.col(f"odd{i}").bitwiseXOR(F.col(f"other{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("odd0").bitwiseXOR(F.col("other0"))))
+        near = differ * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)  # else they differ by more than a link allows
+        meet = ((F.col("role") == 0) & (F.col("label") < F.col("label2"))) | ((F.col("role") == 2) & (F.col("role2") == 1) & (F.col("label") != F.col("label2")))
+        found = left.join(right, on).filter(meet & alike & near)
+        return found.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+
+    across = across_of(cold.filter("role <> 1"), cold, ["key"]).unionByName(across_of(dealt, whole, ["key", "part"]))
+    across = kept_for_now(across.distinct(), "across")
     more = kept_for_now(checked(likely(across, reps), sets, percent), "links")
 
     labels = components(links.unionByName(more))
