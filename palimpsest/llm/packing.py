@@ -44,7 +44,7 @@ def chunk_encoder(path: str) -> BoundedCache:
 
     The vocabulary's pattern never joins across white space and its normalizer composes nothing
     across it, so a text's ids are its runs' ids in order. A plain run's words go to the library's
-    model one by one, as most of them occur in other runs too.
+    model one by one, as most of them occur in other runs too; runs and words share one cache, since most runs are a word.
     """
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,22 +54,25 @@ def chunk_encoder(path: str) -> BoundedCache:
         tokenizer.no_truncation()
         tokenizer.no_padding()
         symbols = byte_symbols()
-        model = tokenizer.model
+        tokenize = tokenizer.model.tokenize
         id_bytes = [i.to_bytes(4, "little") for i in range(1 + max(tokenizer.get_vocab().values()))]
 
         def word_ids(word: str) -> bytes:
             mapped = word if word.isascii() else "".join(symbols[b] for b in word.encode())
-            return b"".join([id_bytes[t.id] for t in model.tokenize(mapped)])
-
-        words = BoundedCache(word_ids, 40 << 20)
+            return b"".join([id_bytes[t.id] for t in tokenize(mapped)])
 
         def encode(chunk: bytes) -> bytes:
+            if chunk.isalpha():  # of a-z and A-Z alone: one word
+                return b"".join([id_bytes[t.id] for t in tokenize(chunk.lower().decode())])
+            if chunk[:-1].isalpha() and b"!" <= chunk[-1:] <= b"~":  # a word and a digit or sign after it
+                return cache[chunk[:-1]] + cache[chunk[-1:]]
             text = chunk.decode()
             if "<|" not in text and _PLAIN.fullmatch(text):
-                return b"".join(map(words.__getitem__, _CUT.findall(text.lower())))
+                words = _CUT.findall(text.lower())
+                return word_ids(words[0]) if len(words) == 1 else b"".join([cache[w.encode()] for w in words])
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-        _encoders[path] = BoundedCache(encode, 40 << 20)
+        cache = _encoders[path] = BoundedCache(encode, 80 << 20)
     return _encoders[path]
 
 
