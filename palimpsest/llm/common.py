@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import pickle
 import re
 import tempfile
 import uuid
@@ -168,6 +169,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, m
     return written(kept.filter((F.col("so_far") <= most_bytes) | (F.col("rank") == 1)).drop("so_far", "rank"), "sample")
 
 
+def learned(rows: DataFrame, train: Callable[[pa.Table], object]) -> object:
+    """What train makes of rows, a bounded sample, in one task: the driver gets the result alone, neither the rows nor train's arrays."""
+    schema = pa.schema([pa.field(f.name, to_arrow(f.dataType)) for f in rows.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(train(pa.Table.from_batches(batches, schema)))]}, pa.schema([("model", pa.binary())]))
+        finally:
+            released()
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else train(schema.empty_table())  # no rows may mean no task
+
+
 def to_arrow(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(to_arrow(kind.elementType))

@@ -19,10 +19,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, field, labelled_sample, map_columns, released, text_blocks, with_scores
+from .common import drop_written, field, labelled_sample, learned, map_columns, text_blocks, with_scores
 
 #: Character shapes: letters by case, digits; anything else is itself. Beyond ASCII, case decides at training and scoring alike.
 _SHAPE = np.arange(0x250, dtype="uint32")
@@ -140,8 +141,8 @@ def train(x: np.ndarray, grades: np.ndarray, bits: int, wanted: int, steps: int
 def fit(docs: DataFrame, ratings: DataFrame, rating: str = "quality", wanted: int | None = None, most: int = 1500, most_bytes: int = 16 << 20, bits: int = 12) -> Model:
     """A model from docs(doc_id, text) and ratings(doc_id, rating): of each grade at most `most` rated rows and most_bytes of text.
 
-    The driver gets 2 ** bits numbers for each of them. wanted: the lowest grade worth keeping, the
-    second lowest grade there is if not given.
+    One task gets 2 ** bits numbers for each of them and trains; the driver gets the model. wanted: the lowest grade worth
+    keeping, the second lowest grade there is if not given.
     """
     sample = labelled_sample(docs, ratings, rating, most, most_bytes)
 
@@ -149,19 +150,18 @@ def fit(docs: DataFrame, ratings: DataFrame, rating: str = "quality", wanted: in
         for batch in batches:
             yield {"doc_id": batch["doc_id"], "grade": batch["label"], "x": [features(t, bits).astype("float32") for t in batch["text"]]}
 
-    found = map_columns(sample, {c: F.col(c) for c in ("doc_id", "label", "text")}, [field("doc_id", "long"), field("grade", "int"), field("x", ["float"])], run).toArrow()
-    drop_written(sample)
-    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
-    x = found["x"].combine_chunks().flatten().to_numpy().reshape(-1, 1 << bits)[order]
-    grades = found["grade"].to_numpy()[order]
-    if wanted is None:
+    def train_on(found: pa.Table) -> Model:
+        order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
+        x = found["x"].combine_chunks().flatten().to_numpy().reshape(-1, 1 << bits)[order]
+        grades = found["grade"].to_numpy()[order]
+        del found
         known = sorted(set(grades.tolist()))
-        wanted = known[min(1, len(known) - 1)] if known else 0
-    del found
-    try:
-        return train(x, grades, bits, wanted)
-    finally:
-        released()
+        return train(x, grades, bits, wanted if wanted is not None else known[min(1, len(known) - 1)] if known else 0)
+
+    rows = map_columns(sample, {c: F.col(c) for c in ("doc_id", "label", "text")}, [field("doc_id", "long"), field("grade", "int"), field("x", ["float"])], run)
+    model = learned(rows, train_on)
+    drop_written(sample)
+    return model
 
 
 def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("expected_grade", "tail_probability")) -> DataFrame:

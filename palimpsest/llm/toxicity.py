@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, field, labelled_sample, map_columns, released, text_blocks, with_scores
+from .common import drop_written, field, labelled_sample, learned, map_columns, text_blocks, with_scores
 
 
 def word_codes(block: bytes) -> np.ndarray:
@@ -169,8 +169,8 @@ def train(texts: np.ndarray, words: np.ndarray, counts: np.ndarray, spelled: lis
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 750, most_bytes: int = 4 << 20, bits: int = 17) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, label): of each class at most `most` labelled rows and most_bytes of text.
 
-    The driver gets the sample's distinct words and how often each text has them. Without rows of both classes no
-    text is called toxic.
+    One task gets the sample's distinct words and how often each text has them, and trains; the driver gets the model.
+    Without rows of both classes no text is called toxic.
     """
     sample = labelled_sample(docs, labels.filter(F.col(f"`{label}`").isin(0, 1)), label, most, most_bytes)
 
@@ -180,21 +180,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 75
             yield {"doc_id": batch["doc_id"], "label": batch["label"], "words": [list(f) for f in found], "counts": [list(f.values()) for f in found]}
 
     fields = [field("doc_id", "long"), field("label", "int"), field("words", ["string"]), field("counts", ["int"])]
-    rows: pa.Table = map_columns(sample, {c: F.col(c) for c in ("doc_id", "label", "text")}, fields, bags).toArrow().sort_by("doc_id")
-    drop_written(sample)
-    toxic = rows["label"].to_numpy().astype("int64")
-    if len(set(toxic.tolist())) < 2:
-        return Model(np.zeros((2, 1 << bits), "float32"), -2.0, bits)
-    words = rows["words"].combine_chunks()
-    texts = np.repeat(np.arange(len(toxic), dtype="int32"), words.value_lengths().to_numpy())
-    coded = words.flatten().dictionary_encode()
-    counts, of_words = rows["counts"].combine_chunks().flatten().to_numpy().astype("float32"), coded.indices.to_numpy()
-    spelled = coded.dictionary.to_pylist()
-    del rows, words, coded
-    try:
+    def train_on(rows: pa.Table) -> Model:
+        rows = rows.sort_by("doc_id")
+        toxic = rows["label"].to_numpy().astype("int64")
+        if len(set(toxic.tolist())) < 2:
+            return Model(np.zeros((2, 1 << bits), "float32"), -2.0, bits)
+        words = rows["words"].combine_chunks()
+        texts = np.repeat(np.arange(len(toxic), dtype="int32"), words.value_lengths().to_numpy())
+        coded = words.flatten().dictionary_encode()
+        counts, of_words = rows["counts"].combine_chunks().flatten().to_numpy().astype("float32"), coded.indices.to_numpy()
+        spelled = coded.dictionary.to_pylist()
+        del rows, words, coded
         return train(texts, of_words, counts, spelled, toxic, bits)
-    finally:
-        released()
+
+    model = learned(map_columns(sample, {c: F.col(c) for c in ("doc_id", "label", "text")}, fields, bags), train_on)
+    drop_written(sample)
+    return model
 
 
 def word_counts(text: bytes) -> dict[str, int]:

@@ -1,3 +1,4 @@
+import os
 import re
 
 import numpy as np
@@ -160,3 +161,11 @@ def test_one_long_text_does_not_cost_its_class(spark):
     assert model.score(b"you are all stupid people here 3")[1] < 0.35 < model.score(b"the day 5 was fine and we walk home 1")[1]
     alone = docs.filter(f"doc_id < 1000 or doc_id = {first}")
     assert {r.label for r in common.labelled_sample(alone, labels, "toxic", 750, 4 << 20).select("label").distinct().collect()} == {0, 1}
+
+
+def test_models_are_trained_in_a_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text of {'stupid' if i % 2 else 'good'} people {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, toxic int, quality int")
+    for kind in (toxicity, quality):
+        monkeypatch.setattr(kind, "train", lambda *given: os.getpid())
+        assert kind.fit(docs, labels) != os.getpid()
